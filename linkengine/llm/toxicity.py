@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -211,15 +212,19 @@ def score_documents(documents: DataFrame, model: ToxicityModel, text: str = "tex
     passages = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType()), T.StructField("e_value", T.DoubleType())]))
     schema = T.StructType([*(documents.schema[c] for c in names), T.StructField("toxicity", T.DoubleType()), T.StructField("toxic_passages", passages)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    at = names.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for pdf in batches:
+        for batch in batches:
             facts, spans = [], []
-            for value in pdf[text]:
+            for value in batch.column(at).to_pylist():
                 n, segments = scan(value, m)
                 base = m.log_k + math.log(max(n, 1))
                 facts.append(evidence(n, segments, m))
                 spans.append([{"first": a, "last": b, "e_value": math.exp(min(700.0, base - m.lam * s))} for a, b, s in segments if m.lam * s > base])
-            yield pdf.assign(toxicity=m.probability(np.array(facts, dtype=float)), toxic_passages=spans)
+            scores = pa.array(m.probability(np.array(facts, dtype=float)), pa.float64())
+            kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("e_value", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores, pa.array(spans, kind)], [*names, "toxicity", "toxic_passages"])
 
-    return documents.select(*names).mapInPandas(run, schema)
+    return documents.select(*names).mapInArrow(run, schema)

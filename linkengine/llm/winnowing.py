@@ -50,14 +50,24 @@ def _each(size: Column, span: int, f) -> Column:
     return F.when(size >= span, F.transform(starts, f)).otherwise(F.array().cast("array<bigint>"))
 
 
-def with_fingerprints(rows: DataFrame, w: str = "w") -> DataFrame:
-    """Add ``prints``: packed (hash, position) of the k-grams that winnowing keeps."""
-    grams = _each(F.size(w), K, lambda i: _pack(F.xxhash64(*(F.get(F.col(w), i + j) for j in range(K))), i.cast("long")))
-    rows = rows.withColumn("_grams", grams)
-    least = _each(F.size("_grams"), W, lambda i: F.least(*(F.get(F.col("_grams"), i + j) for j in range(W))))
-    rows = rows.withColumn("_least", least)
-    changes = F.filter("_least", lambda x, i: (i == 0) | (x != F.get(F.col("_least"), i - 1)))
-    return rows.withColumn("prints", changes).drop("_grams", "_least")
+def _let(value: Column, f) -> Column:
+    """f(value) with ``value`` evaluated once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def with_words(rows: DataFrame, text: Column) -> DataFrame:
+    """Add ``w``, the words. The generator keeps the optimizer from copying the split
+    into every place that takes an element of ``w``."""
+    return rows.withColumn("w", F.explode(F.array(words(text))))
+
+
+def with_fingerprints(rows: DataFrame) -> DataFrame:
+    """Add ``prints``: packed (hash, position) of the k-grams of ``w`` that winnowing keeps."""
+    w = F.col("w")
+    grams = _each(F.size(w), K, lambda i: _pack(F.xxhash64(*(F.get(w, i + j) for j in range(K))), i.cast("long")))
+    least = lambda g: _each(F.size(g), W, lambda i: F.least(*(F.get(g, i + j) for j in range(W))))
+    changes = lambda m: F.filter(m, lambda x, i: (i == 0) | (x != F.get(m, i - 1)))
+    return rows.withColumn("prints", _let(grams, lambda g: _let(least(g), changes)))
 
 
 def short_grams(w: Column, n: int) -> Column:
@@ -72,7 +82,8 @@ def _around(w: Column, at: Column) -> Column:
 
 def benchmark_fingerprints(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
     """(gram, item_id, n, context): n is 0 for kept k-grams, else the words of a short item."""
-    rows = benchmark.select(F.col(item).cast("string").alias("item_id"), words(F.col(text)).alias("w")).filter(F.size("w") > 0).distinct()
+    rows = with_words(benchmark.select(F.col(item).cast("string").alias("item_id"), F.col(text).alias("text")), F.col("text"))
+    rows = rows.select("item_id", "w").filter(F.size("w") > 0).distinct()
     full = with_fingerprints(rows.filter(F.size("w") >= SPAN)).select("item_id", "w", F.explode("prints").alias("p"))
     at = F.col("p").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)).cast("int")
     full = full.select(F.shiftright("p", _POSITION_BITS).alias("gram"), "item_id", F.lit(0).alias("n"), _around(F.col("w"), at).alias("context"))
@@ -92,18 +103,28 @@ def _run(equal: list[Column]) -> Column:
 
 
 def _verified(hits: DataFrame) -> DataFrame:
-    """From (…, w, at, n, context): first and end word of the shared run, null if too short."""
-    hits = hits.withColumn("_near", F.when(F.col("n") == 0, _around(F.col("w"), F.col("at"))).otherwise(F.slice("w", F.col("at") + 1, F.greatest("n", F.lit(1)))))
-    same = [F.coalesce(F.get("_near", F.lit(i)) == F.get("context", F.lit(i)), F.lit(False)) for i in range(K + 2 * (W - 1))]
-    left, right = _run(same[: W - 1][::-1]), _run(same[K + W - 1 :])
-    core = same[W - 1]
-    for s in same[W : K + W - 1]:
-        core = core & s
-    full = (F.col("n") == 0) & core & (left + right + K >= SPAN)
-    short = (F.col("n") > 0) & (F.col("_near") == F.col("context"))
-    first = F.when(full, F.col("at") - left).when(short, F.col("at"))
-    end = F.when(full, F.col("at") + K + right).when(short, F.col("at") + F.col("n"))
-    return hits.withColumns({"first": first, "end": end})
+    """To (w, at, n, context) add ``first`` and ``end`` of the shared run, null if too short.
+
+    The generator keeps the checks out of the filter that follows the join, which sees
+    every k-gram and must stay small.
+    """
+
+    def verdict(near: Column) -> Column:
+        same = [F.coalesce(F.get(near, F.lit(i)) == F.get("context", F.lit(i)), F.lit(False)) for i in range(K + 2 * (W - 1))]
+        left, right = _run(same[: W - 1][::-1]), _run(same[K + W - 1 :])
+        core = same[W - 1]
+        for s in same[W : K + W - 1]:
+            core = core & s
+        full = (F.col("n") == 0) & core & (left + right + K >= SPAN)
+        short = (F.col("n") > 0) & (near == F.col("context"))
+        first = F.when(full, F.col("at") - left).when(short, F.col("at"))
+        end = F.when(full, F.col("at") + K + right).when(short, F.col("at") + F.col("n"))
+        return F.struct(first.alias("first"), end.alias("end"))
+
+    near = F.when(F.col("n") == 0, _around(F.col("w"), F.col("at"))).otherwise(F.slice("w", F.col("at") + 1, F.greatest("n", F.lit(1))))
+    run = F.when(F.col("n").isNotNull(), _let(near, verdict))
+    hits = hits.withColumn("_run", F.explode(F.array(run)))
+    return hits.withColumns({"first": F.col("_run.first"), "end": F.col("_run.end")}).drop("_run")
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
@@ -112,7 +133,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text"
     lengths = sorted(r["n"] for r in bench.filter("n > 0").select("n").distinct().collect())
     small = bench.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
 
-    docs = documents.select(*row_key("doc_id", text), words(F.col(text)).alias("w"))
+    docs = with_words(documents.select(*row_key("doc_id", text), F.col(text).alias("text")), F.col("text")).select("_id", "_th", "w")
     probe = with_fingerprints(docs)
     parts = [F.array(F.lit(-1).cast("long")), F.col("prints"), *(short_grams(F.col("w"), n) for n in lengths)]
     probe = probe.withColumn("p", F.explode(F.concat(*parts)))
@@ -127,7 +148,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text"
         found = probe.drop("w").join(bench.hint("merge"), "gram").drop("gram")
         found = materialize(found.distinct(), "hits")
         again = docs.distinct().alias("d").join(found.alias("f").hint("merge"), F.expr("d._id <=> f._id and d._th = f._th"))
-        found = _verified(again.select("d._id", "d._th", "w", "at", "n", "context", "item_id")).drop("w", "_near", "context")
+        found = _verified(again.select("d._id", "d._th", "w", "at", "n", "context", "item_id")).drop("w", "context")
         hits = probe.filter(is_row).withColumns({"n": F.lit(None).cast("int"), "item_id": F.lit(None).cast("string")})
         hits = hits.withColumns({"first": F.lit(None).cast("int"), "end": F.lit(None).cast("int")})
         hits = hits.unionByName(found.withColumns({"gram": F.lit(0).cast("long"), "w": F.lit(None).cast("array<string>")}), allowMissingColumns=True)

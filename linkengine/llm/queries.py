@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, token_counts, topk, toxicity, url_reputation, warc_zip, winnowing
+from . import mixing, simhash, token_counts, topk, toxicity, url_reputation, warc_zip, winnowing
 from .common import read_table
 
 
@@ -102,6 +102,27 @@ FROM d LEFT JOIN covered USING (rid) LEFT JOIN listed USING (rid)
 """
 
 
+def domain() -> Column:
+    """The mixture's domain of a document: a group of sources by their number."""
+    number = F.regexp_extract("source", "^src([0-9]+)$", 1).cast("int")
+    of = F.element_at(F.array(F.lit("books"), F.lit("code"), F.lit("web")), F.pmod(number, F.lit(3)) + 1)
+    return F.when(F.col("source").rlike("^src[0-9]+$"), of).otherwise("other")
+
+
+def mix_levels() -> dict[str, Column]:
+    return {"domain": domain(), "lang": F.col("lang"), "source": F.col("source")}
+
+
+MIX_WEIGHTS = [{"books": 30, "code": 20, "web": 45, "other": 5}, {"en": 60, "de": 15, "fr": 15, "es": 10}, {}]
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.6, 2, 17
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    chosen = mixing.mix(documents, mix_levels(), MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
+    return chosen.select("doc_id", "domain", "lang", "source", "n_tokens", "copies")
+
+
 OP5_SQL = """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages
@@ -128,6 +149,57 @@ FROM s QUALIFY rank <= 5
 """
 
 
+def _fill(level: str, keys: str, parent: str, weight: str, above: str) -> str:
+    """SQL of one level of the water filling, as CTEs ending in ``a_<level>``."""
+    join = f"JOIN {above} USING ({parent})" if parent else ""
+    budget = "_b" if parent else "(SELECT CAST(CAST(floor(sum(tokens) * 0.6) AS BIGINT) AS DOUBLE) FROM leaves)"
+    part = f"PARTITION BY {parent}" if parent else ""
+    return f"""
+n_{level} AS (
+  SELECT {keys}, cap, w, {budget} AS b, CASE WHEN w > 0 THEN cap / w ELSE CAST('inf' AS DOUBLE) END AS filled
+  FROM (SELECT {keys}, sum(tokens * 2.0::DOUBLE) AS cap, {weight} AS w FROM leaves GROUP BY {keys}) {join}
+), s_{level} AS (
+  SELECT *, w > 0 AND filled * sum(w) OVER ({part} ORDER BY filled, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+         <= b - coalesce(sum(cap) OVER ({part} ORDER BY filled, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sated
+  FROM n_{level}
+), t_{level} AS (
+  SELECT *, sum(CASE WHEN sated THEN cap ELSE 0 END) OVER ({part}) AS spent, sum(CASE WHEN sated THEN 0 ELSE w END) OVER ({part}) AS open_w
+  FROM s_{level}
+), a_{level} AS (
+  SELECT {keys}, CASE WHEN sated THEN cap WHEN open_w > 0 THEN least((b - spent) / open_w * w, cap) ELSE 0 END AS _b FROM t_{level}
+)"""
+
+
+def _mixing_sql() -> str:
+    weight = lambda c, of: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN {v}.0::DOUBLE" for k, v in of.items()) + " ELSE 1.0::DOUBLE END" if of else "1.0::DOUBLE"
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
+         CASE WHEN regexp_matches(source, '^src[0-9]+$')
+              THEN ['books', 'code', 'web'][CAST(regexp_extract(source, '^src([0-9]+)$', 1) AS INTEGER) % 3 + 1] ELSE 'other' END AS domain,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x09-\\x0D\\x20]+')) AS BIGINT) AS n_tokens
+  FROM documents
+), leaves AS (
+  SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY ALL
+), {_fill("domain", "domain", "", weight("domain", MIX_WEIGHTS[0]), "")},
+{_fill("lang", "domain, lang", "domain", weight("lang", MIX_WEIGHTS[1]), "a_domain")},
+{_fill("source", "domain, lang, source", "domain, lang", "1.0::DOUBLE", "a_lang")},
+plan AS (
+  SELECT domain, lang, source, tokens, CAST(floor(round(_b, 3)) AS BIGINT) AS budget FROM leaves JOIN a_source USING (domain, lang, source)
+), epochs AS (
+  SELECT *, CAST(CASE WHEN tokens > 0 THEN least(budget // tokens, 2) WHEN budget > 0 THEN 1 ELSE 0 END AS INTEGER) AS epochs FROM plan
+), o AS (
+  SELECT *, CASE WHEN epochs < 2 THEN budget - epochs * tokens ELSE 0 END AS rest,
+         md5('17:' || epochs || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h
+  FROM d JOIN epochs USING (domain, lang, source)
+), c AS (
+  SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h) AS upto FROM o
+)
+SELECT doc_id, domain, lang, source, n_tokens, CAST(epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS INTEGER) AS copies
+FROM c WHERE epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END > 0
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -137,8 +209,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_winnowing": op6_winnowing,
         "op7_topk": op7_topk,
         "op8_simhash": op8_simhash,
+        "op10_mixing": op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_zip": OP5_SQL, "op6_winnowing": OP6_SQL, "op7_topk": OP7_SQL}
+    return {"op5_warc_zip": OP5_SQL, "op6_winnowing": OP6_SQL, "op7_topk": OP7_SQL, "op10_mixing": _mixing_sql()}

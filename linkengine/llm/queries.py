@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash, token_counts, topk, toxicity, url_reputation, warc_zip, winnowing
+from . import line_dedup, mixing, simhash, token_counts, topk, toxicity, url_reputation, warc_zip, winnowing
 from .common import read_table
 
 
@@ -102,6 +102,11 @@ FROM d LEFT JOIN covered USING (rid) LEFT JOIN listed USING (rid)
 """
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_recurring_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha1(F.col("text").cast("binary")).alias("kept_sha1"))
+
+
 def domain() -> Column:
     """The mixture's domain of a document: a group of sources by their number."""
     number = F.regexp_extract("source", "^src([0-9]+)$", 1).cast("int")
@@ -209,6 +214,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_winnowing": op6_winnowing,
         "op7_topk": op7_topk,
         "op8_simhash": op8_simhash,
+        "op9_line_dedup": op9_line_dedup,
         "op10_mixing": op10_mixing,
     }
 

@@ -7,19 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, simhash, token_counts, topk, toxicity, url_reputation, warc_zip, winnowing
+from . import licenses, line_dedup, mixing, simhash, token_counts, topk, toxicity, url_reputation, warc_zip, winnowing
 from .common import read_table
 
 
+def held_out() -> Column:
+    """Whether a document's label is kept from training."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+
+
+def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "labels").filter(~held_out())
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
-    labels = read_table(spark, sf_dir, "labels").filter(~held_out)
-    model = toxicity.fit(documents, labels)
+    model = toxicity.fit(documents, training_labels(spark, sf_dir))
     scored = toxicity.score_documents(documents, model)
     return scored.select(
         "doc_id",
-        F.coalesce(held_out, F.lit(False)).alias("held_out"),
+        F.coalesce(held_out(), F.lit(False)).alias("held_out"),
         F.col("toxicity").alias("score"),
         (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
         F.size("toxic_passages").alias("n_passages"),
@@ -35,6 +42,14 @@ def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge(read_table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source, language, a folder of a hundred, the document."""
+    folder = F.floor(F.col("doc_id") / 100).cast("string")
+    path = F.concat_ws("/", F.col("source"), F.col("lang"), folder, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = read_table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    return licenses.scan_licenses(files)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.with_token_counts(documents, TOKENIZER)
@@ -209,6 +224,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_url_reputation": op2_url_reputation,
+        "op3_licenses": op3_licenses,
         "op4_token_counts": op4_token_counts,
         "op5_warc_zip": op5_warc_zip,
         "op6_winnowing": op6_winnowing,

@@ -1,0 +1 @@
+"""Record linkage of free-text lines with catalogs, as DataFrame operators."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rounding import with_round4
+from .settle import settle
 
 
 def with_language(df: DataFrame, text: str = "normalized_input", mixed_threshold: float = 0.2) -> DataFrame:
@@ -32,5 +33,6 @@ def with_language(df: DataFrame, text: str = "normalized_input", mixed_threshold
     why = F.when(F.col("language") == "unknown", "no letters of a known script").otherwise(
         F.format_string("%d Cyrillic and %d Latin letters", "_cyr", "_lat")
     )
-    df = df.withColumns({"language_confidence": confidence, "language_explanation": why})
+    names = ("language", "cyrillic_ratio", "latin_ratio")
+    df = settle(df, {**{c: F.col(c) for c in names}, "language_confidence": confidence, "language_explanation": why})
     return df.drop("_cyr", "_lat", "_mixed_confidence")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .settle import settle
 from .text import clean_field, clean_title, looks_like_metadata
 from .unicode import WS, truthy
 
@@ -26,10 +27,10 @@ def with_pattern(df: DataFrame, text: str = "normalized_input", order: str = "ar
         raise ValueError("order must be artist_title or title_artist")
     s = F.coalesce(F.col(text), F.lit(""))
     parts = F.split(s, SEPARATOR, 2)
-    df = df.withColumns({"_left": clean_field(F.get(parts, F.lit(0))), "_right": clean_field(F.get(parts, F.lit(1)))})
+    df = settle(df, {"_left": clean_field(F.get(parts, F.lit(0))), "_right": clean_field(F.get(parts, F.lit(1)))})
     first, second = ("_left", "_right") if order == "artist_title" else ("_right", "_left")
     # A title after a separator is cleaned twice, so two closing tags go.
-    df = df.withColumns({"_sep_artist": F.col(first), "_sep_title": clean_title(clean_title(F.col(second)))})
+    separated = {"_sep_artist": F.col(first), "_sep_title": clean_title(clean_title(F.col(second)))}
     has_sep = truthy(F.col("_sep_artist")) & truthy(F.col("_sep_title"))
 
     round_ = s.rlike(_IN_PARENTHESES)
@@ -38,9 +39,11 @@ def with_pattern(df: DataFrame, text: str = "normalized_input", order: str = "ar
     def group(i: int) -> Column:
         return F.when(round_, F.regexp_extract(s, _IN_PARENTHESES, i)).when(square, F.regexp_extract(s, _IN_BRACKETS, i))
 
-    df = df.withColumns({"_bracket_title": clean_field(group(1)), "_bracket_artist": clean_field(group(2)), "_round": round_})
-    has_bracket = truthy(F.col("_bracket_title")) & truthy(F.col("_bracket_artist")) & ~looks_like_metadata(F.col("_bracket_artist"))
+    df = settle(df, {**separated, "_bracket_title": clean_field(group(1)), "_bracket_artist": clean_field(group(2)), "_round": round_})
+    bracket = truthy(F.col("_bracket_title")) & truthy(F.col("_bracket_artist")) & ~looks_like_metadata(F.col("_bracket_artist"))
 
+    df = settle(df, {"_has_bracket": bracket})
+    has_bracket = F.col("_has_bracket")
     pattern = (
         F.when(s == "", "unknown").when(has_sep, order).when(has_bracket & F.col("_round"), "title_artist_parenthesis")
         .when(has_bracket, "title_artist_brackets").otherwise("unknown")
@@ -50,7 +53,7 @@ def with_pattern(df: DataFrame, text: str = "normalized_input", order: str = "ar
         F.when(s == "", None).when(has_sep, F.col("_sep_title")).when(has_bracket, clean_title(F.col("_bracket_title")))
         .otherwise(clean_title(s))
     )
-    df = df.withColumns({"pattern": pattern, "artist": artist, "title": title})
+    df = settle(df, {"pattern": pattern, "artist": artist, "title": title})
     confidence = F.lit(0.0)
     for name, value in CONFIDENCE.items():
         confidence = F.when((F.col("pattern") == name) & (s != ""), F.lit(value)).otherwise(confidence)
@@ -60,5 +63,5 @@ def with_pattern(df: DataFrame, text: str = "normalized_input", order: str = "ar
         .when(has_bracket, "a title with a second field in brackets")
         .otherwise("no pattern; the line is kept as a title")
     )
-    df = df.withColumns({"confidence": confidence, "explanation": why})
-    return df.drop("_left", "_right", "_sep_artist", "_sep_title", "_bracket_title", "_bracket_artist", "_round")
+    df = settle(df, {"confidence": confidence, "explanation": why})
+    return df.drop("_left", "_right", "_sep_artist", "_sep_title", "_bracket_title", "_bracket_artist", "_round", "_has_bracket")

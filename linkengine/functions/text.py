@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .settle import settle
 from .unicode import WORD, WS, casefold, collapse, strip
 
 #: Dashes that become a hyphen-minus.
@@ -57,8 +58,7 @@ def with_normalized(df: DataFrame, raw: str = "raw_input") -> DataFrame:
     for before, after, (_, step) in zip(stages, stages[1:], STEPS):
         df = df.withColumn(after, step(F.col(before)))
     log = F.array(*(F.when(F.col(a) != F.col(b), F.lit(name)) for a, b, (name, _) in zip(stages, stages[1:], STEPS)))
-    df = df.withColumn("normalized_input", F.col(stages[-1])).withColumn("normalization_steps", F.array_compact(log))
-    return df.drop(*stages)
+    return settle(df, {"normalized_input": F.col(stages[-1]), "normalization_steps": F.array_compact(log)}).drop(*stages)
 
 
 def normalize(s: Column) -> Column:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .settle import settle
+from .unicode import char_map
+
 #: Latin spelling of each Cyrillic letter; the two signs have none.
 CYRILLIC_TO_LATIN = {
     "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "yo", "ж": "zh", "з": "z", "и": "i", "й": "y",
@@ -38,7 +41,7 @@ def to_latin(s: Column) -> Column:
 def to_cyrillic(s: Column) -> Column:
     """Greedy from left to right, groups before single letters."""
     pieces = F.regexp_extract_all(F.lower(s), F.lit(f"(?s)({'|'.join(LATIN_GROUPS)}|.)"), F.lit(1))
-    table = F.create_map(*(F.lit(x) for pair in {**LATIN_GROUPS, **LATIN_TO_CYRILLIC}.items() for x in pair))
+    table = char_map({**LATIN_GROUPS, **LATIN_TO_CYRILLIC})
     return F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(table, p), p)), "")
 
 
@@ -50,12 +53,12 @@ def with_transliterations(df: DataFrame, text: str = "normalized_input", languag
         fields = [of.alias("text"), F.lit(direction).alias("direction"), F.lit(CONFIDENCE[direction]).alias("confidence")]
         return F.struct(*fields, F.lit(why).alias("explanation"))
 
-    df = df.withColumn("_latin", F.when(lang.isin("ru", "mixed"), to_latin(s)))
-    df = df.withColumn("_cyrillic", F.when(lang.isin("en", "mixed"), to_cyrillic(s)))
+    spellings = {"_latin": F.when(lang.isin("ru", "mixed"), to_latin(s)), "_cyrillic": F.when(lang.isin("en", "mixed"), to_cyrillic(s))}
+    df = settle(df, spellings)
     latin = F.when(F.col("_latin") != s, candidate(F.col("_latin"), "cyrillic_to_latin", "Latin spelling of the Cyrillic letters"))
     other = (F.col("_cyrillic") != s) & ~F.col("_cyrillic").eqNullSafe(F.col("_latin"))
     cyrillic = F.when(other, candidate(F.col("_cyrillic"), "latin_to_cyrillic", "approximate Cyrillic spelling of the Latin letters"))
-    df = df.withColumn("transliteration_candidates", F.array_compact(F.array(latin, cyrillic)).cast(f"array<{CANDIDATE}>"))
+    df = settle(df, {"transliteration_candidates": F.array_compact(F.array(latin, cyrillic)).cast(f"array<{CANDIDATE}>")})
     n = F.size("transliteration_candidates")
     why = F.when(n == 0, "no other spelling for this language").otherwise(F.format_string("%d spelling(s) by rule", n))
     return df.withColumn("transliteration_explanation", why).drop("_latin", "_cyrillic")

@@ -30,10 +30,16 @@ def _folds() -> tuple[str, str, dict[str, str]]:
     return "".join(single), "".join(single.values()), {c: f for c, f in changed.items() if len(f) > 1}
 
 
+def char_map(pairs: dict[str, str]) -> Column:
+    """A map literal from two strings, which keeps plans small; it is folded once."""
+    joined = [F.split(F.lit("\n".join(side)), "\n") for side in (pairs, pairs.values())]
+    return F.map_from_arrays(*joined)
+
+
 def casefold(s: Column) -> Column:
     """Full case folding; ASCII rows take the built-in ``lower``."""
     before, after, several = _folds()
-    table = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
+    table = char_map(several)
     chars = F.transform(F.split(s, ""), lambda c: F.coalesce(F.try_element_at(table, c), c))
     wide = F.when(s.rlike("[" + "".join(several) + "]"), F.array_join(chars, "")).otherwise(s)
     return F.when(F.octet_length(s) == F.char_length(s), F.lower(s)).otherwise(F.translate(wide, before, after))

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.settle import settle
 from ..functions.similarity import SCORERS
 from ..functions.text import display_text, match_normalize
 from ..functions.unicode import strip, truthy
@@ -20,9 +21,9 @@ BROADCAST_ROWS = 200_000
 CANDIDATE_COLUMNS = ["source", "track_id", "artist", "title", "external_url", "provider_ord", "cand_ord"]
 
 
-def small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if a count proves it within ``bound`` rows."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+def is_small(df: DataFrame, bound: int = BROADCAST_ROWS) -> bool:
+    """Whether a count proves ``df`` within ``bound`` rows; only then it is broadcast."""
+    return df.limit(bound + 1).count() <= bound
 
 
 def union_catalogs(catalogs: list[tuple[str, DataFrame]]) -> DataFrame:
@@ -37,21 +38,21 @@ def union_catalogs(catalogs: list[tuple[str, DataFrame]]) -> DataFrame:
     for part in parts[1:]:
         rows = rows.unionByName(part)
     rows = rows.withColumn("display_text", display_text(F.col("artist"), F.col("title")))
-    return rows.withColumn("normalized_candidate", match_normalize(F.col("display_text")))
+    return settle(rows, {"normalized_candidate": match_normalize(F.col("display_text"))})
 
 
-def score_texts(queries: DataFrame, candidates: DataFrame, scorer: str = "hybrid") -> DataFrame:
+def score_texts(queries: DataFrame, candidates: DataFrame, scorer: str, small: bool) -> DataFrame:
     """(normalized_query, normalized_candidate, score, distance) of all distinct pairs."""
     if scorer not in SCORERS:
         raise ValueError(f"unknown scorer {scorer}; known: {', '.join(SCORERS)}")
     a = queries.select(F.col("normalized_query").alias("a")).distinct()
     b = candidates.select(F.col("normalized_candidate").alias("b")).distinct()
-    pairs = a.repartition(F.col("a")).crossJoin(small(b))
+    pairs = a.repartition(F.col("a")).crossJoin(F.broadcast(b) if small else b)
     return SCORERS[scorer](pairs).withColumnsRenamed({"a": "normalized_query", "b": "normalized_candidate"})
 
 
 def with_normalized_query(queries: DataFrame, query: str = "query") -> DataFrame:
-    return queries.withColumn("normalized_query", match_normalize(F.col(query)))
+    return settle(queries, {"normalized_query": match_normalize(F.col(query))})
 
 
 def _rank_order(score: str = "score") -> list[Column]:
@@ -62,8 +63,9 @@ def rank(queries: DataFrame, candidates: DataFrame, scorer: str = "hybrid", k: i
     """Scored candidates of (line_id, query) with ``rank`` from 1: score, then distance,
     then display text from the last, then the candidates' order."""
     queries = with_normalized_query(queries)
-    scored = score_texts(queries, candidates, scorer)
-    rows = queries.join(scored, "normalized_query").join(small(candidates), "normalized_candidate")
+    small = is_small(candidates)
+    scored = score_texts(queries, candidates, scorer, small)
+    rows = queries.join(scored, "normalized_query").join(F.broadcast(candidates) if small else candidates, "normalized_candidate")
     order = Window.partitionBy("line_id", *(by or [])).orderBy(*_rank_order(), "provider_ord", "cand_ord")
     rows = rows.withColumns({"rank": F.row_number().over(order), "algorithm": F.lit(scorer)})
     return rows.filter(F.col("rank") <= k) if k is not None else rows

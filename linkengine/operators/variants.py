@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rounding import round4
+from ..functions.settle import settle
 from ..functions.translit import to_latin
 from ..functions.unicode import casefold, collapse, truthy
 
@@ -27,21 +28,26 @@ def alias_table(spark, aliases: dict[str, tuple[str, ...]] = ALIASES) -> DataFra
 
 def first_by_fold(items: Column, text) -> Column:
     """Of an array, the first element of each case-folded text, blanks dropped, in order."""
-    fold = lambda x: casefold(text(x))
     kept = F.filter(items, lambda x: x.isNotNull() & (text(x) != ""))
-    keys = F.transform(kept, fold)
-    return F.filter(kept, lambda x, i: F.array_position(keys, fold(x)) == i + 1)
+    keyed = F.transform(kept, lambda x: F.struct(casefold(text(x)).alias("key"), x.alias("item")))
+
+    def first(rows: Column) -> Column:
+        keys = F.transform(rows, lambda r: r["key"])
+        return F.transform(F.filter(rows, lambda r, i: F.array_position(keys, r["key"]) == i + 1), lambda r: r["item"])
+
+    # The keys are bound once, not written out at each use.
+    return F.get(F.transform(F.array(keyed), first), F.lit(0))
 
 
 def with_alias_variants(parsed: DataFrame, aliases: DataFrame) -> DataFrame:
     """Add ``alias_variants``: "canonical - title" per alias, then their Latin spellings."""
     key = collapse(casefold(F.coalesce(F.col("artist"), F.lit(""))))
-    rows = parsed.withColumn("_key", key).join(F.broadcast(aliases.withColumnRenamed("alias", "_key")), "_key", "left")
+    rows = settle(parsed, {"_key": key}).join(F.broadcast(aliases.withColumnRenamed("alias", "_key")), "_key", "left")
     known = F.col("canonical").isNotNull() & F.col("title").isNotNull()
     plain = F.transform("canonical", lambda a: collapse(F.concat(a, F.lit(" - "), F.col("title"))))
     both = F.concat(plain, F.transform(plain, to_latin))
     variants = F.when(known, first_by_fold(both, lambda x: x)).otherwise(F.array().cast("array<string>"))
-    return rows.withColumn("alias_variants", variants).drop("_key", "canonical")
+    return settle(rows, {"alias_variants": variants}).drop("_key", "canonical")
 
 
 def with_variants(parsed: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -64,4 +70,4 @@ def with_variants(parsed: DataFrame, aliases: DataFrame | None = None) -> DataFr
     whole = F.when(truthy(F.col("normalized_input")), variant(F.col("normalized_input"), "normalized_input", F.col("_c_norm"), "the whole normalised line"))
     other = F.transform("transliteration_candidates", lambda c: variant(c["text"], F.concat(F.lit("transliteration:"), c["direction"]), c["confidence"], c["explanation"]))
     every = F.concat(F.array(head), alias, F.array(whole), other)
-    return rows.withColumn("query_variants", first_by_fold(every, lambda v: v["text"])).drop("_c", "_c_norm", "alias_variants")
+    return settle(rows, {"query_variants": first_by_fold(every, lambda v: v["text"])}).drop("_c", "_c_norm", "alias_variants")

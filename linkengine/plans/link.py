@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.settle import settle
 from ..operators import matching, parsing, variants
 
 THRESHOLD = 0.8
@@ -23,7 +24,7 @@ def parse_and_match(
     if not 1 <= match_limit <= 20:
         raise ValueError("match_limit must be between 1 and 20")
     parsed = variants.with_variants(parsing.parse(parsing.drop_blank_raw(lines)))
-    parsed = parsed.withColumn("query", matching.search_query(F.col("artist"), F.col("title"), F.col("normalized_input")))
+    parsed = settle(parsed, {"query": matching.search_query(F.col("artist"), F.col("title"), F.col("normalized_input"))})
     found = matching.search(parsed.select("line_id", "query"), catalogs, match_limit)
     matches = matching.match_candidates(parsed, found, match_limit, scorer)
     best = matches.filter("rank = 1").select("line_id", F.col("score").alias("_best"), F.struct("source", "track_id", "external_url", "score", "algorithm", "query_variant_source").alias("best"))

@@ -143,8 +143,11 @@ def jaro(a: str, b: str) -> str:
 
 
 def scored(pairs: str, scorer: str) -> str:
-    """A query adding score and distance to ``pairs`` with ASCII texts a and b."""
-    lev = f"SELECT *, CASE WHEN a = '' AND b = '' THEN 1.0 ELSE {round4('1.0::DOUBLE - levenshtein(a, b) / CAST(greatest(length(a), length(b)) AS DOUBLE)')} END AS ls, levenshtein(a, b) AS ld FROM ({pairs})"
+    """A query adding score and distance to ``pairs`` of texts a and b."""
+    # The engine's distance counts bytes: letters beyond ASCII become free single bytes.
+    byte = lambda x: f"translate({x}, 'абвгдежзийклмнопрстуфхцчшщъыьэюяё—', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ~!$%^*<>')"
+    distance = f"levenshtein({byte('a')}, {byte('b')})"
+    lev = f"SELECT *, CASE WHEN a = '' AND b = '' THEN 1.0 ELSE {round4(f'1.0::DOUBLE - {distance} / CAST(greatest(length(a), length(b)) AS DOUBLE)')} END AS ls, {distance} AS ld FROM ({pairs})"
     folded = f"SELECT *, {jaro('a', 'b')} AS f FROM ({lev})"
     taken = "list_filter(range(1, length(b) + 1), lambda j: substr(f.r, j, 1) = chr(1))"
     m = "CAST(length(f.m) AS DOUBLE)"

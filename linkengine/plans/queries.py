@@ -240,7 +240,7 @@ def _linked_sql(tail: str) -> str:
     return f"""{_ranked_sql("hybrid", "line_id, source", 3, queries)},
 v AS (SELECT *, {Q.match_normalize("text")} AS va FROM ({_variants_sql(_PART_SQL)})),
 p AS (SELECT v.line_id, v.ord, v.source AS vs, v.confidence, v.va, r.source, r.track_id, r.display_text, r.b, r.rank AS fr, r.provider_ord, r.cand_ord FROM v JOIN r USING (line_id)),
-ps AS (SELECT a AS va, b, score, distance FROM ({_vs("SELECT DISTINCT va AS a, b FROM p")})),
+ps AS (SELECT a AS va, b, score, distance FROM ({Q.scored("SELECT DISTINCT va AS a, b FROM p", "hybrid")})),
 best AS (
   SELECT * FROM p JOIN ps USING (va, b)
   QUALIFY row_number() OVER (PARTITION BY line_id, source, track_id ORDER BY {better}, ord, fr) = 1
@@ -253,15 +253,6 @@ best AS (
 {tail}"""
 
 
-def _vs(pairs: str) -> str:
-    """Scores of variant texts. A text with non-ASCII characters (a Cyrillic spelling) is
-    mapped to single bytes first, as the engine's distance counts bytes."""
-    letters = "абвгдежзийклмнопрстуфхцчшщъыьэюяё"
-    marks = "ABCDEFGHIJKLMNOPQRSTUVWXYZ~!$%^*<"
-    plain = f"SELECT translate(a, '{letters}', '{marks}') AS a, b, a AS original FROM ({pairs})"
-    return f"SELECT * REPLACE (original AS a) FROM ({Q.scored(plain, 'hybrid')})"
-
-
 # Evaluation
 
 

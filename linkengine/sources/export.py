@@ -67,7 +67,8 @@ def export_lists(lists: DataFrame, items: DataFrame, fmt: str) -> DataFrame:
     elif fmt == "m3u":
         content = F.concat(F.array_join(F.concat(F.array(F.lit("#EXTM3U")), text), "\n"), F.lit("\n"))
     else:
-        body = F.struct("playlist_id", "session_id", "name", "created_at", "total_items", F.col("rows").alias("items"))
+        flat = F.transform("rows", lambda r: F.struct(r["position"].alias("position"), *(r["line"][c].alias(c) for c in columns)))
+        body = F.struct("playlist_id", "session_id", "name", "created_at", "total_items", F.coalesce(flat, F.array()).alias("items"))
         content = F.to_json(body, {"pretty": "true", "ignoreNullFields": "false"})
     key = F.col("playlist_id").cast("string")
     name = F.concat(F.lit("playlist-"), key, F.lit(f".{fmt}"))

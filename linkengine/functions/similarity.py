@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rounding import round_half_even, with_round4
+from .settle import settle
 
 #: The prefix bonus of Jaro-Winkler and the weights of the hybrid score.
 PREFIX_SCALE, MAX_PREFIX = 0.1, 4
@@ -19,38 +20,41 @@ LEVENSHTEIN_WEIGHT, JARO_WINKLER_WEIGHT = 0.35, 0.65
 _USED = "\x00"
 
 
-def jaro(a: Column, b: Column) -> Column:
-    """Jaro similarity as a fold over the characters of ``a``.
+def with_jaro(df: DataFrame, name: str = "_jaro") -> DataFrame:
+    """Add the Jaro similarity of ``a`` and ``b``, a fold over the characters of ``a``.
 
     ``r`` is ``b`` with used characters overwritten, ``m`` the matched characters of ``a``.
+    What every step needs is settled first, so a step is a search and an overlay.
     """
-    b = F.translate(b, _USED, " ")
-    a = F.translate(a, _USED, " ")
-    la, lb = F.length(a), F.length(b)
-    reach = F.greatest((F.greatest(la, lb) / 2).cast("int") - 1, F.lit(0))
+    clean = {"_ja": F.translate("a", _USED, " "), "_jb": F.translate("b", _USED, " ")}
+    df = settle(df, clean)
+    reach = F.greatest((F.greatest(F.length("_ja"), F.length("_jb")) / 2).cast("int") - 1, F.lit(0))
+    df = settle(df, {"_la": F.length("_ja"), "_lb": F.length("_jb"), "_reach": reach})
+    a, b, la, lb, reach = (F.col(c) for c in ("_ja", "_jb", "_la", "_lb", "_reach"))
+    one = F.lit(1)
 
     def step(state: Column, i: Column) -> Column:
-        low = F.greatest(i - reach, F.lit(1))
-        high = F.least(i + reach, lb)
-        found = F.instr(F.substring(state["r"], low, high - low + 1), F.substring(a, i, F.lit(1)))
-        at = low + found - 1
-        return F.when(
-            found > 0,
-            F.struct(F.overlay(state["r"], F.lit(_USED), at, F.lit(1)).alias("r"), F.concat(state["m"], F.substring(a, i, F.lit(1))).alias("m")),
-        ).otherwise(state)
+        low = F.greatest(i - reach, one)
+        window = F.substring(state["r"], low, F.least(i + reach, lb) - low + 1)
+        char = F.substring(a, i, one)
 
-    start = F.struct(b.alias("r"), F.lit("").alias("m"))
+        def take(found: Column) -> Column:
+            used = F.overlay(state["r"], F.lit(_USED), low + found - 1, one)
+            return F.when(found > 0, F.struct(used.alias("r"), F.concat(state["m"], char).alias("m"))).otherwise(state)
 
-    def finish(state: Column) -> Column:
-        taken = F.transform(F.sequence(F.lit(1), lb), lambda j: F.when(F.substring(state["r"], j, F.lit(1)) == _USED, F.substring(b, j, F.lit(1))).otherwise(""))
-        other = F.array_join(taken, "")
-        m = F.length(state["m"])
-        apart = F.zip_with(F.split(state["m"], ""), F.split(other, ""), lambda x, y: (x != y).cast("int"))
-        t = F.aggregate(apart, F.lit(0), lambda s, x: s + x) / 2.0
-        return F.when(m == 0, 0.0).otherwise((m / la + m / lb + (m - t) / m) / 3.0)
+        return F.get(F.transform(F.array(F.instr(window, char)), take), F.lit(0))
 
-    folded = F.aggregate(F.sequence(F.lit(1), la), start, step, finish)
-    return F.when(a == b, 1.0).when((la == 0) | (lb == 0), 0.0).otherwise(folded)
+    start = F.struct(b.alias("r"), F.lit("").alias("m"))
+    folded = F.aggregate(F.sequence(one, la), start, step)
+    trivial = (a == b) | (la == 0) | (lb == 0)
+    df = settle(df, {"_fold": F.when(~trivial, folded)})
+    taken = F.transform(F.sequence(one, lb), lambda j: F.when(F.substring(F.col("_fold.r"), j, one) == _USED, F.substring(b, j, one)).otherwise(""))
+    apart = F.zip_with(F.split("_fold.m", ""), F.split(F.array_join(taken, ""), ""), lambda x, y: (x != y).cast("int"))
+    t = F.aggregate(apart, F.lit(0), lambda s, x: s + x) / 2.0
+    df = settle(df, {"_m": F.length("_fold.m"), "_t": F.when(~trivial, t)})
+    m = F.col("_m")
+    value = F.when(a == b, 1.0).when((la == 0) | (lb == 0) | (m == 0), 0.0).otherwise((m / la + m / lb + (m - F.col("_t")) / m) / 3.0)
+    return settle(df, {name: value}).drop("_ja", "_jb", "_la", "_lb", "_reach", "_fold", "_m", "_t")
 
 
 def common_prefix(a: Column, b: Column, most: int = MAX_PREFIX) -> Column:
@@ -69,7 +73,7 @@ def levenshtein(df: DataFrame) -> DataFrame:
 
 def jaro_winkler(df: DataFrame, prefix_scale: float = PREFIX_SCALE, max_prefix: int = MAX_PREFIX) -> DataFrame:
     """The bonus applies at any similarity; the distance is of the unrounded score."""
-    df = df.withColumn("_jaro", jaro(F.col("a"), F.col("b")))
+    df = with_jaro(df)
     prefix = common_prefix(F.col("a"), F.col("b"), max_prefix)
     df = df.withColumn("_jw", F.col("_jaro") + prefix * F.lit(prefix_scale) * (F.lit(1.0) - F.col("_jaro")))
     df = df.withColumn("distance", round_half_even((F.lit(1.0) - F.col("_jw")) * 10000))

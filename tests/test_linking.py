@@ -22,7 +22,7 @@ def test_parse_and_match(spark, catalogs):
     items, matches = link.parse_and_match(raw, catalogs, 3)
     got = {r["line_id"]: r for r in items.collect()}
     assert sorted(got) == [0, 1, 2, 4]
-    assert (got[0]["best"]["track_id"], got[0]["best_score"], got[0]["is_uncertain"]) == ("c1", 1.0, False)
+    assert (got[0]["best"]["track_id"], got[0]["best_score"], got[0]["is_uncertain"]) == ("c3", 1.0, False)
     assert got[1]["best"]["track_id"] == "c4" and got[2]["is_uncertain"] and got[4]["best"] is None and got[4]["best_score"] == 0.0
     ranked = matches.filter("line_id = 0").orderBy("rank").collect()
     assert len({(r["source"], r["track_id"]) for r in ranked}) == len(ranked) == 3

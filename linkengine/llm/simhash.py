@@ -17,7 +17,7 @@ no other id is reachable; then the id is null. An empty table gives an empty res
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -180,11 +180,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return roots if roots is not None else spark.createDataFrame([], "node long, root long")
 
 
-def components(documents: DataFrame, text: str = "text") -> DataFrame:
-    """(_id, _th, fp, component_id) per document row."""
-    rows = materialize(with_fingerprint(documents, text), "fingerprints")
+def labelled(rows: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(_id, _th, fp, component_id) of materialized ``rows`` under the edges ``link`` finds among distinct ``fp``."""
     distinct = materialize(rows.groupBy("fp").agg(F.min("_id").alias("least"), F.count("*").alias("n")), "distinct")
-    roots = connected_components(link_chains(distinct))
+    roots = connected_components(link(distinct))
     linked = materialize(lookup_join(roots.withColumnRenamed("node", "fp"), distinct, ["fp"], "inner", 0), "linked")
     by_root = materialize(linked.groupBy("root").agg(F.min("least").alias("component")), "classes")
     of_linked = lookup_join(linked.select("fp", "root"), by_root, ["root"]).select("fp", "component")
@@ -194,13 +193,18 @@ def components(documents: DataFrame, text: str = "text") -> DataFrame:
     return joined.select("_id", "_th", "fp", F.coalesce("component", "_id").alias("component_id"))
 
 
-def drop_near_duplicates(documents: DataFrame, text: str = "text") -> DataFrame:
+def components(documents: DataFrame, text: str = "text") -> DataFrame:
+    """(_id, _th, fp, component_id) per document row."""
+    return labelled(materialize(with_fingerprint(documents, text), "fingerprints"), link_chains)
+
+
+def drop_near_duplicates(documents: DataFrame, text: str = "text", of: Callable[[DataFrame, str], DataFrame] = components) -> DataFrame:
     """Keep the row of least ``doc_id`` of each component, all its columns.
 
     Rows without an id stay unless linked to a row with one. Where the least id stands
     at several rows of a component, the one with the least text digest stays, once.
     """
-    rows = materialize(components(documents, text), "members")
+    rows = materialize(of(documents, text), "members")
     losers = rows.filter(F.col("component_id").isNotNull() & ~F.col("_id").eqNullSafe(F.col("component_id")))
     heads = rows.filter("_id is not null and _id = component_id")
     twice = materialize(heads.groupBy("component_id").agg(F.min("_th").alias("head"), F.count("*").alias("n")).filter("n > 1"), "twice")

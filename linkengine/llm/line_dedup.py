@@ -2,17 +2,17 @@
 
 Lines are parsed at a fixed depth: fields with digits become ``<*>``, and the token
 count with the leading ``DEPTH`` tokens names a leaf. In a leaf the line found in most
-documents is the leader; lines that agree with it in most of the remaining positions
-share its template, in which the positions that differ are variable fields. Every other
-line is a template of its own. A template that recurs across documents is dropped from
+documents is the first leader; lines that agree with it in most of the remaining positions
+share its template, in which the positions that differ are variable fields. The same is
+repeated on the rest of the leaf until every line has a leader or leads. A template that recurs across documents is dropped from
 all of them but those with its least document id.
 
 A template recurs from ``MIN_DOCS`` documents on, one of ``LONG_TOKENS`` or more tokens
 from two. Counts are over documents, so lines repeated inside one document alone stay.
 
 Only hashes of lines are exchanged, except for the lines of leaves that hold several
-different lines; leaves and templates are aggregated before they meet, and no group is
-gathered in a task.
+different lines; leaves and templates are aggregated before they meet. A leaf's distinct
+lines pass through one task in order; only its leaders are held.
 
 Cases: null texts stay null; blank lines stay. Repeated rows (id and text equal) are one
 document and are treated alike. Rows without an id never count as the least document and
@@ -22,6 +22,11 @@ empty table gives an empty result. Other columns pass through, whatever their na
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from operator import eq
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +66,43 @@ def _parsed(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"leaf": leaf, "tpl": _template(F.col("mask"))})
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tpl, template) of the lines that share a leader, themselves leaders included.
+
+    Rows arrive by leaf, the lines of most documents first. A line joins the first leader
+    it agrees with and leads otherwise, which is the leader step repeated on what is left
+    of a leaf. Lines that agree differ in few positions, so they are equal in one of one
+    block of positions more; only leaders with an equal block are compared. Memory holds
+    the leaders of one leaf.
+    """
+    leaf: int | None = None
+    for batch in batches:
+        out: list[tuple[int, int]] = []
+        for of, tpl, mask in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+            tokens = mask.split(" ")[DEPTH:]
+            k = len(tokens)
+            wanted = math.ceil(AGREE * k)
+            if of != leaf:
+                leaf = of
+                leaders: list[tuple[int, list[str]]] = []
+                led: set[int] = set()
+                index: dict[tuple[int, int, int], list[int]] = {}
+            blocks = k - wanted + 1
+            keys = [(k, i, hash(tuple(tokens[k * i // blocks : k * (i + 1) // blocks]))) for i in range(blocks)]
+            for at in sorted({x for key in keys for x in index.get(key, ())}):
+                if sum(map(eq, tokens, leaders[at][1])) >= wanted:
+                    if at not in led:
+                        led.add(at)
+                        out.append((leaders[at][0], leaders[at][0]))
+                    out.append((tpl, leaders[at][0]))
+                    break
+            else:
+                for key in keys:
+                    index.setdefault(key, []).append(len(leaders))
+                leaders.append((tpl, tokens))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], ["tpl", "template"])
+
+
 def recurring(documents: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, long_tokens: int = LONG_TOKENS) -> tuple[DataFrame, DataFrame]:
     """(occurrences, templates): (tpl, n, _uid, _id) per line and document, and
     (tpl, template, first_id) of the lines whose template recurs."""
@@ -68,19 +110,14 @@ def recurring(documents: DataFrame, text: str = "text", min_docs: int = MIN_DOCS
     seen = materialize(lines.groupBy("tpl", "leaf", "n", "_uid").agg(F.min("_id").alias("_id")), "lines")
     own = materialize(seen.groupBy("tpl", "leaf", "n").agg(F.count("*").alias("docs"), F.min("_id").alias("first_id")), "own")
 
-    # Leaves with several lines and more than a token beyond the leading ones have a leader.
-    rank = F.struct(F.col("docs"), F.col("tpl"))
-    leaves = own.filter(F.col("n") >= DEPTH + 2).groupBy("leaf").agg(F.max(rank).alias("best"), F.count("*").alias("members"), F.sum("docs").alias("docs"))
-    leaves = materialize(leaves.filter("members > 1 and docs > 1").select("leaf", F.col("best.tpl").alias("leader")), "leaves")
+    # Leaves with several lines and more than a token beyond the leading ones have leaders.
+    leaves = own.filter(F.col("n") >= DEPTH + 2).groupBy("leaf").agg(F.count("*").alias("members"), F.sum("docs").alias("docs"))
+    leaves = materialize(leaves.filter("members > 1 and docs > 1").select("leaf"), "leaves")
     texts = lookup_join(lines.select("leaf", "tpl", "mask").filter(F.col("n") >= DEPTH + 2), leaves, ["leaf"], "inner")
-    texts = materialize(texts.groupBy("leaf", "tpl", "leader").agg(F.first("mask").alias("mask")), "texts")
-    leaders = materialize(texts.filter("tpl = leader").select("leaf", F.col("mask").alias("lead")), "leaders")
-    both = lookup_join(texts.filter("tpl <> leader"), leaders, ["leaf"], "inner")
-    rest = lambda c: F.slice(F.split(c, " "), DEPTH + 1, 1 << 30)
-    equal = F.aggregate(F.zip_with(rest("mask"), rest("lead"), lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
-    wanted = F.ceil(F.lit(AGREE) * F.size(rest("mask")))
-    merged = both.filter(equal >= wanted).select("tpl", F.col("leader").alias("template"))
-    merged = materialize(merged.union(merged.select("template", "template")).distinct(), "merged")
+    texts = materialize(texts.groupBy("leaf", "tpl").agg(F.first("mask").alias("mask")), "texts")
+    texts = lookup_join(texts, own.select("tpl", "docs"), ["tpl"], "inner", 0).select("leaf", "docs", "tpl", "mask").repartition("leaf")
+    texts = texts.sortWithinPartitions("leaf", F.desc("docs"), F.desc("tpl"))
+    merged = materialize(texts.mapInArrow(_grouped, "tpl long, template long"), "merged")
 
     enough = F.col("docs") >= F.when(F.col("n") >= long_tokens, 2).otherwise(min_docs)
     alone = lookup_join(own.filter(enough), merged, ["tpl"], "left_anti").select("tpl", F.col("tpl").alias("template"), "first_id")

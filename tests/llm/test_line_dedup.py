@@ -38,3 +38,12 @@ def test_edges(spark):
     got = sorted(((r["doc_id"] or 0), r["text"], r["n_lines"], r["n_dropped"]) for r in out.collect() if r["text"] is not None and r["doc_id"] != 7)
     assert got == [(0, "", 1, 1), (0, "q", 2, 1), (2, "", 1, 0), (3, "\n\n", 3, 0), (4, "a b c\n\nd", 3, 0), (4, "a b c\n\nd", 3, 0), (5, "", 1, 1), (6, " ", 2, 1)]
     assert line_dedup.drop_recurring_lines(df.limit(0)).count() == 0
+
+
+def test_every_family_of_a_leaf_is_found(spark):
+    names = ["anna", "berta", "carla", "dora"]
+    rows = [(i, f"this session was opened by {n} on the usual host\nown {n}") for i, n in enumerate(names)]
+    rows += [(4 + i, f"this session was opened far too late for us all\nown {i * 'z'}z") for i in range(2)]
+    rows += [(6 + i, f"this session was opened near {n} when it rained again\nown q{n}") for i, n in enumerate(names)]
+    got = run(spark, rows)
+    assert [got[(i, i)][2] for i in range(10)] == [0, 1, 1, 1, 0, 0, 0, 1, 1, 1]

@@ -10,6 +10,13 @@ all of them but those with its least document id.
 A template recurs from ``MIN_DOCS`` documents on, one of ``LONG_TOKENS`` or more tokens
 from two. Counts are over documents, so lines repeated inside one document alone stay.
 
+A passage recurs from two documents on: a run of equal lines in the same order (blank
+lines between them do not count) that holds ``LONG_TOKENS`` or more tokens. It stays in
+the least document id. Runs are found by their shortest windows of that many tokens from
+each line on and up to each line, which cover every such run and are equal wherever it
+stands. A text equal line by line to one of a lesser id loses all its lines as soon as it
+loses one, so no fragment of a copy stays.
+
 Only hashes of lines are exchanged, except for the lines of leaves that hold several
 different lines; leaves and templates are aggregated before they meet. A leaf's distinct
 lines pass through one task in order; only its leaders are held.
@@ -26,9 +33,12 @@ import math
 from collections.abc import Iterator
 from operator import eq
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import lookup_join, materialize, row_key
 
@@ -37,6 +47,7 @@ DEPTH = 4
 AGREE = 0.6
 MIN_DOCS = 3
 LONG_TOKENS = 50
+_BASE = 0x2545F4914F6CDD1D
 _FIELD = r"(?<!\S)[^\s\d]*+\d\S*"
 
 
@@ -128,18 +139,96 @@ def recurring(documents: DataFrame, text: str = "text", min_docs: int = MIN_DOCS
     return seen, materialize(alone.union(shared), "recurring")
 
 
+def _windows(long_tokens: int):
+    """Rows (_id, _uid, lines, counts) to (run, _uid, _id, first, last, whole), one per window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = np.array([len(x) for x in batch.column(2)], dtype=np.int64)
+            line = batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            count = batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            row, start = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.cumsum(sizes) - sizes, sizes)
+            at = np.arange(len(line)) - start
+            keep = count > 0
+            line, count, row, at = line[keep], count[keep], row[keep], at[keep]
+            n = len(line)
+            if not n:
+                continue
+            begin, end = np.searchsorted(row, row), np.searchsorted(row, row, side="right") - 1
+            upto = np.concatenate(([0], np.cumsum(count)))
+            # A window's hash is its part of a polynomial, divided by the power at its start.
+            factors = np.full((2, n + 1), [[_BASE], [pow(_BASE, -1, 1 << 64)]], dtype=np.uint64)
+            factors[:, 0] = 1
+            power, inverse = np.cumprod(factors, axis=1, dtype=np.uint64)
+            total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(line * power[:n], dtype=np.uint64)))
+            here = np.arange(n)
+            to = np.searchsorted(upto, upto[:-1] + long_tokens) - 1
+            since = np.searchsorted(upto, upto[1:] - long_tokens, side="right") - 1
+            forward, backward = to <= end, since >= begin
+            first, last = np.concatenate((here[forward], since[backward])), np.concatenate((to[forward], here[backward]))
+            several = first < last
+            heads = here[here == begin]
+            first, last = np.concatenate((first[several], heads)), np.concatenate((last[several], end[heads]))
+            whole = np.arange(len(first)) >= several.sum()
+            value = (total[last + 1] - total[first]) * inverse[first] ^ (last - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            value = value ^ whole.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            docs = pa.array(row[first])
+            columns = [pa.array(value.view(np.int64)), batch.column(1).take(docs), batch.column(0).take(docs), pa.array(at[first], pa.int32()), pa.array(at[last], pa.int32()), pa.array(whole)]
+            yield pa.RecordBatch.from_arrays(columns, ["run", "_uid", "_id", "first", "last", "whole"])
+
+    return run
+
+
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _marked(spans: pd.Series) -> pd.Series:
+    """Which lines the spans (first, last) of a document cover."""
+    out = []
+    for of in spans:
+        steps = np.zeros(max((s["last"] for s in of), default=-1) + 2, dtype=np.int64)
+        for s in of:
+            steps[s["first"]] += 1
+            steps[s["last"] + 1] -= 1
+        out.append((np.cumsum(steps)[:-1] > 0).tolist())
+    return pd.Series(out)
+
+
+def recurring_runs(documents: DataFrame, text: str = "text", long_tokens: int = LONG_TOKENS) -> DataFrame:
+    """(_uid, _runs, _whole): the lines of recurring runs in documents that are not their
+    least, by position, and the span of a text that is a whole copy of a lesser one."""
+    trimmed = F.transform(F.split(F.col(text), "\n"), lambda x: F.btrim(x, F.lit(" \t\r\f\v")))
+    of = documents.filter(F.col(text).isNotNull()).select(*row_key("doc_id", text), F.explode(F.array(trimmed)).alias("_all"))
+    tokens = lambda x: F.when(x == "", 0).otherwise(F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
+    of = of.select("_id", F.xxhash64("_id", "_th").alias("_uid"), F.transform("_all", lambda x: F.xxhash64(x)).alias("lines"), F.transform("_all", tokens).alias("counts"))
+    kind = of.schema["_id"].dataType.simpleString()
+    found = of.mapInArrow(_windows(long_tokens), f"run long, _uid long, _id {kind}, first int, last int, whole boolean")
+    found = materialize(found, "windows")
+    known = found.groupBy("run").agg(F.min("_id").alias("first_id"), F.min("_uid").alias("a"), F.max("_uid").alias("b"))
+    known = materialize(known.filter("a <> b and first_id is not null").select("run", "first_id"), "runs")
+    again = lookup_join(found, known, ["run"], "inner").filter(~F.col("_id").eqNullSafe(F.col("first_id")))
+    span = F.struct("first", "last")
+    spans = again.groupBy("_uid").agg(F.collect_set(F.when(~F.col("whole"), span)).alias("_spans"), F.max(F.when(F.col("whole"), F.col("last"))).alias("_whole"))
+    spans = materialize(spans, "spans")
+    return materialize(spans.select("_uid", F.when(F.size("_spans") > 0, _marked("_spans")).alias("_runs"), "_whole"), "marked")
+
+
 def drop_recurring_lines(documents: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, long_tokens: int = LONG_TOKENS) -> DataFrame:
     """``documents`` with recurring lines cut from ``text``, plus ``n_lines`` and ``n_dropped``."""
     seen, known = recurring(documents, text, min_docs, long_tokens)
     again = F.col("first_id").isNotNull() & ~F.col("_id").eqNullSafe(F.col("first_id"))
     drops = lookup_join(seen.select("tpl", "_uid", "_id"), known.select("tpl", "first_id"), ["tpl"], "inner").filter(again)
     drops = materialize(drops.groupBy("_uid").agg(F.collect_list("tpl").alias("_drops")), "drops")
+    drops = materialize(drops.join(recurring_runs(documents, text, long_tokens), "_uid", "full").filter("_drops is not null or _runs is not null"), "drops")
     keys = row_key("doc_id", text)
     rows = documents.withColumn("_uid", F.xxhash64(F.col("doc_id"), keys[1]))
     # What documents lose grows with the documents, so at every size both sides are exchanged.
     rows = lookup_join(rows, drops, ["_uid"], bound=0)
-    kept = F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains("_drops", _template(masked(x))))
-    rows = rows.withColumn("_kept", F.when(F.col("_drops").isNotNull(), kept))
+    by_template = lambda x: F.coalesce(F.array_contains("_drops", _template(masked(x))), F.lit(False))
+    blank = lambda x: F.btrim(x, F.lit(" \t\r\f\v")) == ""
+    in_run = lambda x, i: (F.coalesce(F.get("_runs", i), F.lit(False)) | F.col("_whole").isNotNull()) & ~blank(x)
+    kept = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~(in_run(x, i) | by_template(x)))
+    rows = rows.withColumn("_kept", F.when(F.col("_drops").isNotNull() | F.col("_runs").isNotNull(), kept))
     n_lines = F.coalesce(F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     cut = F.col("_kept").isNotNull()
     rows = rows.withColumn("_n", n_lines)

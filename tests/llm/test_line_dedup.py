@@ -47,3 +47,17 @@ def test_every_family_of_a_leaf_is_found(spark):
     rows += [(6 + i, f"this session was opened near {n} when it rained again\nown q{n}") for i, n in enumerate(names)]
     got = run(spark, rows)
     assert [got[(i, i)][2] for i in range(10)] == [0, 1, 1, 1, 0, 0, 0, 1, 1, 1]
+
+
+def test_passages_over_short_lines_go_from_two_documents(spark):
+    lines = [" ".join(f"{c}{chr(97 + i)}" for i in range(14)) for c in ("one", "two", "six", "ten")]
+    pair = [" ".join(f"{c}{chr(97 + i)}" for i in range(26)) for c in ("cat", "dog")]
+    passage = "\n".join([*lines, "and its end"])
+    rows = [
+        (1, f"head a\n{passage}\nfoot a"), (2, f"head b\nmore b\n{passage.replace(lines[2], chr(10) + lines[2])}\nfoot b"),
+        (3, f"x\n{pair[0]}\n{pair[1]}\ny"), (4, f"{pair[1]}\n{pair[0]}"), (5, f"short\n{lines[0].upper()}\n{lines[1].upper()}"), (6, f"{lines[0].upper()}\n{lines[1].upper()}\nof it"),
+    ]
+    got = run(spark, rows)
+    assert got[(1, 0)][2] == 0 and got[(2, 1)] == ("head b\nmore b\n\nfoot b", 9, 5)
+    assert [got[(i, i - 1)][2] for i in (3, 4, 5, 6)] == [0, 0, 0, 0]
+

@@ -61,3 +61,15 @@ def test_passages_over_short_lines_go_from_two_documents(spark):
     assert got[(1, 0)][2] == 0 and got[(2, 1)] == ("head b\nmore b\n\nfoot b", 9, 5)
     assert [got[(i, i - 1)][2] for i in (3, 4, 5, 6)] == [0, 0, 0, 0]
 
+
+
+def test_exact_copies_in_groups_of_two_leave_once(spark):
+    import corpus_pipeline
+
+    long = "\n".join([LONG, *(f"own line {c} of the first text" for c in "abcdefghijk")])
+    short = "a line of three\nsomething only here"
+    rows = [(1, long), (2, long), (3, short), (4, short), (5, "a line of three\nother words")]
+    docs = spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_copies(spark, corpus_pipeline.drop_lines(spark, docs, ""), "")
+    got = {r["doc_id"]: r["text"] for r in out.filter("text <> ''").collect()}
+    assert got == {1: long, 3: short, 5: "other words"}

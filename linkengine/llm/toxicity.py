@@ -3,7 +3,8 @@
 Token log-odds with a Dirichlet prior are learnt from labelled documents; a linear
 scan (Ruzzo and Tompa) finds all maximal-scoring passages of a text; passage scores
 become E-values under the extreme-value law of segment scores (Karlin and Altschul),
-and a one-variable logistic map turns the significant evidence into a probability.
+and a one-variable logistic map turns the significant evidence into a probability. A
+passage is significant when its E-value is below ``max_e``.
 
 Cases: a null or empty text has no passage and gets the calibrated base score.
 Repeated rows are scored one by one. Null labels are ignored; where one document has
@@ -25,17 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lookup_join, materialize
+
 #: Bound on labelled documents used to fit; a larger labelled set is hash-sampled.
 MAX_LABELLED = 20_000
-#: Bound on tokens that carry their own log-odds, by |z|.
-MAX_TERMS = 50_000
+#: A passage is significant below this expected number of chance passages.
+MAX_E = 1.0
 _WORD = re.compile(r"[^\W_]+")
 _HASH_SPACE = 1 << 20
 
 
 @dataclass
 class ToxicityModel:
-    """Fitted parameters; a few numbers and at most ``MAX_TERMS`` token scores."""
+    """Fitted parameters; the token scores are of words in the labelled sample, which bounds them."""
 
     scores: dict[str, float] = field(default_factory=dict)
     drift: float = -0.05
@@ -43,6 +46,11 @@ class ToxicityModel:
     log_k: float = 0.0
     intercept: float = -20.0
     slope: float = 1.0
+    max_e: float = MAX_E
+
+    def base(self, n_tokens: int) -> float:
+        """The normalised score from which a passage in ``n_tokens`` tokens is significant."""
+        return self.log_k + math.log(max(n_tokens, 1)) - math.log(self.max_e)
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(self.intercept + self.slope * evidence, -60, 60)))
@@ -52,9 +60,15 @@ def maximal_segments(positions: list[int], values: list[float], drift: float) ->
     """All maximal-scoring segments, as (first token, last token, score).
 
     ``positions`` and ``values`` name the tokens with their own score; every token
-    between them scores ``drift`` (negative). One pass, each candidate merged once.
+    between them scores ``drift`` (negative). Every candidate remembers the nearest one
+    before it with a lesser sum at its start; what lies between is never looked at again,
+    so the pass is linear in the number of positions.
     """
-    found: list[list[float]] = []  # first, last, sum before, sum up to the end
+    first: list[int] = []
+    last: list[int] = []
+    low: list[float] = []  # sum before the candidate
+    high: list[float] = []  # sum up to its end
+    lesser: list[int] = []  # nearest candidate before it of a lesser ``low``
     total, previous = 0.0, -1
     for at, value in zip(positions, values):
         total += (at - previous - 1) * drift
@@ -62,18 +76,19 @@ def maximal_segments(positions: list[int], values: list[float], drift: float) ->
         before, total = total, total + value
         if value <= 0:
             continue
-        new = [at, at, before, total]
-        j = len(found) - 1
-        while True:
-            while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= new[3]:
-                found.append(new)
-                break
-            new = [found[j][0], at, found[j][2], total]
-            del found[j:]
-            j -= 1
-    return [(int(a), int(b), d - c) for a, b, c, d in found]
+        start, j = at, len(low) - 1
+        while j >= 0 and low[j] >= before:
+            j = lesser[j]
+        while j >= 0 and high[j] < total:
+            start, before, k = first[j], low[j], lesser[j]
+            del first[j:], last[j:], low[j:], high[j:], lesser[j:]
+            j = k
+        first.append(start)
+        last.append(at)
+        low.append(before)
+        high.append(total)
+        lesser.append(j)
+    return [(a, b, d - c) for a, b, c, d in zip(first, last, low, high)]
 
 
 def scan(text: str | None, model: ToxicityModel) -> tuple[int, list[tuple[int, int, float]]]:
@@ -85,8 +100,8 @@ def scan(text: str | None, model: ToxicityModel) -> tuple[int, list[tuple[int, i
 
 
 def evidence(n_tokens: int, segments: list[tuple[int, int, float]], model: ToxicityModel) -> float:
-    """Summed normalised scores of the segments with an E-value below one."""
-    base = model.log_k + math.log(max(n_tokens, 1))
+    """Summed normalised scores of the significant segments."""
+    base = model.base(n_tokens)
     return min(60.0, sum(max(0.0, model.lam * s - base) for _, _, s in segments))
 
 
@@ -140,29 +155,33 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(max(b, 0.0))
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, min_z: float = 3.0) -> ToxicityModel:
+def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, min_z: float = 3.0, max_e: float = MAX_E) -> ToxicityModel:
     """Learn from the rows of ``labels`` (doc_id, toxic), a hash sample of at most about ``max_labelled``.
 
-    A token occurrence counts once per distinct pair of neighbours, so copies of one
-    document do not multiply its words. Every fifth labelled document (by a hash of
+    A token occurrence counts once per class and distinct pair of neighbours, so copies of
+    one document do not multiply its words. All tokens of the sample that reach ``min_z``
+    get a score. Every fifth labelled document (by a hash of
     its id) is kept from the token counts and used to calibrate.
     """
     spark = documents.sparkSession
-    labels = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {r["toxic"]: r["count"] for r in labels.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).count().collect()}
+    labels = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    counts = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
     n_all, n_toxic = sum(counts.values()), counts.get(1, 0)
     base = (n_toxic + 0.5) / (n_all + 1) if n_all else 0.0
-    constant = ToxicityModel(intercept=math.log(base / (1 - base)) if base else -60.0, slope=0.0)
+    constant = ToxicityModel(intercept=math.log(base / (1 - base)) if base else -60.0, slope=0.0, max_e=max_e)
     if n_toxic in (0, n_all):
         return constant
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(_HASH_SPACE))
     sample = labels.filter(slot < int(_HASH_SPACE * min(1.0, max_labelled / n_all)) + 1)
     sample = sample.withColumn("fold", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(5)))
-    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # The sample is bounded by ``max_labelled``, its texts are not: they stay distributed.
+    sample = materialize(sample, "labelled")
+    rows = materialize(lookup_join(documents.select("doc_id", "text"), sample, ["doc_id"], "inner"), "labelled-texts")
 
     seen = rows.filter("fold <> 0").select("text", "toxic").mapInPandas(_contexts, "token string, around long, toxic int")
-    seen = seen.groupBy("token", "around").agg(F.max("toxic").alias("toxic"))
-    per_token = seen.groupBy("token").agg(F.sum("toxic").cast("long").alias("y1"), F.count("*").alias("y"))
+    seen = seen.groupBy("token", "around").agg(F.max("toxic").alias("y1"), F.max(1 - F.col("toxic")).alias("y0"))
+    per_token = seen.groupBy("token").agg(F.sum("y1").cast("long").alias("y1"), F.sum(F.col("y1") + F.col("y0")).cast("long").alias("y"))
+    per_token = materialize(per_token, "terms")
     total = per_token.agg(F.sum("y1"), F.sum("y"), F.count("*")).first()
     n1, n, vocabulary = total[0] or 0, total[1] or 0, total[2]
     n0 = n - n1
@@ -175,11 +194,12 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     y1, y0 = F.col("y1") + a, F.col("y") - F.col("y1") + a
     odds = F.log(y1 / (n1 + a_all - y1)) - F.log(y0 / (n0 + a_all - y0))
     scored = per_token.select("token", "y", "y1", odds.alias("odds"), (odds / F.sqrt(1 / y1 + 1 / y0)).alias("z"))
-    terms = scored.filter(F.abs("z") >= min_z).orderBy(F.abs("z").desc(), "token").limit(MAX_TERMS).collect()
+    # As many as the bounded sample has significant words.
+    terms = scored.filter(F.abs("z") >= min_z).collect()
     scores = {r["token"]: float(max(-3.0, min(12.0, r["odds"]))) for r in terms if r["odds"] > 0 or r["z"] <= -2 * min_z}
     if not any(s > 0 for s in scores.values()):
         return constant
-    model = ToxicityModel(scores=scores)
+    model = ToxicityModel(scores=scores, max_e=max_e)
     background = [((r["y"] - r["y1"] + 0.5) / (n0 + a_all), scores[r["token"]]) for r in terms if r["token"] in scores]
     p = np.array([x for x, _ in background])
     s = np.array([x for _, x in background])
@@ -189,16 +209,19 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     model.lam = _solve_lambda(np.append(s, model.drift), np.append(p, rest))
 
     held = rows.filter("fold = 0").select("text", "toxic").mapInPandas(_segment_stats(model), "toxic int, n long, segments array<double>")
-    held_rows = held.collect()
-    clean = [r for r in held_rows if not r["toxic"]]
+    held = materialize(held, "held-out")
     floor = min(x for x in scores.values() if x > 0)
-    above = sum(1 for r in clean for x in r["segments"] if x >= floor)
-    model.log_k = math.log((above + 0.5) / (sum(r["n"] for r in clean) + 1)) + model.lam * floor
-    if len({r["toxic"] > 0 for r in held_rows}) < 2:
+    by_chance = F.coalesce(F.sum(F.size(F.filter("segments", lambda x: x >= floor))), F.lit(0))
+    above, n_tokens = held.filter("toxic = 0").agg(by_chance, F.coalesce(F.sum("n"), F.lit(0))).first()
+    model.log_k = math.log((above + 0.5) / (n_tokens + 1)) + model.lam * floor
+    # One number per held-out document of the bounded sample.
+    level = F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) + model.base(1)
+    total_score = F.aggregate("segments", F.lit(0.0), lambda acc, s: acc + F.greatest(s * model.lam - level, F.lit(0.0)))
+    found = held.select("toxic", F.least(total_score, F.lit(60.0)).alias("x")).collect()
+    if len({r["toxic"] for r in found}) < 2:
         model.intercept, model.slope = math.log(base / (1 - base)), 1.0
         return model
-    x = np.array([evidence(r["n"], [(0, 0, v) for v in r["segments"]], model) for r in held_rows])
-    model.intercept, model.slope = _fit_logistic(x, np.array([float(r["toxic"] > 0) for r in held_rows]))
+    model.intercept, model.slope = _fit_logistic(np.array([r["x"] for r in found]), np.array([float(r["toxic"]) for r in found]))
     return model
 
 
@@ -220,9 +243,9 @@ def score_documents(documents: DataFrame, model: ToxicityModel, text: str = "tex
             facts, spans = [], []
             for value in batch.column(at).to_pylist():
                 n, segments = scan(value, m)
-                base = m.log_k + math.log(max(n, 1))
+                base = m.base(n)
                 facts.append(evidence(n, segments, m))
-                spans.append([{"first": a, "last": b, "e_value": math.exp(min(700.0, base - m.lam * s))} for a, b, s in segments if m.lam * s > base])
+                spans.append([{"first": a, "last": b, "e_value": m.max_e * math.exp(min(700.0, base - m.lam * s))} for a, b, s in segments if m.lam * s > base])
             scores = pa.array(m.probability(np.array(facts, dtype=float)), pa.float64())
             kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("e_value", pa.float64())]))
             yield pa.RecordBatch.from_arrays([*batch.columns, scores, pa.array(spans, kind)], [*names, "toxicity", "toxic_passages"])

@@ -1,4 +1,6 @@
 import itertools
+import random
+import time
 
 import pytest
 from linkengine.llm import toxicity
@@ -74,3 +76,26 @@ def test_edges(spark):
     assert len(scores) == 1 and scores.pop() < 0.5
     null_labels = labels.withColumn("toxic", labels.toxic.cast("int") * 0).filter("false")
     assert isinstance(toxicity.fit(docs, null_labels), ToxicityModel)
+
+
+def test_scan_is_linear():
+    """A million isolated hits, the case in which every candidate stays in the list."""
+    took = []
+    for n in (100_000, 1_000_000):
+        began = time.perf_counter()
+        found = maximal_segments(list(range(0, 4 * n, 4)), [1.0] * n, -0.5)
+        took.append(time.perf_counter() - began)
+        assert len(found) == n
+    assert took[1] < 40 * took[0] and took[1] < 20
+    random.seed(1)
+    values = [random.choice([3.0, 1.0, -2.0]) for _ in range(300_000)]
+    assert maximal_segments(list(range(300_000)), values, -1.0)
+
+
+def test_all_significant_words_are_kept(spark):
+    """No bound on the number of scored words but the labelled sample's own."""
+    rows = [(i, " ".join(f"t{i % 40}x{j}" if i % 2 else f"c{i % 40}x{j}" for j in range(60))) for i in range(1200)]
+    docs = spark.createDataFrame([(i, f"{t} w{i}") for i, t in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 100 * (i % 2)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, min_z=0.01)
+    assert len(model.scores) > 1000

@@ -1,36 +1,52 @@
 """Token counts of whole texts, huge documents by overlapping chunks.
 
-A text longer than one chunk is cut into chunks that overlap. Each chunk is encoded on
-its own into units (start offset, tokens); neighbours are spliced at an offset where
-both encodings start a unit and which is proven stable. For tokenizers that pass
-``whitespace_is_stable`` the proof is the tokenizer's own definition: ASCII white space
-is a starter for normalisation, no pre-token and no added token spans it, and the model
-merges inside pre-tokens only, so what stands before an ASCII white-space run cannot
-change what follows it. The cut ends of a chunk lie outside its stable offsets. If two
-neighbours have no common stable boundary in their overlap, the overlap is widened and
-the pair encoded again, up to the whole text.
-
-Units are counted by the tokenizer library once per distinct unit and worker, in
-a bounded memo.
+A text longer than one chunk is cut into chunks that overlap. The tokenizer library
+encodes each chunk on its own, with the offsets of its tokens; neighbours are spliced at an
+offset in their overlap where a token starts and none is cut in both encodings, and which is
+proven stable. If they have no such offset, the overlap is widened and the chunk encoded
+again, up to the whole text.
+
+An offset is stable between two characters (``Boundaries``) if what stands on one side of it cannot
+change how the other side is encoded:
+
+- The normaliser works on single characters, on white-space runs, or composes (NFC), and the
+  character after the offset never composes with one before it.
+- The pre-tokenizer's alternatives are runs of one class without look-around, so the split
+  after the offset depends on what follows it only, or on a token that spans the offset.
+- No special string touches it.
+- No token can span it: white space is dropped on one side of it, or no token of the vocabulary
+  holds the last byte before it and the first byte after it next to each other. Merges join
+  neighbours only, so the two sides then merge independently.
+
+The last rule gives stable offsets inside texts without white space (CJK, base64). The
+offsets at the cut ends of a chunk are never used.
+
+A text of one chunk has nothing to splice: it is the sum of its white-space delimited units,
+each encoded by the library once per worker and kept in a memo of bounded bytes, since the
+same proof holds at white space.
 
 Cases: null counts as empty: 0 bytes and 0 tokens. Repeated rows are counted one by one.
-Columns other than the text pass through untouched.
+Very long texts are encoded whole, chunk by chunk. Columns other than the text pass through
+untouched; added columns replace columns of the same name.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-CHUNK_CHARS = 1 << 15
+CHUNK_CHARS = 1 << 14
 OVERLAP_CHARS = 256
-#: Distinct units kept per worker; the memo starts anew beyond it.
-MEMO_UNITS = 600_000
+#: Characters of the units kept per worker, with 64 for each; the memo starts anew beyond it.
+MEMO_CHARS = 64 << 20
+#: Chunks handed to the library at once.
+CHUNK_BATCH = 8
 _UNIT = re.compile(r"[^ \t\n\r\f\v]+")
 
 
@@ -61,8 +77,58 @@ def whitespace_is_stable(definition: dict) -> bool:
     return len(plain) == len(alternatives)
 
 
-class UnitEncoder:
-    """Encodes chunks into white-space delimited units with their token counts."""
+def _byte_characters() -> dict[str, int]:
+    """The printable stand-ins of byte-level vocabularies, to bytes."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+class Boundaries:
+    """Which offsets of a text are stable for a byte-level BPE definition."""
+
+    def __init__(self, definition: dict):
+        to_byte, suffix = _byte_characters(), definition["model"].get("end_of_word_suffix") or ""
+        self._joined: set[tuple[int, int]] = set()
+        for token in definition["model"]["vocab"]:
+            bytes_ = [to_byte.get(c) for c in (token.removesuffix(suffix) if suffix else token)]
+            self._joined.update(zip(bytes_, bytes_[1:]))
+        kinds = definition["normalizer"] or {}
+        kinds = {n["type"] for n in kinds.get("normalizers", [kinds] if kinds else [])}
+        self._composes, self._lowers = "NFC" in kinds, "Lowercase" in kinds
+        self._known: dict[tuple[str, str], bool] = {}
+
+    def _plain(self, c: str) -> bool:
+        """Whether ``c`` never composes with what precedes it: no mark, no trailing jamo."""
+        return unicodedata.category(c)[0] != "M" and not "\u1160" <= c <= "\u11ff" and unicodedata.category(c) != "Cs"
+
+    def _bytes(self, c: str) -> bytes:
+        c = unicodedata.normalize("NFC", c) if self._composes else c
+        return (c.lower() if self._lowers else c).encode()
+
+    def _stable(self, before: str, after: str) -> bool:
+        if not (self._plain(before) and self._plain(after)) or after.isspace():
+            return False
+        if before in " \t\n\r\f\v":
+            return True
+        return not before.isspace() and (self._bytes(before)[-1], self._bytes(after)[0]) not in self._joined
+
+    def stable(self, text: str, at: int) -> bool:
+        """Whether a token starts at ``at`` whatever stands before it. White space after an
+        offset never counts: no token starts there."""
+        if not 0 < at < len(text):
+            return False
+        pair = (text[at - 1], text[at])
+        known = self._known.get(pair)
+        if known is None:
+            if len(self._known) > 1 << 16:
+                self._known.clear()
+            known = self._known[pair] = self._stable(*pair)
+        return known
+
+
+class LibraryEncoder:
+    """The tokenizer library: chunks with offsets, and units with their token counts."""
 
     def __init__(self, path: str):
         import json
@@ -73,54 +139,81 @@ class UnitEncoder:
             definition = json.load(f)
         if not whitespace_is_stable(definition):
             raise ValueError(f"no stable boundaries are proven for {path}")
+        self.boundaries = Boundaries(definition)
+        self.special = [t["content"] for t in definition["added_tokens"]]
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.memo: dict[str, int] = {}
+        self.memo_chars = 0
+
+    def encode(self, chunks: list[str]) -> list[list[tuple[int, int]]]:
+        """The offsets of the tokens of each chunk."""
+        return [e.offsets for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
 
     def counts(self, units: list[str]) -> list[int]:
-        """Tokens of each unit; unknown ones are learnt through the library in one batch."""
+        """Tokens of each unit; unknown ones are learnt through the library in batches."""
         out = list(map(self.memo.get, units))
         if None in out:
             parts = {u: self._parts(u) for u, n in zip(units, out) if n is None}
-            if len(self.memo) + len(parts) > MEMO_UNITS:
+            if self.memo_chars > MEMO_CHARS:
                 self.memo.clear()
-            memo = self.memo
+                self.memo_chars = 0
+            memo, fresh = self.memo, {u: n for u, n in zip(units, out) if n is not None}
             new = list({p for both in parts.values() for p in both if p not in memo})
             for at in range(0, len(new), 4096):
                 block = new[at : at + 4096]
-                memo.update(zip(block, map(len, self.tokenizer.encode_batch_fast(block, add_special_tokens=False))))
+                fresh.update(zip(block, map(len, self.tokenizer.encode_batch_fast(block, add_special_tokens=False))))
             for unit, both in parts.items():
-                memo[unit] = sum(memo[p] for p in both)
-            out = [n if n is not None else memo[u] for n, u in zip(out, units)]
+                fresh[unit] = sum(fresh[p] if p in fresh else memo[p] for p in both)
+            out = [n if n is not None else fresh[u] for n, u in zip(out, units)]
+            self.memo_chars += sum(len(u) + 64 for u in fresh if u not in memo)
+            memo.update(fresh)
         return out
 
     @staticmethod
     def _parts(unit: str) -> tuple[str, ...]:
         """The unit, cut before closing full stops and commas if these follow an ASCII
-        letter: they are a pre-token of their own there, so the counts add up."""
+        letter: a run of letters ends there, and a run of marks goes to the unit's end."""
         stem = unit.rstrip(".,")
         if 0 < len(stem) < len(unit) and stem[-1].isascii() and stem[-1].isalpha():
             return stem, unit[len(stem) :]
         return (unit,)
 
-    def encode(self, chunk: str) -> tuple[np.ndarray, np.ndarray]:
-        """Start offsets of the units and the tokens before each of them, plus the total."""
-        found = [(m.start(), m.group()) for m in _UNIT.finditer(chunk)]
-        starts = np.array([a for a, _ in found], dtype=np.int64)
-        before = np.concatenate(([0], np.cumsum(np.array(self.counts([u for _, u in found]), dtype=np.int64))))
-        return starts, before
-
     def count(self, text: str) -> int:
         return sum(self.counts(_UNIT.findall(text)))
 
 
-def _splice(left: tuple, right: tuple, low: int, high: int) -> int | None:
-    """The first offset in [low, high) where both encodings start a unit."""
-    a = left[0][(left[0] >= low) & (left[0] < high)]
-    b = right[0][(right[0] >= low) & (right[0] < high)]
-    both = np.intersect1d(a, b, assume_unique=True)
-    return int(both[0]) if len(both) else None
+class _Chunk:
+    """Text [low, high) and its tokens, in offsets of the whole text."""
+
+    def __init__(self, low: int, high: int, offsets: list[tuple[int, int]]):
+        self.low, self.high = low, high
+        self.starts = [low + a for a, _ in offsets]
+        self.ends = [low + b for _, b in offsets]
+
+    def before(self, at: int) -> int:
+        """How many tokens start before ``at``."""
+        return bisect_left(self.starts, at)
+
+    def clean(self, at: int) -> bool:
+        """Whether a token starts at ``at`` and none is cut by it."""
+        i = bisect_left(self.starts, at)
+        return i < len(self.starts) and self.starts[i] == at and (i == 0 or self.ends[i - 1] <= at)
+
+
+def _cut(text: str, left: _Chunk, right: _Chunk, after: int, encoder) -> int | None:
+    """The first stable offset beyond ``after`` inside the overlap where both start a token."""
+    low, high = max(after, right.low) + 1, min(left.high, right.high)
+    for i in range(bisect_left(right.starts, low), len(right.starts)):
+        at = right.starts[i]
+        if at >= high:
+            return None
+        if left.clean(at) and right.clean(at) and encoder.boundaries.stable(text, at):
+            # Special strings split texts before all else, and a chunk may hold part of one only.
+            if not any(s in text[max(0, at - len(s)) : at + len(s)] for s in encoder.special):
+                return at
+    return None
 
 
 def count_tokens(text: str, encoder, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> int:
@@ -128,36 +221,36 @@ def count_tokens(text: str, encoder, chunk_chars: int = CHUNK_CHARS, overlap: in
     size = len(text)
     if size <= chunk_chars:
         return encoder.count(text)
+    spans = [(max(0, a - overlap), min(size, a + chunk_chars)) for a in range(0, size, chunk_chars)]
+
+    def chunks() -> Iterator[_Chunk]:
+        for i in range(0, len(spans), CHUNK_BATCH):
+            part = spans[i : i + CHUNK_BATCH]
+            for (a, b), offsets in zip(part, encoder.encode([text[a:b] for a, b in part])):
+                yield _Chunk(a, b, offsets)
 
-    def encoded(a: int, b: int) -> tuple[np.ndarray, np.ndarray, int, int]:
-        starts, before = encoder.encode(text[a:b])
-        return starts + a, before, a, b
-
-    total, at, begin = 0, 0, 0
-    left = encoded(0, min(size, chunk_chars + overlap))
-    while True:
-        begin = left[3]
-        if begin >= size:
-            return total + int(left[1][-1] - left[1][np.searchsorted(left[0], at)])
-        wide, cut, right = overlap, None, left
-        while cut is None:
-            # The first unit of the right chunk and the last of the left one may be cut.
-            low = max(begin - wide, left[2])
-            right = encoded(low, min(size, begin + chunk_chars))
-            last = int(left[0][-1]) if len(left[0]) else low
-            cut = _splice(left, right, max(low + (low > 0), at + 1), last + 1)
-            if cut is not None or low <= left[2]:
-                break
+    def one(a: int, b: int) -> _Chunk:
+        return _Chunk(a, b, encoder.encode([text[a:b]])[0])
+
+    total, at, left = 0, 0, None
+    for right in chunks():
+        if left is None:
+            left = right
+            continue
+        high, wide = right.high, overlap
+        while (cut := _cut(text, left, right, at, encoder)) is None and right.low > left.low:
             wide *= 2
+            right = one(max(left.low, left.high - wide), high)
         if cut is None:
-            # No stable boundary in the whole left chunk: it grows and is encoded again.
-            left = encoded(left[2], min(size, left[3] + max(chunk_chars, left[3] - left[2])))
+            # No stable offset in the whole left chunk: both become one.
+            left = one(left.low, high)
             continue
-        total += int(left[1][np.searchsorted(left[0], cut)] - left[1][np.searchsorted(left[0], at)])
+        total += left.before(cut) - left.before(at)
         at, left = cut, right
+    return total + len(left.starts) - left.before(at)
 
 
-def _worker_encoder(tokenizer: str) -> UnitEncoder:
+def _worker_encoder(tokenizer: str) -> LibraryEncoder:
     """One encoder per worker process; functions shipped by value have globals of their
     own in every task, so the memo is kept in a module of the worker."""
     import os
@@ -167,7 +260,7 @@ def _worker_encoder(tokenizer: str) -> UnitEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     cache = sys.modules.setdefault("linkengine_worker_cache", ModuleType("linkengine_worker_cache"))
     if getattr(cache, "encoder_of", None) != tokenizer:
-        cache.encoder = UnitEncoder(tokenizer if os.path.isabs(tokenizer) else tokenizer_path(tokenizer))
+        cache.encoder = LibraryEncoder(tokenizer if os.path.isabs(tokenizer) else tokenizer_path(tokenizer))
         cache.encoder_of = tokenizer
     return cache.encoder
 

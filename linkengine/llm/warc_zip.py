@@ -1,32 +1,46 @@
 """WARC archives packaged in ZIP files, read by ranges without extraction.
 
-A package holds a stored (uncompressed) member ``archive/data.warc.gz`` of one gzip
-member per record and a stored ``indexes/index.cdxj`` with a line per record. The reader
-parses the end-of-central-directory records (ZIP64 as well), the central directory and
-the local headers, locates the stored members, reads the index and then each record by
-its byte range inside the package.
-
-Executors exchange packages through the shared folder as files of their own, written
-by Spark's committed output, so retries and lost executors leave no partial archive.
+A package holds stored (uncompressed) members: archives ``archive/*.warc`` or ``*.warc.gz``
+(one gzip member per record) and indexes ``indexes/*.cdxj``, ``*.cdx`` or either with
+``.gz``, a line of key, timestamp and JSON fields per record. The reader opens a package by
+its path, reads its tail, parses the end-of-central-directory records (ZIP64 as well), the
+central directory and the local headers, locates archives and indexes, and reads each
+record by its byte range inside the package. No package is loaded or extracted.
+
+Packages are listed by Spark and opened on the executors by ``pyarrow.fs`` (local and
+mounted folders, HDFS, S3, GCS), so they may be of any size. A first pass reads the
+directories and indexes and deals the entries out in slices of ``SLICE_RECORDS``; a second reads the
+records, so that one package of many records is shared by many tasks.
+
+Packages are written by Spark's committed output, so retries and lost executors leave no
+partial archive. The text writer stores a package per file as it is and appends a line
+feed, which is the ZIP's comment.
 
 Cases: a null html is an empty payload. Repeated rows are records of their own; rows
 that share the largest id of a payload are all responses, and so are rows of payloads
 without any id. A null id is written as such and read back as null. Control characters
-of a url are percent-encoded. An empty table gives an empty result.
+of a url are percent-encoded. Very long payloads are read one record at a time. Records without a
+payload digest get that of what they hold. Index lines that begin with ``!`` are headers.
+An index without a ``filename`` refers to the only archive. A package with archives but no
+index is an error. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import json
+import re
 import struct
 import uuid
 import zipfile
 import zlib
+from collections import OrderedDict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +49,12 @@ from .common import lookup_join, materialize, shared_dir
 
 ARCHIVE_MEMBER = "archive/data.warc.gz"
 INDEX_MEMBER = "indexes/index.cdxj"
+ARCHIVE_ENDS = (".warc", ".warc.gz")
+INDEX_ENDS = (".cdxj", ".cdx", ".cdxj.gz", ".cdx.gz")
+#: Records that a task reads from one package before the next slice may go elsewhere.
+SLICE_RECORDS = 1000
+#: Open packages that a task holds at once.
+OPEN_PACKAGES = 8
 #: A package is closed once its records reach this size.
 PACKAGE_BYTES = 8 << 20
 #: Payloads below this many bytes are never revisits.
@@ -106,6 +126,10 @@ class ZipRanges:
         n_name, n_extra = struct.unpack_from("<HH", header, 26)
         return local + 30 + n_name + n_extra, packed
 
+    def read(self, offset: int, length: int) -> bytes:
+        """Bytes of the package itself."""
+        return self._read(offset, length)
+
     def range(self, name: str, offset: int, length: int) -> bytes:
         start, size = self.locate(name)
         if offset < 0 or offset + length > size:
@@ -118,15 +142,18 @@ def open_bytes(content: bytes) -> ZipRanges:
     return ZipRanges(lambda at, n: bytes(view[at : at + n]), len(content))
 
 
-def open_file(path: str) -> ZipRanges:
-    """A package on a mounted file system; every read is a seek and a read."""
-    f = open(path, "rb")  # noqa: SIM115  held as long as the reader
+def open_path(path: str) -> ZipRanges:
+    """A package by its path or uri; every read is of one range."""
+    from pyarrow import fs
+
+    path = re.sub("^file:/*", "file:///", path)
+    store, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    f = store.open_input_file(inner)
 
     def read(at: int, n: int) -> bytes:
-        f.seek(at)
-        return f.read(n)
+        return f.read_at(n, at)
 
-    return ZipRanges(read, f.seek(0, 2))
+    return ZipRanges(read, f.size())
 
 
 def _clean(value: str | None) -> str:
@@ -152,28 +179,37 @@ def build_record(page_id: int | None, url: str | None, payload: bytes, digest: s
     return packer.compress("\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
+def _digest(value: str | None) -> str | None:
+    """The hex form of a SHA-1 given in base 32 or in hex; null for other digests."""
+    kind, _, text = (value or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    return base64.b32decode(text.upper()).hex() if len(text) == 32 else text.lower()
+
+
 def parse_record(packed: bytes) -> dict:
-    """Headers and payload of one gzipped record; digest and length are of the full payload."""
-    raw = zlib.decompress(packed, 31)
+    """Headers and payload of one record, gzipped or plain; digest and length are of the full payload."""
+    raw = zlib.decompress(packed, 31) if packed[:2] == b"\x1f\x8b" else packed
     head, _, rest = raw.partition(b"\r\n\r\n")
     version, *lines = head.decode("utf-8", "surrogatepass").split("\r\n")
     if not version.startswith("WARC/1."):
         raise ValueError("not a WARC record")
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
     block = rest[: int(fields["content-length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    declared = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
+    is_http = "application/http" in fields.get("content-type", "")
+    http, _, payload = block.partition(b"\r\n\r\n") if is_http else (b"", b"", block)
+    declared = _digest(fields.get("warc-payload-digest"))
     revisit = fields["warc-type"] == "revisit"
     if revisit:
         http_fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in http.decode("latin-1").split("\r\n")[1:])}
-        size, digest = int(http_fields["content-length"]), declared
+        size, digest = int(http_fields.get("content-length", 0)), declared
     else:
         size, digest = len(payload), hashlib.sha1(payload).hexdigest()
-        if digest != declared:
+        if declared not in (None, digest):
             raise ValueError("payload digest does not match")
-    number = lambda v: int(v[10:-1]) if v and len(v) > 11 else None
+    number = lambda v: int(v[10:-1]) if v and re.fullmatch(r"<urn:page:-?[0-9]+>", v) else None
     return {
-        "page_id": number(fields["warc-record-id"]),
+        "page_id": number(fields.get("warc-record-id")),
         "url": fields.get("warc-target-uri"),
         "payload": payload,
         "payload_bytes": size,
@@ -183,12 +219,19 @@ def parse_record(packed: bytes) -> dict:
     }
 
 
-def build_package(records: list[bytes]) -> bytes:
-    """A package of finished records. Its comment is one line feed, which is what the
-    text writer appends to a value, so the file as written is the complete ZIP."""
+def _surt(url: str | None) -> str:
+    """The sort key of a url: host labels from the last, then the path."""
+    host, _, path = (url or "").partition("://")[2].partition("/")
+    return f"{','.join(reversed(_clean(host).lower().split('.')))})/{_clean(path)}"
+
+
+def build_package(records: list[bytes], urls: list[str | None] | None = None) -> bytes:
+    """A package of finished records, as it is before the line feed that is its comment."""
     offset, index = 0, []
     for i, r in enumerate(records):
-        index.append(json.dumps({"record": i, "offset": offset, "length": len(r)}))
+        url = urls[i] if urls else None
+        fields = {"url": _clean(url), "mime": "text/html", "status": "200", "length": str(len(r)), "offset": str(offset), "filename": ARCHIVE_MEMBER.rpartition("/")[2]}
+        index.append(f"{_surt(url)} {re.sub('[^0-9]', '', DATE)} {json.dumps(fields)}")
         offset += len(r)
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
@@ -198,45 +241,101 @@ def build_package(records: list[bytes]) -> bytes:
     return out.getvalue()[:-1]
 
 
+def index_entries(package: ZipRanges) -> Iterator[tuple[str, int, int]]:
+    """(archive member, offset, length) of every record that the package's indexes name."""
+    archives = {m.rpartition("/")[2]: m for m in package.members if m.startswith("archive/") and m.endswith(ARCHIVE_ENDS)}
+    indexes = sorted(m for m in package.members if m.startswith("indexes/") and m.endswith(INDEX_ENDS))
+    if archives and not indexes:
+        raise ValueError("the package has archives but no index")
+    for member in indexes:
+        content = package.range(member, 0, package.locate(member)[1])
+        if member.endswith(".gz"):
+            content = gzip.decompress(content)
+        for line in content.decode().splitlines():
+            if not line.strip() or line.startswith("!"):
+                continue
+            fields = json.loads(line[line.index("{") :])
+            name = fields.get("filename")
+            if name is None and len(archives) != 1:
+                raise ValueError("an index line names no archive")
+            yield archives[name.rpartition("/")[2]] if name else next(iter(archives.values())), int(fields["offset"]), int(fields["length"])
+
+
 def read_package(package: ZipRanges) -> Iterator[dict]:
     """The records of a package, each by its range."""
-    start, size = package.locate(INDEX_MEMBER)
-    for line in package.range(INDEX_MEMBER, 0, size).decode().split("\n"):
-        if line:
-            entry = json.loads(line)
-            yield parse_record(package.range(ARCHIVE_MEMBER, entry["offset"], entry["length"]))
+    for member, offset, length in index_entries(package):
+        yield parse_record(package.range(member, offset, length))
 
 
 def _packages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     records: list[bytes] = []
+    urls: list[str | None] = []
     size = 0
+    whole = lambda v: None if v is None else int(v)
     for pdf in batches:
         for page_id, url, payload, digest, refers_to, revisit in zip(pdf["page_id"], pdf["url"], pdf["payload"], pdf["digest"], pdf["refers_to"], pdf["revisit"]):
-            whole = lambda v: None if v is None else int(v)
             records.append(build_record(whole(page_id), url, bytes(payload), digest, whole(refers_to), bool(revisit)))
+            urls.append(url)
             size += len(records[-1])
             if size >= PACKAGE_BYTES:
-                yield pd.DataFrame({"content": [build_package(records)]})
-                records, size = [], 0
+                yield pd.DataFrame({"content": [build_package(records, urls)]})
+                records, urls, size = [], [], 0
     if records:
-        yield pd.DataFrame({"content": [build_package(records)]})
+        yield pd.DataFrame({"content": [build_package(records, urls)]})
 
 
 def _whole(values: list) -> pd.Series:
     return pd.Series(values, dtype="Int64")
 
 
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Paths of packages to slices of their index: absolute offsets and lengths of records."""
+    for pdf in batches:
+        for path in pdf["path"]:
+            package, offsets, lengths = open_path(path), [], []
+            located: dict[str, tuple[int, int]] = {}
+
+            def slice_() -> pd.DataFrame:
+                out = pd.DataFrame({"path": [path], "offsets": [np.array(offsets, dtype=np.int64)], "lengths": [np.array(lengths, dtype=np.int64)]})
+                offsets.clear()
+                lengths.clear()
+                return out
+
+            for member, offset, length in index_entries(package):
+                start, size = located.setdefault(member, package.locate(member))
+                if offset < 0 or offset + length > size:
+                    raise ValueError(f"range outside {member}")
+                offsets.append(start + offset)
+                lengths.append(length)
+                if len(offsets) == SLICE_RECORDS:
+                    yield slice_()
+            if offsets:
+                yield slice_()
+
+
 def _records(with_payload: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        opened: OrderedDict[str, ZipRanges] = OrderedDict()
         for pdf in batches:
-            for content in pdf["content"]:
-                rows = list(read_package(open_bytes(content)))
-                out = {"page_id": _whole([r["page_id"] for r in rows]), "url": [r["url"] for r in rows]}
-                if with_payload:
-                    out["payload"] = [r["payload"] for r in rows]
-                out |= {"payload_bytes": _whole([r["payload_bytes"] for r in rows]), "payload_digest": [r["payload_digest"] for r in rows]}
-                out |= {"record_type": [r["record_type"] for r in rows], "refers_to": _whole([r["refers_to"] for r in rows])}
-                yield pd.DataFrame(out)
+            for path, offsets, lengths in zip(pdf["path"], pdf["offsets"], pdf["lengths"]):
+                if path not in opened:
+                    opened[path] = open_path(path)
+                    if len(opened) > OPEN_PACKAGES:
+                        opened.popitem(last=False)
+                rows, held = [], 0
+                for i, (at, n) in enumerate(zip(offsets.tolist(), lengths.tolist())):
+                    rows.append(parse_record(opened[path].read(at, n)))
+                    if not with_payload:
+                        rows[-1].pop("payload")
+                    held += n if with_payload else 0
+                    if held >= PACKAGE_BYTES or i + 1 == len(offsets):
+                        out = {"page_id": _whole([r["page_id"] for r in rows]), "url": [r["url"] for r in rows]}
+                        if with_payload:
+                            out["payload"] = [r["payload"] for r in rows]
+                        out |= {"payload_bytes": _whole([r["payload_bytes"] for r in rows]), "payload_digest": [r["payload_digest"] for r in rows]}
+                        out |= {"record_type": [r["record_type"] for r in rows], "refers_to": _whole([r["refers_to"] for r in rows])}
+                        yield pd.DataFrame(out)
+                        rows, held = [], 0
 
     return run
 
@@ -259,9 +358,12 @@ def write_packages(pages: DataFrame, path: str | None = None, page_id: str = "pa
     return path
 
 
-def read_packages(spark, path: str, with_payload: bool = False) -> DataFrame:
-    """The records of all packages under ``path``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+def read_packages(spark, path: str, with_payload: bool = False, glob: str = "*") -> DataFrame:
+    """The records of all packages under ``path`` whose names fit ``glob``."""
+    # Only paths are asked for, so Spark lists the files without reading them.
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).filter("length > 0").select("path")
+    slices = files.mapInPandas(_slices, "path string, offsets array<long>, lengths array<long>")
+    slices = slices.repartition(F.xxhash64("path", F.element_at("offsets", 1)))
     payload = "payload binary, " if with_payload else ""
     schema = f"page_id long, url string, {payload}payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return files.mapInPandas(_records(with_payload), schema)
+    return slices.mapInPandas(_records(with_payload), schema)

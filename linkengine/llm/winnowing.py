@@ -13,8 +13,9 @@ hashed, and documents are probed with all their grams of just these lengths.
 Cases: a null or empty text has no words: ``n_words`` 0, no hits. Items without words
 never match. Items with a null id mark words as hit but are not counted or listed.
 Several rows with one item id are one item. Repeated document rows each get their own
-result row. An empty benchmark gives documents without hits. Other columns are ignored,
-whatever their names.
+result row. An empty benchmark gives documents without hits. Very long texts are read
+whole; one of 2^27 words or more, whose positions would not fit, raises an error. Other columns pass
+``drop_contaminated`` untouched and are ignored elsewhere, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_az, materialize, row_key
+from .common import fits_broadcast, keyed, lookup_join, lower_az, materialize, row_key, unpacked
 
 K = 5
 W = 6
@@ -30,7 +31,7 @@ SPAN = K + W - 1
 #: A kept k-gram packs 36 bits of hash over 27 bits of position.
 _POSITION_BITS = 27
 _HASH_MASK = (1 << 36) - 1
-#: Benchmark k-grams are broadcast up to this counted number of rows.
+#: Benchmark k-grams are broadcast up to this counted number of rows, if their bytes fit too.
 BROADCAST_GRAMS = 200_000
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -41,6 +42,8 @@ def words(text: Column) -> Column:
 
 
 def _pack(value: Column, at: Column) -> Column:
+    """Hash over position. A text of 2^27 words or more (some 800 MB) raises."""
+    at = F.when(at < (1 << _POSITION_BITS), at).otherwise(F.raise_error(F.lit("a text has more words than positions")).cast("long"))
     return F.shiftleft(value.bitwiseAND(F.lit(_HASH_MASK)), _POSITION_BITS) + at
 
 
@@ -131,7 +134,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text"
     """(_id, _th, n_words, n_hit, items) for each document row; ``items`` is sorted."""
     bench = materialize(benchmark_fingerprints(benchmark), "benchmark")
     lengths = sorted(r["n"] for r in bench.filter("n > 0").select("n").distinct().collect())
-    small = bench.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
+    small = fits_broadcast(bench, BROADCAST_GRAMS)
 
     docs = with_words(documents.select(*row_key("doc_id", text), F.col(text).alias("text")), F.col("text")).select("_id", "_th", "w")
     probe = with_fingerprints(docs)
@@ -182,10 +185,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text"
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``documents`` that hold no benchmark window, with all their columns."""
-    from .common import lookup_join
-
     hit = contamination(documents, benchmark, text).filter("n_hit > 0").select("_id", "_th").distinct()
     hit = materialize(hit, "contaminated")
-    named = documents.withColumns({"_id": F.col("doc_id"), "_th": row_key("doc_id", text)[1]})
     on = F.expr("a._id <=> b._id and a._th = b._th")
-    return lookup_join(named.alias("a"), hit.alias("b"), on, "left_anti").select(*documents.columns)
+    return lookup_join(keyed(documents, "doc_id", text).alias("a"), hit.alias("b"), on, "left_anti").select(*unpacked(documents.columns))

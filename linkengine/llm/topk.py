@@ -1,23 +1,30 @@
 """Exact top-k inner products by no-random-access aggregation over sorted lists.
 
-Every block of candidates has one list per dimension, sorted by component value, read
-from the top for positive query components and from the bottom for negative ones. After
-each round of sequential reads a candidate's lower bound takes the worst value of a list
-for unread entries and its upper bound the list's frontier. A round ends a query's reading
-of the block when the k-th best known score exceeds the upper bound of every other
-candidate; candidates whose bounds still reach it are read to the end, which resolves
-their exact scores. Queries of a block advance together, as matrix products.
-
-Queries are dealt in waves of at most ``WAVE_QUERIES`` (a bound on what is broadcast);
-every wave meets every candidate block. Blocks are read where they lie, so candidates
-are never shuffled; only k rows per query and block task are.
+Candidates lie in blocks. A block is stored, once for all queries, as one list per
+dimension: its rows ordered by their component of that dimension. A query reads the lists
+from the top where its component is positive and from the bottom where it is negative, all
+to the same depth, in small steps that double. After a step a candidate's upper bound
+takes a list's frontier for every entry not read yet and its lower bound the list's far
+end. Candidates whose upper bound is below the k-th best lower bound (or below the k-th
+best score known from elsewhere) can no longer qualify. A query stops reading a block
+when none can; while some can, it reads on, and the scores of those that remain at the end
+of the lists are exact because both bounds have met. Nothing is fetched by row: every
+component comes out of a list in its order.
+
+The k-th best scores are carried from block to block within a task and, since a wave first
+reads one block in ``FIRST_SHARE``, from these to all others.
+
+Queries are dealt in waves, one after the other, of a counted number of rows and bytes; a wave
+is what is broadcast. Blocks are read where they lie, so candidates are never shuffled;
+only the rows that reach a query's k-th best score in a task are.
 
 Cases: null vectors and vectors with null or non-finite components take no part.
 Vectors are compared with vectors of their own length only; empty vectors score 0
 with each other. Rows that repeat an id count as rows of their own; a query id that
 occurs at several rows is one query, with the least of its vectors. Ties go to the smaller
-id. Empty tables give an empty result; other columns are ignored. Scores whose exactness
-float64 cannot prove are summed in integers.
+id. Empty tables give an empty result; other columns are ignored. Where float64 cannot
+prove a sum exact, the bounds are widened by its error and the last scores are summed in
+integers.
 """
 
 from __future__ import annotations
@@ -30,10 +37,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-WAVE_QUERIES = 4096
+from .common import materialize
+
+#: Bounds on what a wave broadcasts.
+WAVE_QUERIES, WAVE_BYTES = 4096, 32 << 20
 BLOCK_ROWS = 2048
-#: Shares of a list that are read by the end of each round.
-DEPTHS = (0.5, 0.8)
+#: Depth of the first step, as a share of a list; every further step doubles it.
+FIRST_STEP = 1 / 64
+#: One block in so many is read first, to carry its scores to the others.
+FIRST_SHARE = 16
+_BLOCK_SCHEMA = "block long, n int, ids binary, ordered binary, sorted binary"
 
 
 def quantized(vector: Column) -> Column:
@@ -43,138 +56,203 @@ def quantized(vector: Column) -> Column:
     return F.when(vector.isNotNull() & ~F.exists(vector, bad), x)
 
 
-def _exact_dtype(limit_a: float, limit_b: float, dims: int):
-    """The cheapest type that sums ``dims`` products of such components exactly."""
-    bound = max(limit_a, 1) * max(limit_b, 1) * max(dims, 1)
-    return np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else object
+class BlockLists:
+    """The sorted lists of one block: ``order[i]`` are its rows by falling component i,
+    ``values[i]`` the components in that order."""
 
+    def __init__(self, ids: np.ndarray, order: np.ndarray, values: np.ndarray):
+        self.ids, self.order, self.values = ids, order, values
 
-class BlockLists:
-    """The sorted lists of one block of candidates."""
-
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
-        self.ids, self.x, self.columns = ids, x, np.ascontiguousarray(x.T)
-        self.order = np.sort(self.columns, axis=1)
-
-    def bounds(self, positive: np.ndarray, negative: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper scores after reading ``share`` of each list (queries x candidates)."""
-        n = self.x.shape[0]
-        read = min(n - 1, int(n * share))
-        high, low = self.order[:, n - 1 - read][:, None], self.order[:, read][:, None]
-        worst, best = self.order[:, :1], self.order[:, -1:]
-        seen_high, seen_low = self.columns >= high, self.columns <= low
-        upper = positive @ np.where(seen_high, self.columns, high) + negative @ np.where(seen_low, self.columns, low)
-        lower = positive @ np.where(seen_high, self.columns, worst) + negative @ np.where(seen_low, self.columns, best)
+    @classmethod
+    def of(cls, ids: np.ndarray, x: np.ndarray) -> BlockLists:
+        columns = np.ascontiguousarray(x.T)
+        order = np.argsort(-columns, axis=1, kind="stable")
+        return cls(ids, order.astype(np.uint16), np.take_along_axis(columns, order, axis=1))
+
+
+class Reader:
+    """Sequential reading of a block's lists, all to one depth, from both ends."""
+
+    def __init__(self, block: BlockLists):
+        self.block, self.depth = block, 0
+        dims, n = block.order.shape
+        self.n, self._row = n, np.arange(dims)[:, None]
+        self.x = np.zeros((dims, n), dtype=np.float64)
+        self.from_top, self.from_bottom = np.zeros((dims, n), dtype=bool), np.zeros((dims, n), dtype=bool)
+
+    def read(self, depth: int) -> None:
+        depth = min(depth, self.n)
+        for part, seen in ((slice(self.depth, depth), self.from_top), (slice(self.n - depth, self.n - self.depth), self.from_bottom)):
+            at = self.block.order[:, part].astype(np.int64)
+            self.x[self._row, at] = self.block.values[:, part]
+            seen[self._row, at] = True
+        self.depth = depth
+
+    def bounds(self, positive: np.ndarray, negative: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper scores of the candidates ``which`` (queries x candidates)."""
+        values, x = self.block.values, self.x[:, which]
+        if self.depth >= self.n:
+            exact = (positive + negative) @ x
+            return exact, exact
+        last = max(self.depth - 1, 0)
+        best, worst = values[:, :1].astype(np.float64), values[:, -1:].astype(np.float64)
+        falling, rising = (values[:, [last]].astype(np.float64), values[:, [self.n - 1 - last]].astype(np.float64)) if self.depth else (best, worst)
+        top, bottom = self.from_top[:, which], self.from_bottom[:, which]
+        upper = positive @ np.where(top, x, falling) + negative @ np.where(bottom, x, rising)
+        lower = positive @ np.where(top, x, worst) + negative @ np.where(bottom, x, best)
         return lower, upper
 
 
 class TopK:
-    """Running k best (score, id) of each query."""
+    """Running k best (score, id) of each query, and its score to beat."""
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray | None = None):
         self.ids, self.q, self.k = ids, q, k
-        self.positive, self.negative = np.maximum(q, 0), np.minimum(q, 0)
+        x = q.astype(np.float64)
+        self.positive, self.negative = np.maximum(x, 0), np.minimum(x, 0)
         self.best: list[list[tuple[int, int]]] = [[] for _ in ids]
-        self.floor = np.full(len(ids), -np.inf)
-
-    def _offer(self, row: int, scores: list[int], ids: list[int]) -> None:
-        best = self.best[row] + [(-int(s), int(i)) for s, i in zip(scores, ids)]
-        best.sort()
-        self.best[row] = best[: self.k]
-        if len(best) >= self.k:
-            self.floor[row] = -self.best[row][-1][0]
+        self.floor = np.full(len(ids), -np.inf) if floor is None else floor.astype(np.float64)
+        self.reads = self.stopped = 0
 
     def read(self, block: BlockLists) -> None:
+        """Read a block for all queries, each as deep as it needs."""
         n, k = len(block.ids), self.k
-        if self.q.dtype == object or block.x.dtype == object:
-            scores = self.q.astype(object) @ block.x.astype(object).T
-            self._resolve(np.arange(len(self.ids)), scores, np.ones(scores.shape, dtype=bool), block)
-            return
-        open_rows = np.arange(len(self.ids))
-        for share in DEPTHS:
-            lower, upper = block.bounds(self.positive[open_rows], self.negative[open_rows], share)
-            own = block.ids[None, :] == self.ids[open_rows][:, None]
-            if n > k + 1:
+        weight = np.abs(self.q).astype(np.float64).max(axis=1, initial=0) if self.q.size else np.zeros(len(self.ids))
+        largest = float(np.abs(block.values).astype(np.float64).max(initial=0)) * max(self.q.shape[1], 1)
+        # Sums of whole numbers below 2^53 are exact in float64; beyond, this bounds their error.
+        error = np.where(weight * largest < 2**53, 0.0, weight * largest * max(self.q.shape[1], 1) * 2.0**-50)
+        reader, which, depth = Reader(block), np.arange(n), max(1, int(n * FIRST_STEP))
+        rows = np.arange(len(self.ids))
+        while len(rows):
+            reader.read(depth)
+            ended = reader.depth >= n
+            lower, upper = reader.bounds(self.positive[rows], self.negative[rows], which)
+            own = block.ids[which][None, :] == self.ids[rows][:, None]
+            floor = self.floor[rows]
+            if len(which) > k:
                 known = np.where(own, -np.inf, lower)
-                floor = np.maximum(self.floor[open_rows], np.partition(known, n - k, axis=1)[:, n - k])
-            else:
-                floor = self.floor[open_rows]
-            alive = (upper >= floor[:, None]) & ~own
-            few = alive.sum(axis=1) <= max(4 * k, n // 16)
-            self._resolve(open_rows[few], None, alive[few], block)
-            open_rows = open_rows[~few]
-            if not len(open_rows):
+                floor = np.maximum(floor, np.partition(known, len(which) - k, axis=1)[:, len(which) - k] - error[rows])
+            alive = (upper + error[rows][:, None] >= floor[:, None]) & ~own
+            if ended:
+                for i, row in enumerate(rows.tolist()):
+                    at = which[alive[i]]
+                    if len(at):
+                        self._offer(row, lower[i][alive[i]] if not error[row] else self._whole(row, reader.block, at), block.ids[at])
+                self.reads += len(rows)
                 return
-        # Read to the end: both bounds meet in the score.
-        for at in range(0, len(open_rows), 512):
-            rows = open_rows[at : at + 512]
-            scores = self.q[rows] @ block.columns
-            own = block.ids[None, :] == self.ids[rows][:, None]
-            alive = (scores >= self.floor[rows][:, None]) & ~own
-            if n > k + 1:
-                known = np.where(own, -np.inf, scores)
-                alive &= scores >= np.partition(known, n - k, axis=1)[:, n - k][:, None]
-            self._resolve(rows, scores, alive, block)
-
-    def _resolve(self, rows: np.ndarray, scores: np.ndarray | None, alive: np.ndarray, block: BlockLists) -> None:
-        """Exact scores of the candidates still in question join the running best."""
-        for i, row in enumerate(rows.tolist()):
-            at = np.nonzero(alive[i] & (block.ids != self.ids[row]))[0]
-            if not len(at):
-                continue
-            exact = scores[i][at] if scores is not None else block.x[at] @ self.q[row]
-            if len(at) > self.k:
-                keep = np.lexsort((block.ids[at], -exact))[: self.k]
-                at, exact = at[keep], exact[keep]
-            self._offer(row, exact.tolist(), block.ids[at].tolist())
+            wanted = alive.any(axis=1)
+            self.reads += int((~wanted).sum())
+            self.stopped += int((~wanted).sum())
+            rows, which, depth = rows[wanted], which[alive[wanted].any(axis=0)], depth * 2
+
+    def _whole(self, row: int, block: BlockLists, at: np.ndarray) -> list[int]:
+        """Scores in integers, the lists read to their ends for the rows ``at``."""
+        place = {c: i for i, c in enumerate(at.tolist())}
+        scores = [0] * len(at)
+        for q, order, values in zip(self.q[row].tolist(), block.order, block.values):
+            keep = np.isin(order, at)
+            for c, v in zip(order[keep].tolist(), values[keep].tolist()):
+                scores[place[c]] += q * v
+        return scores
+
+    def _offer(self, row: int, scores, ids: np.ndarray) -> None:
+        if len(ids) > self.k and isinstance(scores, np.ndarray):
+            keep = np.lexsort((ids, -scores))[: self.k]
+            scores, ids = scores[keep], ids[keep]
+        best = self.best[row] + [(-int(s), int(i)) for s, i in zip(scores, ids)]
+        best.sort()
+        self.best[row] = best[: self.k]
+        if len(best) >= self.k:
+            self.floor[row] = max(self.floor[row], -self.best[row][-1][0])
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.array(vectors.tolist(), dtype=np.int64).reshape(len(vectors), -1)
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", wave_queries: int = WAVE_QUERIES) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k best rows for every row where ``is_query``."""
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(vec_id).alias("vec_id"), quantized(F.col(vector)).alias("x"), is_query.alias("is_query")).filter("x is not null and vec_id is not null")
-    queries = rows.filter("is_query").groupBy("vec_id").agg(F.min("x").alias("x"))
-    total = queries.count()
-    waves = max(1, -(-total // wave_queries))
-    parts = []
-    for wave in range(waves):
-        mine = queries if waves == 1 else queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(waves)) == wave)
-        parts.append(_wave(rows.select("vec_id", "x"), mine.toPandas(), k, spark))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.union(part)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (vec_id, x) to blocks of lists; a task holds a few blocks of rows at most."""
+    held: dict[int, tuple[list[int], list[np.ndarray]]] = {}
 
+    def block(n: int) -> tuple:
+        ids, x = held.pop(n)
+        lists = BlockLists.of(np.array(ids, dtype=np.int64), np.array(x, dtype=np.int64).reshape(len(ids), n))
+        # Named by what it holds, so a block made again has the same name.
+        return (int(lists.ids.min()), n, lists.ids.tobytes(), lists.order.tobytes(), lists.values.tobytes())
 
-def _wave(candidates: DataFrame, queries: pd.DataFrame, k: int, spark) -> DataFrame:
-    by_length = {n: (g["vec_id"].to_numpy(np.int64), _matrix(g["x"])) for n, g in queries.groupby(queries["x"].map(len))}
+    for pdf in batches:
+        out = []
+        for i, x in zip(pdf["vec_id"].tolist(), pdf["x"]):
+            ids, rows = held.setdefault(len(x), ([], []))
+            ids.append(i)
+            rows.append(x)
+            if len(ids) == BLOCK_ROWS:
+                out.append(block(len(x)))
+        while sum(len(ids) for ids, _ in held.values()) > 4 * BLOCK_ROWS:
+            out.append(block(max(held, key=lambda n: len(held[n][0]))))
+        yield pd.DataFrame(out, columns=["block", "n", "ids", "ordered", "sorted"])
+    yield pd.DataFrame([block(n) for n in list(held)], columns=["block", "n", "ids", "ordered", "sorted"])
+
+
+def sorted_lists(rows: DataFrame) -> DataFrame:
+    """The blocks of candidates (vec_id, x) with their sorted lists, written once."""
+    return materialize(rows.mapInPandas(_blocks, _BLOCK_SCHEMA), "lists")
+
+
+def _wave(blocks: DataFrame, queries: pd.DataFrame, floors: dict[int, int], k: int, spark) -> DataFrame:
+    """(query_id, vec_id, score) of what can be among the k best, from each task."""
+    by_length = {}
+    for n, g in queries.groupby(queries["x"].map(len)):
+        ids = g["vec_id"].to_numpy(np.int64)
+        by_length[n] = (ids, _matrix(g["x"]), np.array([floors.get(i, -np.inf) for i in ids.tolist()], dtype=np.float64))
     shared = spark.sparkContext.broadcast(by_length)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[int, TopK] = {}
         for pdf in batches:
-            for n, group in pdf.groupby(pdf["x"].map(len)):
+            for n, ids, order, values in zip(pdf["n"].tolist(), pdf["ids"], pdf["ordered"], pdf["sorted"]):
                 if n not in shared.value:
                     continue
-                ids, q = shared.value[n]
-                x = _matrix(group["x"])
-                for at in range(0, len(x), BLOCK_ROWS):
-                    part = x[at : at + BLOCK_ROWS]
-                    kind = _exact_dtype(float(np.abs(q).max(initial=0)), float(np.abs(part).max(initial=0)), n)
-                    if n not in best:
-                        best[n] = TopK(ids, q.astype(kind), k)
-                    elif best[n].q.dtype != kind and kind != np.float32:
-                        best[n].q = q.astype(kind)
-                        best[n].positive, best[n].negative = np.maximum(best[n].q, 0), np.minimum(best[n].q, 0)
-                    best[n].read(BlockLists(group["vec_id"].to_numpy(np.int64)[at : at + BLOCK_ROWS], part.astype(kind)))
+                if n not in best:
+                    best[n] = TopK(*shared.value[n][:2], k, shared.value[n][2].copy())
+                of = np.frombuffer(ids, dtype=np.int64)
+                best[n].read(BlockLists(of, np.frombuffer(order, dtype=np.uint16).reshape(n, len(of)), np.frombuffer(values, dtype=np.int64).reshape(n, len(of))))
         for found in best.values():
             out = [(int(q), i, -s) for q, rows in zip(found.ids, found.best) for s, i in rows]
             yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
 
-    return candidates.mapInPandas(run, "query_id long, vec_id long, score long")
+    return blocks.mapInPandas(run, "query_id long, vec_id long, score long")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", wave_queries: int = WAVE_QUERIES) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the k best rows for every row where ``is_query``."""
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), quantized(F.col(vector)).alias("x"), is_query.alias("is_query")).filter("x is not null and vec_id is not null")
+    blocks = sorted_lists(rows.select("vec_id", "x"))
+    queries = materialize(rows.filter("is_query").groupBy("vec_id").agg(F.min("x").alias("x")), "queries")
+    slot = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
+    waves = 1
+    while True:
+        # Counted, so that what is broadcast is bounded and not just expected to be.
+        load = queries.groupBy(F.pmod(slot, F.lit(waves))).agg(F.count("*").alias("n"), F.sum(8 * F.size("x")).alias("size"))
+        if load.filter(f"n > {wave_queries} or size > {WAVE_BYTES} and n > 1").isEmpty():
+            break
+        waves *= 2
+    first = F.pmod(F.xxhash64("block"), F.lit(FIRST_SHARE)) == 0
+    parts = []
+    for wave in range(waves):
+        mine = queries.filter(F.pmod(slot, F.lit(waves)) == wave).toPandas()
+        if len(mine) or wave == 0:
+            begun = materialize(_ranked(_wave(blocks.filter(first), mine, {}, k, spark), k), "begun")
+            floors = {r["query_id"]: r["score"] for r in begun.filter(F.col("rank") == k).collect()}
+            rest = _wave(blocks.filter(~first), mine, floors, k, spark)
+            parts.append(materialize(_ranked(begun.drop("rank").unionByName(rest), k), "wave"))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.union(part)
+    return found

@@ -1,13 +1,21 @@
 """SimHash near-duplicate components.
 
 Fingerprints are the 64-bit majority of the XXH64 values of 3-word shingles. Two
-fingerprints link at a Hamming distance of at most two, so they agree in at least six
-of their eight bytes. The inverted index posts every distinct fingerprint under each of
-the 28 choices of six (position, byte) entries: a pair's tally of shared positional
-bytes reaches the guaranteed minimum of six exactly if one posting list holds both.
-A list's members can differ in 16 bits only, which bounds it at 65,536 distinct
-fingerprints at any corpus size; members are verified by their differing bits, and a
-list emits a chain through each of its linked classes instead of all its pairs.
+fingerprints link at a Hamming distance of at most two, so they share at least six of
+their eight (position, byte) entries. Every distinct fingerprint is posted under its
+entries; within a seed list the shared entries of every pair are tallied from the posting
+lists, pairs below the guaranteed minimum of six are dropped by that count, and the rest
+are verified by their differing bits.
+
+Seeds keep the lists bounded. The positions form four blocks of two; two differing bytes
+leave at least two blocks whole, so each pair meets in one of the six choices of two
+blocks (four entries, 32 bits). A list of more than ``LIST_MEMBERS`` fingerprints is posted
+again under its entries and two further ones, all six choices: a linked pair shares two of
+the four further entries, so it meets there. Those lists share six entries, their members
+differ in 16 bits only, and so they hold at most 65,536 fingerprints at any corpus size;
+the tally is then complete by construction, and long ones are verified by looking up every
+change of one or two bits. A list emits a chain through each of its linked classes
+instead of all its pairs.
 
 Cases: a null or empty text, or one of white space only, has fingerprint zero, which
 links like any other. Texts of one or two words are one shingle. Repeated rows share a
@@ -26,13 +34,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup_join, materialize, row_key
+from .common import keyed, lookup_join, materialize, row_key, unpacked
 
 SEED = 42
 SHINGLE = 3
 MAX_BITS = 2
-#: Six of the eight byte positions, each choice as a mask.
-MASKS = [sum(0xFF << (8 * p) for p in chosen) for chosen in combinations(range(8), 8 - MAX_BITS)]
+#: Entries that two linked fingerprints share at least.
+MIN_SHARED = 8 - MAX_BITS
+#: A seed list beyond this is posted again under two more entries.
+LIST_MEMBERS = 256
+_BLOCKS = ((0, 1), (2, 3), (4, 5), (6, 7))
+#: The positions of the entries that form a seed, first and further ones.
+SEEDS = [tuple(sorted(x + y)) for x, y in combinations(_BLOCKS, 2)]
+DEEP_SEEDS = sorted({tuple(sorted((*seed, *more))) for seed in SEEDS for more in combinations(sorted(set(range(8)) - set(seed)), 2)})
 _BLOCK = 1 << 15
 
 
@@ -64,9 +78,31 @@ def with_fingerprint(documents: DataFrame, text: str = "text") -> DataFrame:
     return documents.select(*row_key("doc_id", text), of(F.col(text)).alias("fp"))
 
 
+def _mask(positions: tuple[int, ...]) -> int:
+    """The bytes at ``positions`` as a signed 64-bit mask."""
+    mask = sum(0xFF << (8 * p) for p in positions)
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def tallied_pairs(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a < b) of a seed list that share at least ``MIN_SHARED`` (position, byte) entries.
+
+    The posting list of an entry holds the members with that byte at that position; every
+    pair of a posting list gains one count.
+    """
+    m = len(members)
+    entry = members.astype("<u8").view(np.uint8).reshape(m, 8).astype(np.int64) + 256 * np.arange(8)
+    entries, column = np.unique(entry.ravel(), return_inverse=True)
+    posted = np.zeros((m, len(entries)), dtype=np.float32)
+    posted[np.repeat(np.arange(m), 8), column.ravel()] = 1
+    tally = posted @ posted.T
+    return np.nonzero(np.triu(tally >= MIN_SHARED, 1))
+
+
 def linked_classes(members: np.ndarray) -> Iterator[np.ndarray]:
-    """The classes of two or more among the distinct fingerprints of one posting list,
-    which agree outside 16 bits, under links of at most ``MAX_BITS`` differing bits."""
+    """The classes of two or more among the distinct fingerprints of one seed list under
+    links of at most ``MAX_BITS`` differing bits. A list beyond ``LIST_MEMBERS`` must
+    share six entries."""
     members = np.unique(members.astype(np.uint64))
     m = len(members)
     parent = list(range(m))
@@ -77,71 +113,90 @@ def linked_classes(members: np.ndarray) -> Iterator[np.ndarray]:
             x = parent[x]
         return x
 
-    if m <= 200:
-        near = np.bitwise_count(members[:, None] ^ members[None, :]) <= MAX_BITS
-        pairs = zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1))))
-    else:
+    def links() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if m <= LIST_MEMBERS:
+            a, b = tallied_pairs(members)
+            near = np.bitwise_count(members[a] ^ members[b]) <= MAX_BITS
+            yield a[near], b[near]
+            return
         free = int(np.bitwise_or.reduce(members ^ members[0]))
         bits = [np.uint64(1 << b) for b in range(64) if free >> b & 1]
-        flips = [*bits, *(a | b for a, b in combinations(bits, 2))]
-
-        def by_flip() -> Iterator[tuple[int, int]]:
-            for flip in flips:
-                other = members ^ flip
-                at = np.minimum(np.searchsorted(members, other), m - 1)
-                for x in np.nonzero((members[at] == other) & (members < other))[0].tolist():
-                    yield x, int(at[x])
-
-        pairs = by_flip()
-    for a, b in pairs:
-        ra, rb = root(a), root(b)
-        if ra != rb:
-            parent[max(ra, rb)] = min(ra, rb)
+        for flip in [*bits, *(a | b for a, b in combinations(bits, 2))]:
+            other = members ^ flip
+            at = np.minimum(np.searchsorted(members, other), m - 1)
+            a = np.nonzero((members[at] == other) & (members < other))[0]
+            yield a, at[a]
+
+    for left, right in links():
+        for a, b in zip(left.tolist(), right.tolist()):
+            ra, rb = root(a), root(b)
+            if ra != rb:
+                parent[max(ra, rb)] = min(ra, rb)
     roots = np.array([root(x) for x in range(m)])
-    for r in np.unique(roots):
-        if (roots == r).sum() > 1:
-            yield members[roots == r]
-
-
-def _chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows arrive sorted by (combo, posting); a list may span batches."""
-    held: list[np.ndarray] = []
-    key: tuple[int, int] | None = None
-
-    def edges(lists: list[np.ndarray]) -> list[tuple[int, int]]:
-        out = []
-        for members in lists:
-            for group in linked_classes(members):
-                g = group.view(np.int64).tolist()
-                out += zip(g, g[1:])
-        return out
-
-    for pdf in batches:
-        combo, posting, fp = (pdf[c].to_numpy() for c in ("combo", "posting", "fp"))
-        cuts = np.nonzero((combo[1:] != combo[:-1]) | (posting[1:] != posting[:-1]))[0] + 1
-        bounds = [0, *cuts.tolist(), len(fp)]
-        done: list[np.ndarray] = []
-        if len(fp) and key is not None and key != (int(combo[0]), int(posting[0])):
-            done.append(np.concatenate(held))
-            held = []
-        first, last = np.array(bounds[:-1]), np.array(bounds[1:])
-        for a, b in zip(first[(last - first > 1) | (last == len(fp)) | (first == 0)].tolist(), last[(last - first > 1) | (last == len(fp)) | (first == 0)].tolist()):
-            held.append(fp[a:b])
-            if b < len(fp):
-                done.append(np.concatenate(held))
-                held = []
-        if len(fp):
-            key = (int(combo[-1]), int(posting[-1]))
-        yield pd.DataFrame(edges([x for x in done if len(x) > 1]), columns=["u", "v"], dtype="int64")
-    if held:
-        yield pd.DataFrame(edges([np.concatenate(held)]), columns=["u", "v"], dtype="int64")
+    order = np.argsort(roots, kind="stable")
+    for group in np.split(order, np.nonzero(np.diff(roots[order]))[0] + 1):
+        if len(group) > 1:
+            yield members[group]
+
+
+def _chains(deep: bool):
+    """Rows (seed, key, fp) arrive sorted by (seed, key) to edges (u, v). A list may span
+    batches; if it outgrows ``LIST_MEMBERS`` its members leave as (fp, null) unless ``deep``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
+        size, key, out = 0, None, []
+
+        def close() -> None:
+            if size > 1 and (deep or size <= LIST_MEMBERS):
+                for group in linked_classes(np.concatenate(held)):
+                    g = group.view(np.int64)
+                    out.append(np.column_stack((g[:-1], g[1:], np.ones(len(g) - 1, dtype=np.int64))))
+
+        def spill() -> None:
+            members = np.concatenate(held).view(np.int64)
+            out.append(np.column_stack((members, members, np.zeros(len(members), dtype=np.int64))))
+            held[:] = [members[:0]]
+
+        def rows() -> pd.DataFrame:
+            table = np.concatenate(out) if out else np.zeros((0, 3), dtype=np.int64)
+            out.clear()
+            return pd.DataFrame({"u": table[:, 0], "v": table[:, 1], "link": table[:, 2] > 0})
+
+        for pdf in batches:
+            seed, posting, fp = (pdf[c].to_numpy() for c in ("seed", "key", "fp"))
+            if not len(fp):
+                continue
+            cuts = np.nonzero((seed[1:] != seed[:-1]) | (posting[1:] != posting[:-1]))[0] + 1
+            bounds = [0, *cuts.tolist(), len(fp)]
+            for a, b in zip(bounds, bounds[1:]):
+                if key != (seed[a], posting[a]):
+                    close()
+                    held, size, key = [], 0, (seed[a], posting[a])
+                held.append(fp[a:b])
+                size += b - a
+                if size > LIST_MEMBERS and not deep:
+                    spill()
+            yield rows()
+        close()
+        yield rows()
+
+    return run
+
+
+def _posted(fingerprints: DataFrame, seeds: list[tuple[int, ...]], deep: bool) -> DataFrame:
+    """(u, v, link) of the lists that ``fp`` forms under ``seeds``."""
+    entries = F.array(*(F.struct(F.lit(i).cast("byte").alias("seed"), F.col("fp").bitwiseAND(F.lit(_mask(p))).alias("key")) for i, p in enumerate(seeds)))
+    index = fingerprints.select("fp", F.explode(entries).alias("e")).select("e.seed", "e.key", "fp")
+    return index.repartition("seed", "key").sortWithinPartitions("seed", "key").mapInPandas(_chains(deep), "u long, v long, link boolean")
 
 
 def link_chains(fingerprints: DataFrame) -> DataFrame:
     """Edges (u, v) whose components are those of all links among distinct ``fp``."""
-    entries = F.array(*(F.struct(F.lit(i).cast("byte").alias("combo"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("posting")) for i, m in enumerate(MASKS)))
-    index = fingerprints.select("fp", F.explode(entries).alias("e")).select("e.combo", "e.posting", "fp")
-    return index.repartition("combo", "posting").sortWithinPartitions("combo", "posting").mapInPandas(_chains, "u long, v long").distinct()
+    found = materialize(_posted(fingerprints, SEEDS, False), "lists")
+    crowded = materialize(found.filter("not link").select(F.col("u").alias("fp")).distinct(), "crowded")
+    deep = _posted(crowded, DEEP_SEEDS, True)
+    return found.filter("link").select("u", "v").union(deep.select("u", "v")).distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -213,11 +268,10 @@ def drop_near_duplicates(documents: DataFrame, text: str = "text", of: Callable[
         extra = lookup_join(heads, twice.drop("n"), ["component_id"], "inner").filter("_th <> head")
         losers = losers.select("_id", "_th").union(extra.select("_id", "_th"))
     losers = materialize(losers.select("_id", "_th").distinct(), "losers")
-    named = documents.withColumns({"_id": F.col("doc_id"), "_th": row_key("doc_id", text)[1]})
-    on = F.expr("a._id <=> b._id and a._th = b._th")
-    kept = lookup_join(named.alias("a"), losers.alias("b"), on, "left_anti")
+    kept = lookup_join(keyed(documents, "doc_id", text).alias("a"), losers.alias("b"), F.expr("a._id <=> b._id and a._th = b._th"), "left_anti")
     if repeated:
-        again = lookup_join(kept, twice.select(F.col("component_id").alias("_id")), ["_id"], "left_semi")
-        rest = lookup_join(kept, twice.select(F.col("component_id").alias("_id")), ["_id"], "left_anti")
+        ids = twice.select(F.col("component_id").alias("_id"))
+        again = lookup_join(kept, ids, ["_id"], "left_semi")
+        rest = lookup_join(kept, ids, ["_id"], "left_anti")
         kept = rest.unionByName(again.dropDuplicates(["_id", "_th"]))
-    return kept.select(*documents.columns)
+    return kept.select(*unpacked(documents.columns))

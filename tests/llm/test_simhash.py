@@ -41,7 +41,7 @@ def test_fingerprint_matches_definition():
 
 def test_posting_list_classes_match_pairs():
     rng = np.random.default_rng(5)
-    for m in (2, 30, 400):
+    for m in (2, 30, 250, 400, 3000):
         members = np.unique(rng.integers(0, 1 << 16, m).astype(np.uint64) << np.uint64(24)) | np.uint64(7)
         links = [(int(a), int(b)) for a, b in combinations(members, 2) if bin(int(a) ^ int(b)).count("1") <= 2]
         want = {}
@@ -97,3 +97,49 @@ def test_one_of_each_group_stays(spark):
     kept = simhash.drop_near_duplicates(documents(spark))
     assert kept.columns == ["doc_id", "text", "component_id"]
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 3, 9, 11]
+
+
+def test_whole_query_matches_brute_force(spark, tmp_path):
+    """Fingerprints, links and components of the registered query, from the text on."""
+    from linkengine.llm import queries
+
+    random.seed(8)
+    vocabulary = [f"w{i}" for i in range(300)]
+    texts = [None, "", " ", "one", "One TWO"]
+    for _ in range(25):
+        base = random.choices(vocabulary, k=random.randint(80, 400))
+        texts.append(" ".join(base))
+        for _ in range(random.randint(0, 4)):
+            base[random.randrange(len(base))] = random.choice(vocabulary)
+            texts.append(" ".join(base))
+    ids = random.sample(range(10_000), len(texts))
+    spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want_fp = {i: plain_fingerprint(t) for i, t in zip(ids, texts)}
+    links = [(a, b) for a, b in combinations(ids, 2) if bin(want_fp[a] ^ want_fp[b]).count("1") <= 2]
+    want = components(links, ids)
+    got = queries.op8_simhash(spark, str(tmp_path)).collect()
+    assert any(a != b for a, b in want.items())
+    assert sorted(tuple(r) for r in got) == sorted((i, f"{want_fp[i]:016x}", want[i]) for i in ids)
+
+
+def test_crowded_lists_are_posted_again(spark):
+    """More fingerprints than a list holds that share a seed: components as of all pairs."""
+    random.seed(12)
+    low = random.sample(range(1 << 32), 700)
+    fps = [0x1234567800000000 | x for x in low] + [0x1234567800000000 | (x ^ 1 << random.randrange(32)) for x in low[:200]]
+    fps = sorted(set(fps))
+    edges = simhash.link_chains(spark.createDataFrame([(f,) for f in fps], "fp long"))
+    got = {r["node"]: r["root"] for r in simhash.connected_components(edges).collect()}
+    near = [(a, b) for a, b in combinations(fps, 2) if (a ^ b).bit_count() <= 2]
+    want = components(near, fps)
+    assert near and all((got.get(a, a) == got.get(b, b)) == (want[a] == want[b]) for a, b in [*near, *zip(fps, fps[1:])])
+    assert set(got) == {x for pair in near for x in pair}
+
+
+def test_tally_counts_shared_entries():
+    rng = np.random.default_rng(7)
+    members = rng.integers(0, 4, (120, 8)).astype(np.uint8).view("<u8").ravel()
+    a, b = simhash.tallied_pairs(members)
+    as_bytes = members.view(np.uint8).reshape(-1, 8)
+    want = [(i, j) for i, j in combinations(range(len(members)), 2) if (as_bytes[i] == as_bytes[j]).sum() >= 6]
+    assert sorted(zip(a.tolist(), b.tolist())) == want

@@ -7,24 +7,28 @@ share its template, in which the positions that differ are variable fields. The
 repeated on the rest of the leaf until every line has a leader or leads. A template that recurs across documents is dropped from
 all of them but those with its least document id.
 
-A template recurs from ``MIN_DOCS`` documents on, one of ``LONG_TOKENS`` or more tokens
-from two. Counts are over documents, so lines repeated inside one document alone stay.
+A template recurs from ``MIN_DOCS`` documents on. Counts are over documents, so lines
+repeated inside one document alone stay.
 
-A passage recurs from two documents on: a run of equal lines in the same order (blank
-lines between them do not count) that holds ``LONG_TOKENS`` or more tokens. It stays in
+A passage recurs from two documents on: a line, or a run of equal lines in the same order (blank
+lines between them do not count), that holds ``LONG_TOKENS`` or more tokens. It stays in
 the least document id. Runs are found by their shortest windows of that many tokens from
 each line on and up to each line, which cover every such run and are equal wherever it
 stands. A text equal line by line to one of a lesser id loses all its lines as soon as it
 loses one, so no fragment of a copy stays.
 
-Only hashes of lines are exchanged, except for the lines of leaves that hold several
-different lines; leaves and templates are aggregated before they meet. A leaf's distinct
-lines pass through one task in order; only its leaders are held.
+Only digests of 128 bits of lines and runs are exchanged, except for the lines of leaves
+that hold several different lines; two texts of one digest are not to be expected at any
+corpus size. Leaves and templates are aggregated before they meet. A leaf's distinct
+lines pass through one task in order; only its leaders are held. Texts are rewritten by
+line position, in time linear in their lines.
 
 Cases: null texts stay null; blank lines stay. Repeated rows (id and text equal) are one
 document and are treated alike. Rows without an id never count as the least document and
-keep lines only found in such rows. A text of recurring lines only becomes empty; its row stays. An
-empty table gives an empty result. Other columns pass through, whatever their names.
+keep lines only found in such rows. Of lines found in equally many documents the one of the larger
+digest leads. A text of recurring lines only becomes empty; its row stays. Very long texts are
+read whole. An empty table gives an empty result. Other columns pass through, whatever their names;
+``n_lines`` and ``n_dropped`` replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -40,14 +44,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lookup_join, materialize, row_key
+from .common import keyed, lookup_join, materialize, row_key, unpacked
 
 DEPTH = 4
 #: Share of the positions beyond the leading tokens in which a line must equal its leader.
 AGREE = 0.6
 MIN_DOCS = 3
 LONG_TOKENS = 50
-_BASE = 0x2545F4914F6CDD1D
+_BASES = (0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15)
 _FIELD = r"(?<!\S)[^\s\d]*+\d\S*"
 
 
@@ -58,15 +62,15 @@ def masked(line: Column) -> Column:
 
 
 def _template(mask: Column) -> Column:
-    return F.xxhash64(mask)
+    """The digest that stands for a masked line."""
+    return F.unhex(F.md5(mask.cast("binary")))
 
 
 def _lines(documents: DataFrame, text: str) -> DataFrame:
-    """(_id, _uid, mask) of every line that is not blank."""
+    """(_id, _th, mask) of every line that is not blank."""
     # The mask comes out of the generator, so the filters and keys above never repeat it.
     masks = F.explode(F.transform(F.split(F.col(text), "\n"), masked)).alias("mask")
-    of = documents.select(*row_key("doc_id", text), masks)
-    return of.select("_id", F.xxhash64("_id", "_th").alias("_uid"), "mask").filter("mask <> ''")
+    return documents.select(*row_key("doc_id", text), masks).filter("mask <> ''")
 
 
 def _parsed(lines: DataFrame) -> DataFrame:
@@ -88,18 +92,20 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     leaf: int | None = None
     for batch in batches:
-        out: list[tuple[int, int]] = []
+        out: list[tuple[bytes, bytes]] = []
         for of, tpl, mask in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
-            tokens = mask.split(" ")[DEPTH:]
+            tokens = mask.split(" ")
+            # Two leaves of one hash never mix, since the lead is part of what is compared.
+            lead, tokens = tuple(tokens[:DEPTH]), tokens[DEPTH:]
             k = len(tokens)
             wanted = math.ceil(AGREE * k)
             if of != leaf:
                 leaf = of
-                leaders: list[tuple[int, list[str]]] = []
+                leaders: list[tuple[bytes, list[str]]] = []
                 led: set[int] = set()
-                index: dict[tuple[int, int, int], list[int]] = {}
+                index: dict[tuple, list[int]] = {}
             blocks = k - wanted + 1
-            keys = [(k, i, hash(tuple(tokens[k * i // blocks : k * (i + 1) // blocks]))) for i in range(blocks)]
+            keys = [(k, lead, i, hash(tuple(tokens[k * i // blocks : k * (i + 1) // blocks]))) for i in range(blocks)]
             for at in sorted({x for key in keys for x in index.get(key, ())}):
                 if sum(map(eq, tokens, leaders[at][1])) >= wanted:
                     if at not in led:
@@ -111,72 +117,76 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for key in keys:
                     index.setdefault(key, []).append(len(leaders))
                 leaders.append((tpl, tokens))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], ["tpl", "template"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.binary()) for i in (0, 1)], ["tpl", "template"])
 
 
-def recurring(documents: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, long_tokens: int = LONG_TOKENS) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, templates): (tpl, n, _uid, _id) per line and document, and
+def recurring(documents: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
+    """(occurrences, templates): (tpl, _id, _th) per line and document, and
     (tpl, template, first_id) of the lines whose template recurs."""
     lines = _parsed(_lines(documents, text))
-    seen = materialize(lines.groupBy("tpl", "leaf", "n", "_uid").agg(F.min("_id").alias("_id")), "lines")
+    seen = materialize(lines.select("tpl", "leaf", "n", "_id", "_th").distinct(), "lines")
     own = materialize(seen.groupBy("tpl", "leaf", "n").agg(F.count("*").alias("docs"), F.min("_id").alias("first_id")), "own")
 
-    # Leaves with several lines and more than a token beyond the leading ones have leaders.
+    # Leaves with several lines have leaders. With one position beyond the leading tokens
+    # agreement is equality, so shorter lines are templates of their own already.
     leaves = own.filter(F.col("n") >= DEPTH + 2).groupBy("leaf").agg(F.count("*").alias("members"), F.sum("docs").alias("docs"))
     leaves = materialize(leaves.filter("members > 1 and docs > 1").select("leaf"), "leaves")
     texts = lookup_join(lines.select("leaf", "tpl", "mask").filter(F.col("n") >= DEPTH + 2), leaves, ["leaf"], "inner")
     texts = materialize(texts.groupBy("leaf", "tpl").agg(F.first("mask").alias("mask")), "texts")
     texts = lookup_join(texts, own.select("tpl", "docs"), ["tpl"], "inner", 0).select("leaf", "docs", "tpl", "mask").repartition("leaf")
     texts = texts.sortWithinPartitions("leaf", F.desc("docs"), F.desc("tpl"))
-    merged = materialize(texts.mapInArrow(_grouped, "tpl long, template long"), "merged")
+    merged = materialize(texts.mapInArrow(_grouped, "tpl binary, template binary"), "merged")
 
-    enough = F.col("docs") >= F.when(F.col("n") >= long_tokens, 2).otherwise(min_docs)
+    enough = F.col("docs") >= min_docs
     alone = lookup_join(own.filter(enough), merged, ["tpl"], "left_anti").select("tpl", F.col("tpl").alias("template"), "first_id")
-    of_merged = lookup_join(seen, merged, ["tpl"], "inner").groupBy("template", "n", "_uid").agg(F.min("_id").alias("_id"))
-    groups = of_merged.groupBy("template", "n").agg(F.count("*").alias("docs"), F.min("_id").alias("first_id"))
+    of_merged = lookup_join(seen, merged, ["tpl"], "inner").select("template", "_id", "_th").distinct()
+    groups = of_merged.groupBy("template").agg(F.count("*").alias("docs"), F.min("_id").alias("first_id"))
     groups = materialize(groups.filter(enough).select("template", "first_id"), "groups")
     shared = lookup_join(merged, groups, ["template"], "inner").select("tpl", "template", "first_id")
-    return seen, materialize(alone.union(shared), "recurring")
+    return seen.select("tpl", "_id", "_th"), materialize(alone.union(shared), "recurring")
 
 
 def _windows(long_tokens: int):
-    """Rows (_id, _uid, lines, counts) to (run, _uid, _id, first, last, whole), one per window."""
+    """Rows (_id, _th, lines, others, counts) to (run, _id, _th, first, last, whole), one per
+    window; ``lines`` and ``others`` are two hashes of each line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             sizes = np.array([len(x) for x in batch.column(2)], dtype=np.int64)
-            line = batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            count = batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            hashes = np.stack([batch.column(i).flatten().to_numpy(zero_copy_only=False).view(np.uint64) for i in (2, 3)])
+            count = batch.column(4).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             row, start = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.cumsum(sizes) - sizes, sizes)
-            at = np.arange(len(line)) - start
+            at = np.arange(len(count)) - start
             keep = count > 0
-            line, count, row, at = line[keep], count[keep], row[keep], at[keep]
-            n = len(line)
+            hashes, count, row, at = hashes[:, keep], count[keep], row[keep], at[keep]
+            n = len(count)
             if not n:
                 continue
             begin, end = np.searchsorted(row, row), np.searchsorted(row, row, side="right") - 1
             upto = np.concatenate(([0], np.cumsum(count)))
-            # A window's hash is its part of a polynomial, divided by the power at its start.
-            factors = np.full((2, n + 1), [[_BASE], [pow(_BASE, -1, 1 << 64)]], dtype=np.uint64)
-            factors[:, 0] = 1
-            power, inverse = np.cumprod(factors, axis=1, dtype=np.uint64)
-            total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(line * power[:n], dtype=np.uint64)))
             here = np.arange(n)
             to = np.searchsorted(upto, upto[:-1] + long_tokens) - 1
             since = np.searchsorted(upto, upto[1:] - long_tokens, side="right") - 1
-            forward, backward = to <= end, since >= begin
-            first, last = np.concatenate((here[forward], since[backward])), np.concatenate((to[forward], here[backward]))
-            several = first < last
+            forward, backward = to <= end, (since >= begin) & (since < here)
             heads = here[here == begin]
-            first, last = np.concatenate((first[several], heads)), np.concatenate((last[several], end[heads]))
-            whole = np.arange(len(first)) >= several.sum()
-            value = (total[last + 1] - total[first]) * inverse[first] ^ (last - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            value = value ^ whole.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            first = np.concatenate((here[forward], since[backward], heads))
+            last = np.concatenate((to[forward], here[backward], end[heads]))
+            whole = np.arange(len(first)) >= len(first) - len(heads)
+            extra = (last - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ whole.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            value = np.empty((len(first), 2), dtype=np.uint64)
+            for i, (line, base) in enumerate(zip(hashes, _BASES)):
+                # A window's hash is its part of a polynomial, divided by the power at its start.
+                factors = np.full((2, n + 1), [[base], [pow(base, -1, 1 << 64)]], dtype=np.uint64)
+                factors[:, 0] = 1
+                power, inverse = np.cumprod(factors, axis=1, dtype=np.uint64)
+                total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(line * power[:n], dtype=np.uint64)))
+                value[:, i] = (total[last + 1] - total[first]) * inverse[first] ^ extra
+            runs = pa.Array.from_buffers(pa.binary(16), len(first), [None, pa.py_buffer(value.tobytes())]).cast(pa.binary())
             docs = pa.array(row[first])
-            columns = [pa.array(value.view(np.int64)), batch.column(1).take(docs), batch.column(0).take(docs), pa.array(at[first], pa.int32()), pa.array(at[last], pa.int32()), pa.array(whole)]
-            yield pa.RecordBatch.from_arrays(columns, ["run", "_uid", "_id", "first", "last", "whole"])
+            columns = [runs, batch.column(0).take(docs), batch.column(1).take(docs), pa.array(at[first], pa.int32()), pa.array(at[last], pa.int32()), pa.array(whole)]
+            yield pa.RecordBatch.from_arrays(columns, ["run", "_id", "_th", "first", "last", "whole"])
 
     return run
 
@@ -194,45 +204,61 @@ def _marked(spans: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _recur(lines: pd.Series, drops: pd.Series) -> pd.Series:
+    """Which of a document's lines are among its recurring templates; null without any."""
+    out = []
+    for of, gone in zip(lines, drops):
+        known = None if gone is None else set(gone)
+        out.append(None if known is None else [x in known for x in of])
+    return pd.Series(out)
+
+
 def recurring_runs(documents: DataFrame, text: str = "text", long_tokens: int = LONG_TOKENS) -> DataFrame:
-    """(_uid, _runs, _whole): the lines of recurring runs in documents that are not their
+    """(_id, _th, _runs, _whole): the lines of recurring runs in documents that are not their
     least, by position, and the span of a text that is a whole copy of a lesser one."""
     trimmed = F.transform(F.split(F.col(text), "\n"), lambda x: F.btrim(x, F.lit(" \t\r\f\v")))
     of = documents.filter(F.col(text).isNotNull()).select(*row_key("doc_id", text), F.explode(F.array(trimmed)).alias("_all"))
     tokens = lambda x: F.when(x == "", 0).otherwise(F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
-    of = of.select("_id", F.xxhash64("_id", "_th").alias("_uid"), F.transform("_all", lambda x: F.xxhash64(x)).alias("lines"), F.transform("_all", tokens).alias("counts"))
+    hashes = [F.transform("_all", lambda x: F.xxhash64(x)), F.transform("_all", lambda x: F.xxhash64(F.lit(1), x))]
+    of = of.select("_id", "_th", hashes[0].alias("lines"), hashes[1].alias("others"), F.transform("_all", tokens).alias("counts"))
     kind = of.schema["_id"].dataType.simpleString()
-    found = of.mapInArrow(_windows(long_tokens), f"run long, _uid long, _id {kind}, first int, last int, whole boolean")
+    found = of.mapInArrow(_windows(long_tokens), f"run binary, _id {kind}, _th long, first int, last int, whole boolean")
     found = materialize(found, "windows")
-    known = found.groupBy("run").agg(F.min("_id").alias("first_id"), F.min("_uid").alias("a"), F.max("_uid").alias("b"))
+    # Two documents of one hash would count as one here, which keeps text.
+    known = found.withColumn("_uid", F.xxhash64("_id", "_th")).groupBy("run").agg(F.min("_id").alias("first_id"), F.min("_uid").alias("a"), F.max("_uid").alias("b"))
     known = materialize(known.filter("a <> b and first_id is not null").select("run", "first_id"), "runs")
     again = lookup_join(found, known, ["run"], "inner").filter(~F.col("_id").eqNullSafe(F.col("first_id")))
     span = F.struct("first", "last")
-    spans = again.groupBy("_uid").agg(F.collect_set(F.when(~F.col("whole"), span)).alias("_spans"), F.max(F.when(F.col("whole"), F.col("last"))).alias("_whole"))
+    spans = again.groupBy("_id", "_th").agg(F.collect_set(F.when(~F.col("whole"), span)).alias("_spans"), F.max(F.when(F.col("whole"), F.col("last"))).alias("_whole"))
     spans = materialize(spans, "spans")
-    return materialize(spans.select("_uid", F.when(F.size("_spans") > 0, _marked("_spans")).alias("_runs"), "_whole"), "marked")
+    return materialize(spans.select("_id", "_th", F.when(F.size("_spans") > 0, _marked("_spans")).alias("_runs"), "_whole"), "marked")
 
 
 def drop_recurring_lines(documents: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, long_tokens: int = LONG_TOKENS) -> DataFrame:
     """``documents`` with recurring lines cut from ``text``, plus ``n_lines`` and ``n_dropped``."""
-    seen, known = recurring(documents, text, min_docs, long_tokens)
+    seen, known = recurring(documents, text, min_docs)
     again = F.col("first_id").isNotNull() & ~F.col("_id").eqNullSafe(F.col("first_id"))
-    drops = lookup_join(seen.select("tpl", "_uid", "_id"), known.select("tpl", "first_id"), ["tpl"], "inner").filter(again)
-    drops = materialize(drops.groupBy("_uid").agg(F.collect_list("tpl").alias("_drops")), "drops")
-    drops = materialize(drops.join(recurring_runs(documents, text, long_tokens), "_uid", "full").filter("_drops is not null or _runs is not null"), "drops")
-    keys = row_key("doc_id", text)
-    rows = documents.withColumn("_uid", F.xxhash64(F.col("doc_id"), keys[1]))
+    drops = lookup_join(seen, known.select("tpl", "first_id"), ["tpl"], "inner").filter(again)
+    drops = drops.groupBy("_id", "_th").agg(F.collect_list("tpl").alias("_drops"))
+    both = drops.unionByName(recurring_runs(documents, text, long_tokens), allowMissingColumns=True).groupBy("_id", "_th")
+    both = both.agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("_drops", "_runs", "_whole")))
+    both = materialize(both.filter("_drops is not null or _runs is not null"), "drops")
     # What documents lose grows with the documents, so at every size both sides are exchanged.
-    rows = lookup_join(rows, drops, ["_uid"], bound=0)
-    by_template = lambda x: F.coalesce(F.array_contains("_drops", _template(masked(x))), F.lit(False))
+    rows = keyed(documents, "doc_id", text).alias("a")
+    rows = lookup_join(rows, both.alias("b"), F.expr("a._id <=> b._id and a._th = b._th"), bound=0)
+    rows = rows.select("_row", "_drops", "_runs", "_whole")
+    whole_text = F.col("_row")[text]
+    own = F.when(F.col("_drops").isNotNull(), F.transform(F.split(whole_text, "\n"), lambda x: _template(masked(x))))
+    rows = rows.select("_row", "_runs", "_whole", _recur(own, F.col("_drops")).alias("_recur"))
     blank = lambda x: F.btrim(x, F.lit(" \t\r\f\v")) == ""
-    in_run = lambda x, i: (F.coalesce(F.get("_runs", i), F.lit(False)) | F.col("_whole").isNotNull()) & ~blank(x)
-    kept = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~(in_run(x, i) | by_template(x)))
-    rows = rows.withColumn("_kept", F.when(F.col("_drops").isNotNull() | F.col("_runs").isNotNull(), kept))
-    n_lines = F.coalesce(F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
-    cut = F.col("_kept").isNotNull()
-    rows = rows.withColumn("_n", n_lines)
-    rows = rows.withColumn("_cut", F.when(cut, F.col("_n") - F.size("_kept")).otherwise(0).cast("long"))
-    rows = rows.withColumn(text, F.when(cut, F.array_join("_kept", "\n")).otherwise(F.col(text)))
+    at = lambda flags, i: F.coalesce(F.get(flags, i), F.lit(False))
+    gone = lambda x, i: at("_recur", i) | (at("_runs", i) | F.col("_whole").isNotNull()) & ~blank(x)
+    cut = F.col("_recur").isNotNull() | F.col("_runs").isNotNull()
+    rows = rows.withColumn("_kept", F.when(cut, F.filter(F.split(whole_text, "\n"), lambda x, i: ~gone(x, i))))
+    n_lines = F.coalesce(F.octet_length(whole_text) - F.octet_length(F.replace(whole_text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    n_dropped = F.when(F.col("_kept").isNotNull(), n_lines - F.size("_kept")).otherwise(0).cast("long")
+    kept = F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(whole_text)
     names = [c for c in documents.columns if c not in ("n_lines", "n_dropped")]
-    return rows.select(*names, F.col("_n").alias("n_lines"), F.col("_cut").alias("n_dropped"))
+    out = [kept.alias(c) if c == text else unpacked([c])[0] for c in names]
+    return rows.select(*out, n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))

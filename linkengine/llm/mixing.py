@@ -15,8 +15,9 @@ Cases: null level values count as the value ``unknown``. Null or empty texts hav
 tokens; they come with the epochs of their leaf. Repeated ids of a leaf share one place
 in the order and come or stay together. A leaf of weight zero gets nothing; a value
 without a given weight has weight 1. A budget beyond all capacity selects everything
-``max_epochs`` times. An empty table gives an empty result. Added columns replace
-columns of the same name.
+``max_epochs`` times. Very long texts count whole; a document longer than what is left
+of its leaf's budget ends the prefix. An empty table gives an empty result. Other columns pass
+through, whatever their names; added columns replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lookup_join, materialize
+from .common import lookup_join, materialize, unpacked
 
 _COARSE, _FINE = 2, 3  # hex digits of the order
 
@@ -103,8 +104,10 @@ def mix(
     """
     names = list(levels)
     known = {name: F.coalesce(c.cast("string"), F.lit("unknown")) for name, c in levels.items()}
-    rows = documents.withColumns({**known, "n_tokens": count_words(F.col(text))})
-    facts = materialize(rows.select(F.col(doc_id).alias("_id"), *names, "n_tokens"), "facts")
+    # The row travels as one column, so its names meet none of those below.
+    row = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("_row")
+    rows = documents.select(row, F.col(doc_id).alias("_id"), *(c.alias(name) for name, c in known.items()), count_words(F.col(text)).alias("n_tokens"))
+    facts = materialize(rows.select("_id", *names, "n_tokens"), "facts")
     leaves = materialize(facts.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")), "leaves")
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
     plan = allocate(leaves, names, weights, float(int(total * budget_share)), max_epochs)
@@ -132,7 +135,8 @@ def mix(
     final = materialize(plan.join(lower, names, "left"), "selection")
 
     taken = lookup_join(rows, final, names)
-    place = _order(seed, F.col("epochs"), doc_id)
+    place = _order(seed, F.col("epochs"), "_id")
     partial = F.when(F.col("bound").isNotNull(), (place < F.col("bound")) | (F.col("incl") & (place == F.col("bound")))).otherwise(F.col("rest") > 0)
     copies = F.col("epochs") + partial.cast("int")
-    return taken.withColumn("copies", copies).drop("epochs", "rest", "bound", "incl").filter("copies > 0")
+    others = [c for c in documents.columns if c not in (*names, "n_tokens", "copies")]
+    return taken.select(*unpacked(others), *names, "n_tokens", copies.alias("copies")).filter("copies > 0")

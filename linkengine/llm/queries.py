@@ -39,7 +39,8 @@ TOKEN_LIMIT = 2048
 
 
 def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_reputation.judge(read_table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
+    judged = url_reputation.judge(read_table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
+    return judged.withColumn("bad_rate_lower", F.round("bad_rate_lower", 6))
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,6 +156,68 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
 FROM p LEFT JOIN f USING (digest)
 """
 
+OP2_SQL = r"""
+WITH u AS (
+  SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS rest FROM pages
+), p AS (
+  SELECT page_id, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM u
+), r AS (
+  SELECT *, host = 'net' OR ends_with(host, '.net') AS net, host = 'example.net' OR ends_with(host, '.example.net') AS example_net,
+         host = 'example.com' OR ends_with(host, '.example.com') AS example_com, host = 'org' OR ends_with(host, '.org') AS org FROM p
+), d AS (
+  SELECT page_id, host, path,
+         CASE WHEN example_net AND starts_with(path, '/en/') THEN 'example.net/en/' WHEN example_com AND starts_with(path, '/de/') THEN 'example.com/de/'
+              WHEN org AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN net AND starts_with(path, '/') THEN 'net/' END AS rule,
+         CASE WHEN rule IN ('example.com/de/', 'net/') THEN 1.0::DOUBLE WHEN rule IS NOT NULL OR net OR example_com THEN 0.0::DOUBLE END AS y
+  FROM r
+), h AS (
+  SELECT host, count(y) AS n, coalesce(sum(y), 0) AS k, rtrim(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', ''), '.') AS name FROM d GROUP BY host
+), l AS (
+  SELECT *, string_split(name, '.') AS s, regexp_matches(name, '^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*)$') AS ip,
+         len(s) > 2 AND regexp_matches(s[-1], '^[a-z]{2}$') AND s[-2] IN (<GENERIC>) AS long FROM h
+), hosts AS (
+  SELECT host, n, k, CASE WHEN ip THEN name WHEN long THEN array_to_string(s[-2:], '.') ELSE s[-1] END AS suffix,
+         CASE WHEN ip THEN name WHEN long THEN array_to_string(s[-3:], '.') ELSE array_to_string(s[greatest(len(s) - 1, 1):], '.') END AS domain FROM l
+), top AS (
+  SELECT coalesce((sum(k) + 1) / (sum(n) + 2), 0.5) AS above FROM hosts
+), <SUFFIX>, <DOMAIN>, <HOST>
+SELECT page_id, d.host, path, rule,
+       CASE WHEN rule IN ('example.com/de/', 'net/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+            WHEN greatest(a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 0) > 0.5 THEN 'block' ELSE 'allow' END AS verdict,
+       round(greatest(a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 0), 6) AS bad_rate_lower
+FROM d JOIN p_host USING (host)
+"""
+
+
+def _shrunk(level: str, keys: str, above: str) -> str:
+    """SQL of one level of the beta-binomial chain, as CTEs ending in ``p_<level>``."""
+    return f"""
+g_{level} AS (
+  SELECT {keys}, sum(n) AS n, sum(k) AS k, first(above) AS above FROM hosts {above} GROUP BY {keys}
+), s_{level} AS (
+  SELECT coalesce(sum(CASE WHEN n > 1 THEN n * pow(k / n - above, 2) - above * (1 - above) END)
+                  / nullif(sum(CASE WHEN n > 1 THEN (n - 1) * above * (1 - above) END), 0), 0.0) AS excess, sum(CASE WHEN n > 1 THEN n END) AS used FROM g_{level}
+), t_{level} AS (
+  SELECT CASE WHEN used > 0 THEN least(greatest(1 / least(greatest(excess, 1e-6::DOUBLE), 0.999999::DOUBLE) - 1, 1.0), 1000.0) ELSE 1.0 END AS s FROM s_{level}
+), p_{level} AS (
+  SELECT {keys}, s * above + k AS a, s * (1 - above) + n - k AS b, a / (a + b) AS above FROM g_{level}, t_{level}
+)"""
+
+
+def _op2_sql() -> str:
+    parts = {
+        "GENERIC": ", ".join(f"'{x}'" for x in url_reputation.GENERIC),
+        "SUFFIX": _shrunk("suffix", "suffix", "CROSS JOIN top"),
+        "DOMAIN": _shrunk("domain", "suffix, domain", "JOIN p_suffix USING (suffix)"),
+        "HOST": _shrunk("host", "suffix, domain, host", "JOIN p_domain USING (suffix, domain)"),
+    }
+    sql = OP2_SQL
+    for name, text in parts.items():
+        sql = sql.replace(f"<{name}>", text.strip())
+    return sql
+
+
 OP7_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x
@@ -236,4 +299,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_zip": OP5_SQL, "op6_winnowing": OP6_SQL, "op7_topk": OP7_SQL, "op10_mixing": _mixing_sql()}
+    return {"op2_url_reputation": _op2_sql(), "op5_warc_zip": OP5_SQL, "op6_winnowing": OP6_SQL, "op7_topk": OP7_SQL, "op10_mixing": _mixing_sql()}

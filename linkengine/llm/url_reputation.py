@@ -7,12 +7,19 @@ the method of moments over all groups of that level. A page is blocked when the
 bound of its host's posterior rate exceeds ``BLOCK_ABOVE``.
 
 An explicit rule (host and path prefix; the longest fit wins) decides before the
-reputation. Hosts are matched with all their subdomains.
+reputation. Hosts are matched with all their subdomains. Rules label pages of both kinds:
+what a rule decides is bad or good, and a page on the host of a blocking rule that no rule
+decides is good, since who wrote the rule blocked a section and left the rest.
+
+The suffix of a host is its last label, or its last two where a country's label follows a
+generic one (``GENERIC``); further suffixes can be given. User, port and a closing dot are
+left out for that; an IP address is a suffix and domain of its own.
 
 Cases: a null url, or one without ``://``, has empty host and path, fits no rule and
 counts as the host ``''``. A null outcome is no label. Repeated pages are rows of their
-own. Without any label every posterior is the uniform prior's and nothing is blocked.
-Columns besides the id and the url are ignored.
+own. Very long urls are split whole. Rules of equal length apply in the order given. Without any label every
+posterior is the uniform prior's and nothing is blocked. A group of one page tells nothing
+of its level's spread. An empty table gives an empty result. Columns besides the id and the url are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import lookup_join, lower_az, materialize
 
-#: Suffixes of more than one label under which domains are registered.
-LONG_SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "gov.uk", "org.uk")
+#: Labels under which countries register domains.
+GENERIC = ("ac", "co", "com", "edu", "go", "gob", "gov", "gouv", "gv", "ltd", "mil", "ne", "net", "nhs", "or", "org", "plc", "police", "sch")
 BLOCK_ABOVE = 0.5
 #: One-sided normal quantile of the posterior bound.
 BOUND_Z = 1.645
@@ -38,16 +45,22 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
 
 
-def suffix_and_domain(host: Column) -> tuple[Column, Column]:
-    """The public suffix and the registered domain (suffix plus one label) of a host."""
-    labels = F.split(host, r"\.")
-    two = F.array_join(F.slice(labels, -2, 2), ".")
-    long = F.size(labels) > 2
-    is_long = long & two.isin(*LONG_SUFFIXES)
-    suffix = F.when(is_long, two).otherwise(F.element_at(labels, -1))
-    keep = F.when(is_long, 3).otherwise(2)
-    n = F.least(keep, F.size(labels))
-    return suffix, F.array_join(F.slice(labels, -n, n), ".")
+def suffix_and_domain(host: Column, more: tuple[str, ...] = ()) -> tuple[Column, Column]:
+    """The public suffix and the registered domain (suffix plus one label) of a host;
+    ``more`` are further suffixes of two labels."""
+    name = F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r":[0-9]*$", "")
+    name = F.rtrim(name, F.lit("."))
+    is_ip = name.rlike(r"^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*)$")
+    labels = F.split(name, r"\.")
+    last, second, two = F.element_at(labels, -1), F.get(labels, F.size(labels) - 2), F.array_join(F.slice(labels, -2, 2), ".")
+    is_long = (F.size(labels) > 2) & (last.rlike("^[a-z]{2}$") & second.isin(*GENERIC) | two.isin(*more))
+    n = F.least(F.when(is_long, 3).otherwise(2), F.size(labels))
+    suffix = F.when(is_ip, name).when(is_long, two).otherwise(last)
+    return suffix, F.when(is_ip, name).otherwise(F.array_join(F.slice(labels, -n, n), "."))
+
+
+def _on(host: Column, of_host: str) -> Column:
+    return (host == of_host) | host.endswith("." + of_host)
 
 
 def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
@@ -55,7 +68,7 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     (verdict, host, path prefix); the order of equal lengths is that of the list."""
     rule = verdict = F.lit(None).cast("string")
     for what, of_host, prefix in sorted(rules, key=lambda r: len(r[1]) + len(r[2])):
-        fits = ((host == of_host) | host.endswith("." + of_host)) & path.startswith(prefix)
+        fits = _on(host, of_host) & path.startswith(prefix)
         rule = F.when(fits, F.lit(of_host + prefix)).otherwise(rule)
         verdict = F.when(fits, F.lit(what)).otherwise(verdict)
     return rule, verdict
@@ -111,13 +124,16 @@ def reputation(pages: DataFrame, host: str = "host", outcome: str = "outcome") -
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], page_id: str = "page_id", url: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, bad_rate_lower) per row of ``pages``.
 
-    Pages that a rule decides are the labelled outcomes of the reputation.
+    What rules decide, and what blocking rules leave on their hosts, are the labelled outcomes.
     """
     host, path = split_url(F.col(url))
     rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, decided = fitting_rule(F.col("host"), F.col("path"), rules)
     rows = rows.select("page_id", "host", "path", rule.alias("rule"), decided.alias("decided"))
-    outcome = F.when(F.col("decided") == "block", 1).when(F.col("decided") == "allow", 0)
+    left = F.lit(False)
+    for what, of_host, _ in rules:
+        left = left | _on(F.col("host"), of_host) if what == "block" else left
+    outcome = F.when(F.col("decided") == "block", 1).when((F.col("decided") == "allow") | left, 0)
     known = materialize(reputation(rows.withColumn("outcome", outcome)).select("host", "lower"), "reputation")
     joined = lookup_join(rows, known, ["host"])
     method = F.when(F.col("lower") > BLOCK_ABOVE, "block").otherwise("allow")

@@ -53,3 +53,31 @@ def test_registered_domain(spark):
     assert [(r[0], r[1]) for r in df.select(suffix, domain).collect()] == [
         ("co.uk", "b.co.uk"), ("uk", "co.uk"), ("org", "example.org"), ("org", "example.org"), ("org", "org"), ("", ""),
     ]
+
+
+def test_hosts_of_ports_users_and_addresses(spark):
+    hosts = ["user@www.example.org:8080", "10.0.0.1:80", "[::1]:8080", "a.b.gov.fr.", "x.y.platform.example", "www.b.co"]
+    df = spark.createDataFrame([(h,) for h in hosts], "h string")
+    suffix, domain = U.suffix_and_domain(F.col("h"), ("platform.example",))
+    assert [(r[0], r[1]) for r in df.select(suffix, domain).collect()] == [
+        ("org", "example.org"), ("10.0.0.1", "10.0.0.1"), ("[::1]", "[::1]"), ("gov.fr", "b.gov.fr"), ("platform.example", "y.platform.example"), ("co", "b.co"),
+    ]
+
+
+def test_outcomes_of_both_kinds_tell_hosts_apart(spark):
+    """Two hosts of one domain under the same rule: the one that is mostly in the blocked section goes whole."""
+    urls = [f"http://bad.example.com/{'de' if i % 10 else 'en'}/{i}" for i in range(200)]
+    urls += [f"http://good.example.com/{'en' if i % 10 else 'de'}/{i}" for i in range(200)] + ["http://new.example.com/en/1", "http://a.b.org/x", "http://a.b.org/" + "x" * 200_000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = U.judge(df, RULES).collect()
+    verdicts = {(r["host"], r["verdict"]) for r in rows if r["rule"] is None}
+    assert verdicts == {("bad.example.com", "block"), ("good.example.com", "allow"), ("new.example.com", "allow"), ("a.b.org", "allow")}
+    lower = {r["host"]: r["bad_rate_lower"] for r in rows}
+    assert lower["bad.example.com"] > 0.7 > 0.2 > lower["good.example.com"]
+
+
+def test_internal_names_as_extra_columns(spark):
+    names = ["host", "path", "rule", "decided", "lower", "outcome", "n", "k", "suffix", "domain", "above", "a", "b", "s", "rate"]
+    df = spark.createDataFrame([(1, "http://x.org/fr/", *names)], "page_id long, url string, " + ", ".join(f"{n} string" for n in names))
+    r = U.judge(df, RULES).first()
+    assert (r["host"], r["path"], r["rule"], r["verdict"]) == ("x.org", "/fr/", "org/fr/", "allow")

@@ -33,8 +33,9 @@ def with_pattern(df: DataFrame, text: str = "normalized_input", order: str = "ar
     separated = {"_sep_artist": F.col(first), "_sep_title": clean_title(clean_title(F.col(second)))}
     has_sep = truthy(F.col("_sep_artist")) & truthy(F.col("_sep_title"))
 
-    round_ = s.rlike(_IN_PARENTHESES)
-    square = ~round_ & s.rlike(_IN_BRACKETS)
+    # The regexes are tried only where the closing mark is there at all.
+    round_ = s.contains(")") & s.rlike(_IN_PARENTHESES)
+    square = ~round_ & s.contains("]") & s.rlike(_IN_BRACKETS)
 
     def group(i: int) -> Column:
         return F.when(round_, F.regexp_extract(s, _IN_PARENTHESES, i)).when(square, F.regexp_extract(s, _IN_BRACKETS, i))

@@ -39,7 +39,8 @@ def unify_dashes(s: Column) -> Column:
     return F.translate(s, DASHES, "-" * len(DASHES))
 
 
-#: The steps of normalisation, in order: (name in the log, expression).
+#: The steps of normalisation, in order: (name in the log, expression). The names,
+#: the control characters and the characters that are kept are part of the contract.
 STEPS = [
     ("trimmed_outer_whitespace", strip),
     ("removed_control_characters", lambda s: F.regexp_replace(s, r"[\x00-\x1f\x7f]", " ")),
@@ -79,7 +80,9 @@ def clean_field(s: Column) -> Column:
 
 
 def clean_title(s: Column) -> Column:
-    return clean_field(F.regexp_replace(s, TITLE_TAG, ""))
+    # A tag ends in a bracket; the regex is tried only where there is one.
+    bracketed = s.contains(")") | s.contains("]")
+    return clean_field(F.when(bracketed, F.regexp_replace(s, TITLE_TAG, "")).otherwise(s))
 
 
 def looks_like_metadata(s: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rounding import round4
 from ..functions.similarity import SCORERS
+from ..functions.staging import materialize
 from ..functions.text import same_label
 from . import matching, parsing
 
@@ -35,11 +36,12 @@ def evaluate_parser(labelled: DataFrame) -> DataFrame:
     return parser_cases(labelled).agg(n.alias("total"), *(_ratio(F.col(f"{x}_matched"), n).alias(f"{x}_accuracy") for x in names))
 
 
-def matcher_cases(examples: DataFrame, catalogs: list[tuple[str, DataFrame]], scorer: str = "levenshtein", k: int = 3, margin: float = 0.05) -> DataFrame:
+def matcher_cases(
+    examples: DataFrame, catalogs: list[tuple[str, DataFrame]], scorer: str = "levenshtein", k: int = 3, margin: float = 0.05, found: DataFrame | None = None
+) -> DataFrame:
     """Per (line_id, query, expected_track_id): retrieval by the hybrid score, then ranked by
     ``scorer``; top-1 and top-k hits, the margin to the runner-up and whether it is ambiguous."""
-    queries = examples.select("line_id", "query")
-    found = matching.search(queries, catalogs, k)
+    found = matching.search(examples.select("line_id", "query"), catalogs, k) if found is None else found
     texts = found.select(F.col("normalized_query").alias("a"), F.col("normalized_candidate").alias("b")).distinct()
     scored = SCORERS[scorer](texts).withColumnsRenamed({"a": "normalized_query", "b": "normalized_candidate"})
     pairs = found.drop("score", "distance").withColumnRenamed("rank", "found_rank").join(scored, ["normalized_query", "normalized_candidate"])
@@ -67,8 +69,10 @@ def matcher_cases(examples: DataFrame, catalogs: list[tuple[str, DataFrame]], sc
     return rows.withColumn("is_ambiguous", F.col("_two") & (F.col("score_margin") <= margin)).drop("_two")
 
 
-def evaluate_matcher(examples: DataFrame, catalogs: list[tuple[str, DataFrame]], scorer: str = "levenshtein", k: int = 3, margin: float = 0.05) -> DataFrame:
-    cases = matcher_cases(examples, catalogs, scorer, k, margin)
+def evaluate_matcher(
+    examples: DataFrame, catalogs: list[tuple[str, DataFrame]], scorer: str = "levenshtein", k: int = 3, margin: float = 0.05, found: DataFrame | None = None
+) -> DataFrame:
+    cases = matcher_cases(examples, catalogs, scorer, k, margin, found)
     n = F.count("*")
     return cases.agg(
         n.alias("total"),
@@ -79,10 +83,11 @@ def evaluate_matcher(examples: DataFrame, catalogs: list[tuple[str, DataFrame]],
 
 
 def compare_matchers(examples: DataFrame, catalogs: list[tuple[str, DataFrame]], k: int = 3, algorithms: list[str] | None = None) -> DataFrame:
-    """One row of accuracies per algorithm, by name unless listed."""
+    """One row of accuracies per algorithm, by name unless listed; all rank one retrieval."""
     rows = None
+    found = materialize(matching.search(examples.select("line_id", "query"), catalogs, k), "found")
     for name in algorithms or sorted(SCORERS):
-        one = evaluate_matcher(examples, catalogs, name, k).withColumn("algorithm", F.lit(name))
+        one = evaluate_matcher(examples, catalogs, name, k, found=found).withColumn("algorithm", F.lit(name))
         rows = one if rows is None else rows.unionByName(one)
     return rows
 

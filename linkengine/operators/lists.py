@@ -113,26 +113,15 @@ def apply_reviews(items: DataFrame, reviews: DataFrame) -> DataFrame:
     rows = items.join(changes, ["item_id", "playlist_id"], "left")
     rows = rows.withColumns({c: F.when(F.col("_hit"), value).otherwise(F.col(c)) for c, value in new.items()})
     if "metadata_json" in items.columns:
-        # Top-level members as raw JSON text; the right-most key wins.
-        old = F.coalesce(F.from_json("metadata_json", "map<string,string>"), F.create_map().cast("map<string,string>"))
-        kept = F.map_filter(old, lambda k, _: k != "manual_review")
-        members = F.transform(
-            F.map_entries(kept),
-            lambda e: F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(":"), _json_value(e["value"])),
-        )
-        review = F.to_json(F.struct(*(F.col(c) for c in fields)))
-        merged = F.concat(F.lit("{"), F.array_join(F.concat(members, F.array(F.concat(F.lit('"manual_review":'), review))), ","), F.lit("}"))
+        # Members keep their types as variants; only the top level is taken apart.
+        members = "map<string,variant>"
+        old = F.coalesce(F.from_json("metadata_json", members), F.from_json(F.lit("{}"), members))
+        review = F.create_map(F.lit("manual_review"), F.parse_json(F.to_json(F.struct(*(F.col(c) for c in fields)))))
+        merged = F.to_json(F.map_concat(F.map_filter(old, lambda k, _: k != "manual_review"), review))
         rows = rows.withColumn("metadata_json", F.when(F.col("_hit"), merged).otherwise(F.col("metadata_json")))
     return rows.select(*items.columns)
 
 
-def _json_value(v):
-    """The JSON text of a member that ``from_json`` returned as a string."""
-    quoted = F.to_json(F.array(v))
-    plain = v.rlike(r'^(\{.*\}|\[.*\]|-?[0-9.eE+-]+|true|false)$')
-    return F.when(v.isNull(), "null").when(plain, v).otherwise(quoted.substr(F.lit(2), F.length(quoted) - 2))
-
-
 def sessions_from_events(events: DataFrame, session: str = "user_id", at: str = "ts") -> DataFrame:
     """Sessions as the state of their touches: created at the first, last seen at the last."""
     rows = events.filter(F.col(session).isNotNull()).groupBy(F.col(session).cast("string").alias("session_id"))

@@ -3,8 +3,9 @@
 Catalogs are (source, DataFrame) pairs in provider order; a catalog has track_id,
 artist, title, external_url and cand_ord (its own order). Every query meets every
 candidate, since a rank-k answer may have any score; what keeps this affordable is that
-scores depend on normalised texts only, so distinct texts are scored once and only then
-meet the rows, and that the catalog is broadcast where its counted size allows.
+scores and ranks depend on normalised texts only, so distinct texts are scored and cut to
+their k best once and only then meet the lines, and that the catalog is broadcast where its
+counted rows and bytes allow.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.settle import settle
+from ..functions.staging import fits_broadcast, materialize
 from ..functions.similarity import SCORERS
 from ..functions.text import display_text, match_normalize
 from ..functions.unicode import strip, truthy
@@ -21,11 +23,6 @@ BROADCAST_ROWS = 200_000
 CANDIDATE_COLUMNS = ["source", "track_id", "artist", "title", "external_url", "provider_ord", "cand_ord"]
 
 
-def is_small(df: DataFrame, bound: int = BROADCAST_ROWS) -> bool:
-    """Whether a count proves ``df`` within ``bound`` rows; only then it is broadcast."""
-    return df.limit(bound + 1).count() <= bound
-
-
 def union_catalogs(catalogs: list[tuple[str, DataFrame]]) -> DataFrame:
     """All providers' candidates in provider order, with the text that scorers compare."""
     parts = []
@@ -62,13 +59,16 @@ def _rank_order(score: str = "score") -> list[Column]:
 def rank(queries: DataFrame, candidates: DataFrame, scorer: str = "hybrid", k: int | None = None, by: list[str] | None = None) -> DataFrame:
     """Scored candidates of (line_id, query) with ``rank`` from 1: score, then distance,
     then display text from the last, then the candidates' order."""
-    queries = with_normalized_query(queries)
-    small = is_small(candidates)
+    queries = materialize(with_normalized_query(queries), "queries")
+    candidates = materialize(candidates, "candidates")
+    small = fits_broadcast(candidates, BROADCAST_ROWS)
     scored = score_texts(queries, candidates, scorer, small)
-    rows = queries.join(scored, "normalized_query").join(F.broadcast(candidates) if small else candidates, "normalized_candidate")
-    order = Window.partitionBy("line_id", *(by or [])).orderBy(*_rank_order(), "provider_ord", "cand_ord")
-    rows = rows.withColumns({"rank": F.row_number().over(order), "algorithm": F.lit(scorer)})
-    return rows.filter(F.col("rank") <= k) if k is not None else rows
+    found = scored.join(F.broadcast(candidates) if small else candidates, "normalized_candidate")
+    # No column of a line takes part in the order, so equal queries share one ranking.
+    order = Window.partitionBy("normalized_query", *(by or [])).orderBy(*_rank_order(), "provider_ord", "cand_ord")
+    found = found.withColumns({"rank": F.row_number().over(order), "algorithm": F.lit(scorer)})
+    found = found.filter(F.col("rank") <= k) if k is not None else found
+    return queries.join(found, "normalized_query")
 
 
 def search(queries: DataFrame, catalogs: list[tuple[str, DataFrame]], limit_per_source: int = 10, scorer: str = "hybrid") -> DataFrame:

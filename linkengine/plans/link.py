@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.settle import settle
+from ..functions.staging import materialize
 from ..operators import matching, parsing, variants
 
 THRESHOLD = 0.8
@@ -25,8 +26,10 @@ def parse_and_match(
         raise ValueError("match_limit must be between 1 and 20")
     parsed = variants.with_variants(parsing.parse(parsing.drop_blank_raw(lines)))
     parsed = settle(parsed, {"query": matching.search_query(F.col("artist"), F.col("title"), F.col("normalized_input"))})
+    # Both feed several branches below, so each is computed once.
+    parsed = materialize(parsed, "parsed")
     found = matching.search(parsed.select("line_id", "query"), catalogs, match_limit)
-    matches = matching.match_candidates(parsed, found, match_limit, scorer)
+    matches = materialize(matching.match_candidates(parsed, found, match_limit, scorer), "matches")
     best = matches.filter("rank = 1").select("line_id", F.col("score").alias("_best"), F.struct("source", "track_id", "external_url", "score", "algorithm", "query_variant_source").alias("best"))
     score = F.coalesce("_best", F.lit(0.0))
     items = parsed.join(best, "line_id", "left").withColumn("best_score", score).drop("_best")

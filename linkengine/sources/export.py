@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.unicode import truthy
 
+#: The columns of the CSV form and the media types.
 CSV_COLUMNS = [
     "position", "raw_input", "parsed_artist", "parsed_title", "parser_confidence", "match_track_id",
     "match_external_url", "match_score", "match_algorithm", "source", "is_uncertain",

@@ -48,6 +48,8 @@ _BLOCKS = ((0, 1), (2, 3), (4, 5), (6, 7))
 SEEDS = [tuple(sorted(x + y)) for x, y in combinations(_BLOCKS, 2)]
 DEEP_SEEDS = sorted({tuple(sorted((*seed, *more))) for seed in SEEDS for more in combinations(sorted(set(range(8)) - set(seed)), 2)})
 _BLOCK = 1 << 15
+#: So few edges, by count, are joined in one task instead of further rounds.
+ONE_TASK_EDGES = 200_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -199,33 +201,59 @@ def link_chains(fingerprints: DataFrame) -> DataFrame:
     return found.filter("link").select("u", "v").union(deep.select("u", "v")).distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, parent) of a counted, bounded number of edges; a parent is its class's least node."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for pdf in batches:
+        for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist()):
+            parent.setdefault(u, u)
+            parent.setdefault(v, v)
+            a, b = find(u), find(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    yield pd.DataFrame({"node": list(parent), "parent": [find(x) for x in parent]}, dtype="int64")
+
+
+def connected_components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v), by contraction.
 
     Each round every node hooks to the closed neighbour of least seeded hash, follows
     the pointer twice more, and the graph is contracted; nodes halve in expectation.
-    The rounds exchange tables through the shared folder, so a lost executor repeats
-    at most one round.
+    Once a count proves at most ``one_task`` edges left, one task joins these. The rounds
+    exchange tables through the shared folder, so a lost executor repeats at most one round.
     """
     spark = edges.sparkSession
     current = materialize(edges.filter("u <> v"), "edges")
     roots: DataFrame | None = None
     seed = 0
-    while not current.isEmpty():
-        both = current.union(current.select("v", "u"))
-        rank = lambda c: F.struct(F.xxhash64(F.lit(seed), c).alias("h"), c.alias("n"))
-        hook = both.groupBy("u").agg(F.min(rank(F.col("v"))).alias("best"))
-        hook = hook.select(F.col("u").alias("node"), F.least(F.col("best"), rank(F.col("u")))["n"].alias("parent"))
-        hook = materialize(hook, "hooks")
-        for _ in range(2):
-            up = hook.select(F.col("node").alias("parent"), F.col("parent").alias("upper"))
-            hook = lookup_join(hook, up, ["parent"]).select("node", F.coalesce("upper", "parent").alias("parent"))
+    while left := current.count():
+        last = left <= one_task
+        if last:
+            hook = materialize(current.coalesce(1).mapInPandas(_joined, "node long, parent long"), "hooks")
+        else:
+            both = current.union(current.select("v", "u"))
+            rank = lambda c: F.struct(F.xxhash64(F.lit(seed), c).alias("h"), c.alias("n"))
+            hook = both.groupBy("u").agg(F.min(rank(F.col("v"))).alias("best"))
+            hook = hook.select(F.col("u").alias("node"), F.least(F.col("best"), rank(F.col("u")))["n"].alias("parent"))
             hook = materialize(hook, "hooks")
+            for _ in range(2):
+                up = hook.select(F.col("node").alias("parent"), F.col("parent").alias("upper"))
+                hook = lookup_join(hook, up, ["parent"]).select("node", F.coalesce("upper", "parent").alias("parent"))
+                hook = materialize(hook, "hooks")
         if roots is None:
             roots = hook.select("node", F.col("parent").alias("root"))
         else:
             step = hook.select(F.col("node").alias("root"), F.col("parent"))
             roots = materialize(lookup_join(roots, step, ["root"]).select("node", F.coalesce("parent", "root").alias("root")), "roots")
+        if last:
+            break
         for end in ("u", "v"):
             step = hook.select(F.col("node").alias(end), F.col("parent"))
             current = lookup_join(current, step, [end]).withColumn(end, F.coalesce("parent", end)).drop("parent")

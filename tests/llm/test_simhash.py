@@ -74,8 +74,9 @@ def test_links_and_components_match_brute_force(spark):
 
 def test_long_chain_is_one_component(spark):
     edges = spark.range(0, 3000).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
-    rows = simhash.connected_components(edges)
-    assert rows.count() == 3001 and rows.select("root").distinct().count() == 1
+    for one_task in (0, 500, 200_000):
+        rows = simhash.connected_components(edges, one_task)
+        assert rows.count() == 3001 and rows.select("root").distinct().count() == 1
     assert simhash.connected_components(edges.limit(0)).count() == 0
 
 

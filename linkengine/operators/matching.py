@@ -23,6 +23,11 @@ BROADCAST_ROWS = 200_000
 CANDIDATE_COLUMNS = ["source", "track_id", "artist", "title", "external_url", "provider_ord", "cand_ord"]
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether counts prove a written table small enough to be broadcast."""
+    return fits_broadcast(df, BROADCAST_ROWS)
+
+
 def union_catalogs(catalogs: list[tuple[str, DataFrame]]) -> DataFrame:
     """All providers' candidates in provider order, with the text that scorers compare."""
     parts = []
@@ -61,7 +66,7 @@ def rank(queries: DataFrame, candidates: DataFrame, scorer: str = "hybrid", k: i
     then display text from the last, then the candidates' order."""
     queries = materialize(with_normalized_query(queries), "queries")
     candidates = materialize(candidates, "candidates")
-    small = fits_broadcast(candidates, BROADCAST_ROWS)
+    small = is_small(candidates)
     scored = score_texts(queries, candidates, scorer, small)
     found = scored.join(F.broadcast(candidates) if small else candidates, "normalized_candidate")
     # No column of a line takes part in the order, so equal queries share one ranking.

@@ -107,6 +107,18 @@ def test_changes(spark, tables):
     assert [i["position"] for i in nested["p1"]] == [0, 1] and nested["p2"] is None
 
 
+def test_review_keeps_the_types_of_metadata(spark):
+    fields = "match_track_id string, match_external_url string, match_score double, match_algorithm string, source string, is_uncertain boolean"
+    meta = ['{"date":"2024-01-01","n":"12","t":"true","b":"[x]","f":1.5,"z":null,"o":{"a":[1,"2",null],"q":"x\\"y"},"manual_review":{"x":1}}', None, "{}", "broken"]
+    items = spark.createDataFrame([(f"i{k}", "p", None, None, None, None, None, True, m) for k, m in enumerate(meta)], f"item_id string, playlist_id string, {fields}, metadata_json string")
+    reviews = spark.createDataFrame([(f"i{k}", "p", "m", None, 0.5, None, None, None) for k in range(4)], f"item_id string, playlist_id string, {fields}")
+    got = {r["item_id"]: json.loads(r["metadata_json"]) for r in lists.apply_reviews(items, reviews).collect()}
+    review = {"match_track_id": "m", "match_score": 0.5, "match_algorithm": "manual", "source": "manual", "is_uncertain": False}
+    kept = {k: v for k, v in json.loads(meta[0]).items() if k != "manual_review"}
+    assert got["i0"] == kept | {"manual_review": review}
+    assert got["i1"] == got["i2"] == got["i3"] == {"manual_review": review}
+
+
 def test_build_items(spark, catalogs):
     items, _ = link.parse_and_match(lines.from_list(spark, ["zzz", " ", "Blue Harbor - Night Train"]), catalogs)
     rows = lists.build_items(items.withColumn("playlist_id", F.lit("p"))).orderBy("position").collect()

@@ -16,6 +16,11 @@ ITEM_SCHEMA = (
     "match_algorithm string, source string, is_uncertain boolean, metadata_json string"
 )
 DEFAULT_NAME = "Untitled Playlist"
+#: The parsed fields that the metadata of an item keep.
+PARSED_FIELDS = [
+    "raw_input", "normalized_input", "artist", "title", "confidence", "pattern", "explanation", "language", "language_confidence",
+    "language_explanation", "normalization_steps", "transliteration_candidates", "transliteration_explanation",
+]
 #: What a manual review takes where it says nothing.
 REVIEW_ALGORITHM, REVIEW_SOURCE, REVIEW_SCORE = "manual", "manual", 0.99
 
@@ -34,9 +39,15 @@ def list_name(name):
 
 
 def build_items(items: DataFrame, playlist_id: str = "playlist_id") -> DataFrame:
-    """Item rows of matched lines (with ``playlist_id`` and ``line_id``), position from 0."""
+    """Item rows of matched lines (with ``playlist_id`` and ``line_id``), position from 0.
+
+    The metadata hold every parsed field, the query variants, the reports of the sources
+    (none unless the lines carry ``source_reports``) and the explanation of the match.
+    """
     order = Window.partitionBy(playlist_id).orderBy("line_id")
-    metadata = F.to_json(F.struct(F.struct("artist", "title", "pattern", "confidence", "language").alias("parsed_track"), "query_variants", F.col("match_explanation").alias("explanation")))
+    reports = F.col("source_reports") if "source_reports" in items.columns else F.array()
+    members = F.struct(F.struct(*PARSED_FIELDS).alias("parsed_track"), "query_variants", reports.alias("source_reports"), F.col("match_explanation").alias("explanation"))
+    metadata = F.to_json(members, {"ignoreNullFields": "false"})
     return items.select(
         F.concat_ws("-", F.col(playlist_id), F.col("line_id").cast("string")).alias("item_id"),
         F.col(playlist_id).cast("string").alias("playlist_id"),
@@ -60,11 +71,34 @@ def lists_of_session(lists: DataFrame, session_id) -> DataFrame:
     return lists.filter(F.col("session_id") == session_id).orderBy(F.col("created_at").desc(), "playlist_id")
 
 
+def found_or_raise(rows: DataFrame, what: str) -> DataFrame:
+    if rows.isEmpty():
+        raise NotFound(what)
+    return rows
+
+
 def get_list(lists: DataFrame, playlist_id) -> DataFrame:
-    found = lists.filter(F.col("playlist_id") == playlist_id)
-    if found.isEmpty():
-        raise NotFound(f"list {playlist_id}")
-    return found
+    return found_or_raise(lists.filter(F.col("playlist_id") == playlist_id), f"list {playlist_id}")
+
+
+def get_item(items: DataFrame, item_id, playlist_id) -> DataFrame:
+    """An item by its own id and that of its list."""
+    found = items.filter((F.col("item_id") == item_id) & (F.col("playlist_id") == playlist_id))
+    return found_or_raise(found, f"item {item_id} of list {playlist_id}")
+
+
+def lookup_items(items: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(item_id, playlist_id) asked for, ``found`` and the item's columns."""
+    rows = items.withColumn("found", F.lit(True))
+    asked = wanted.select("item_id", "playlist_id").distinct()
+    return asked.join(rows, ["item_id", "playlist_id"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def summaries(lists: DataFrame, items: DataFrame) -> DataFrame:
+    """Lists with their number of items and of uncertain ones."""
+    counts = items.groupBy("playlist_id").agg(F.count("*").alias("total_items"), F.count_if("is_uncertain").alias("uncertain_count"))
+    rows = lists.join(counts, "playlist_id", "left")
+    return rows.fillna(0, ["total_items", "uncertain_count"])
 
 
 def with_items(lists: DataFrame, items: DataFrame) -> DataFrame:

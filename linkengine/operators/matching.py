@@ -86,6 +86,14 @@ def search(queries: DataFrame, catalogs: list[tuple[str, DataFrame]], limit_per_
     return found.withColumn("_first", F.row_number().over(first)).filter("_first = 1").drop("_first")
 
 
+def from_services(candidates: DataFrame, after: int = 0) -> DataFrame:
+    """Candidates that services returned for each line, as ``search`` returns them; their
+    sources follow ``after`` catalogs."""
+    rows = candidates.withColumns({"provider_ord": F.col("provider_ord") + after, "rank": F.col("cand_ord") + 1})
+    rows = rows.withColumn("display_text", display_text(F.col("artist"), F.col("title")))
+    return settle(rows, {"normalized_candidate": match_normalize(F.col("display_text"))})
+
+
 def source_reports(queries: DataFrame, found: DataFrame, sources: list[str], failed: dict[str, str] | None = None) -> DataFrame:
     """(line_id, source, status, candidate_count, error_code) with zero counts kept."""
     spark = queries.sparkSession

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.language import with_language
 from ..functions.patterns import with_pattern
-from ..functions.text import with_normalized
+from ..functions.settle import settle
+from ..functions.text import detector_normalize, with_normalized
 from ..functions.translit import with_transliterations
 from ..functions.unicode import strip
 
@@ -19,6 +20,12 @@ def parse(lines: DataFrame, order: str = "artist_title", mixed_threshold: float
     return with_pattern(with_transliterations(rows), order=order)
 
 
+def detect(lines: DataFrame, order: str = "artist_title") -> DataFrame:
+    """The pattern detector alone, on its own normalisation, which keeps case."""
+    rows = settle(lines, {"normalized_input": detector_normalize(F.coalesce(F.col("raw_input"), F.lit("")))})
+    return with_pattern(rows, order=order)
+
+
 def parse_lines(lines: DataFrame, skip_blank: bool = True, order: str = "artist_title") -> DataFrame:
     """Parsed rows; ``skip_blank`` drops lines whose normalised text is empty."""
     rows = parse(lines, order)

@@ -8,18 +8,24 @@ from pyspark.sql import functions as F
 from ..functions.settle import settle
 from ..functions.staging import materialize
 from ..operators import matching, parsing, variants
+from ..sources import rest
 
 THRESHOLD = 0.8
 
 
 def parse_and_match(
-    lines: DataFrame, catalogs: list[tuple[str, DataFrame]], match_limit: int = 3, threshold: float = THRESHOLD, scorer: str = "hybrid"
+    lines: DataFrame, catalogs: list[tuple[str, DataFrame]], match_limit: int = 3, threshold: float = THRESHOLD, scorer: str = "hybrid",
+    services: list[tuple[str, rest.TrackSearch | rest.VideoSearch]] | None = None, allow_partial: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """(items, matches): one item per line that is not blank, and its ranked matches.
 
     Candidates are cut to ``match_limit`` per source by the parsed query alone before the
-    variants are tried, which is part of the contract.
+    variants are tried, which is part of the contract. ``services`` are searched after the
+    catalogs; one that fails is reported in the items' ``source_reports``, or raises without
+    ``allow_partial``.
     """
+    if not catalogs and not services:
+        raise ValueError("at least one catalog or service is needed")
     if not 0.0 <= threshold <= 1.0:
         raise ValueError("threshold must be between 0.0 and 1.0")
     if not 1 <= match_limit <= 20:
@@ -28,7 +34,18 @@ def parse_and_match(
     parsed = settle(parsed, {"query": matching.search_query(F.col("artist"), F.col("title"), F.col("normalized_input"))})
     # Both feed several branches below, so each is computed once.
     parsed = materialize(parsed, "parsed")
-    found = matching.search(parsed.select("line_id", "query"), catalogs, match_limit)
+    asked = parsed.select("line_id", "query")
+    columns = ["line_id", *matching.CANDIDATE_COLUMNS, "display_text", "normalized_candidate", "rank"]
+    found = reports = None
+    if catalogs:
+        found = matching.search(asked, catalogs, match_limit).select(*columns)
+    if services:
+        found = materialize(found, "found") if catalogs else None
+        live, reports = rest.search_services(asked, services, match_limit, allow_partial)
+        if catalogs:
+            reports = matching.source_reports(asked, found, [s for s, _ in catalogs]).unionByName(reports)
+        live = matching.from_services(live, len(catalogs)).select(*columns)
+        found = live if found is None else found.unionByName(live)
     matches = materialize(matching.match_candidates(parsed, found, match_limit, scorer), "matches")
     best = matches.filter("rank = 1").select("line_id", F.col("score").alias("_best"), F.struct("source", "track_id", "external_url", "score", "algorithm", "query_variant_source").alias("best"))
     score = F.coalesce("_best", F.lit(0.0))
@@ -36,7 +53,14 @@ def parse_and_match(
     items = items.withColumn("is_uncertain", F.col("best_score") < threshold)
     verdict = F.when(F.col("is_uncertain"), "below").otherwise("at or above")
     why = F.format_string(f"best score %.4f is %s the threshold {threshold:.4f}", "best_score", verdict)
-    return items.withColumn("match_explanation", why), matches
+    items = items.withColumn("match_explanation", why)
+    if reports is not None:
+        place = F.create_map(*(F.lit(x) for i, (s, _) in enumerate([*catalogs, *services]) for x in (s, i)))
+        row = F.struct(place[F.col("source")].alias("place"), "source", "status", "candidate_count", "error_code")
+        rows = reports.groupBy("line_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+        told = F.transform("rows", lambda r: r.dropFields("place")).alias("source_reports")
+        items = items.join(rows.select("line_id", told), "line_id", "left")
+    return items, matches
 
 
 def summarize(items: DataFrame) -> DataFrame:

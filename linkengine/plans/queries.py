@@ -123,6 +123,14 @@ def _parse_sql(rows: str, order: str = "artist_title") -> str:
     return f"SELECT line_id, n7 AS normalized_input, artist, title, pattern, confidence FROM ({Q.parsed(Q.normalized(rows), order)})"
 
 
+def _detect_sql() -> str:
+    # The detector's own normalisation: dashes, outer white space, index prefix, quotes; case stays.
+    steps = dict(Q.STEPS)
+    n = steps["removed_list_index_prefix"](Q.strip(steps["normalized_dash_characters"]("raw_input")))
+    rows = f"(SELECT line_id, {Q.clean_field(n)} AS nd FROM {_PART_SQL})"
+    return f"SELECT line_id, nd AS normalized_input, artist, title, pattern, confidence FROM ({Q.parsed(rows, text='nd')})"
+
+
 def parse_pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines.split_text(_t(spark, sf_dir, "documents"))
     parsed = patterns.with_pattern(text.with_normalized(rows)).filter("normalized_input <> ''")
@@ -309,6 +317,34 @@ FROM c_{name} JOIN part ON p_partkey = line_id JOIN (SELECT p_name, 'part:' || m
     return ctes + " UNION ALL ".join(parts)
 
 
+def matcher_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = evaluation.matcher_cases(_labelled_queries(spark, sf_dir), catalogs(spark, sf_dir), "levenshtein", 3)
+    return cases.drop("query")
+
+
+def _cases_sql() -> str:
+    return f"""{_ranked_sql("hybrid", "line_id, source", 3)},
+top AS (
+  SELECT r.line_id, r.track_id, z.score, row_number() OVER (PARTITION BY r.line_id ORDER BY z.score DESC, z.distance, r.display_text DESC, r.provider_ord, r.rank) AS k
+  FROM r JOIN ({Q.scored("SELECT DISTINCT a, b FROM r", "levenshtein")}) z USING (a, b) QUALIFY k <= 3
+), cases AS (
+  SELECT line_id, max(CASE WHEN k = 1 THEN track_id END) AS t1, list(track_id) AS tk, max(CASE WHEN k = 1 THEN score END) AS s1, max(CASE WHEN k = 2 THEN score END) AS s2 FROM top GROUP BY line_id
+)
+SELECT line_id, e AS expected_track_id, t1 = e AS top_1_matched, list_contains(tk, e) AS top_k_matched, s1 AS top_1_score, coalesce(s2, 0.0) AS runner_up_score,
+       {Q.round4("s1 - coalesce(s2, 0.0)")} AS score_margin, s2 IS NOT NULL AND {Q.round4("s1 - coalesce(s2, 0.0)")} <= 0.05 AS is_ambiguous
+FROM cases JOIN part ON p_partkey = line_id JOIN (SELECT p_name, 'part:' || min(p_partkey) AS e FROM part GROUP BY p_name) USING (p_name)"""
+
+
+def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.summary_text(eval_parser(spark, sf_dir))
+
+
+def _eval_summary_sql() -> str:
+    names = ["artist_accuracy", "title_accuracy", "pattern_accuracy", "exact_accuracy"]
+    parts = " || chr(10) || ".join(f"'{n}=' || printf('%.4f', {n})" for n in names)
+    return f"SELECT 'total=' || total || chr(10) || {parts} AS summary FROM ({_eval_parser_sql()})"
+
+
 # Lists
 
 
@@ -371,7 +407,77 @@ _POSITIONS = f"SELECT playlist_id, coalesce(string_agg(CASE WHEN is_uncertain TH
 
 
 def list_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.list_stats(order_items(spark, sf_dir))
+    """Maps as ``key=n`` and positions as numbers, in order, so that SQL can return the same."""
+    rows = stats.list_stats(order_items(spark, sf_dir))
+    flat = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    positions = F.array_join(F.col("uncertain_positions").cast("array<string>"), ",").alias("uncertain_positions")
+    return rows.select("playlist_id", *_STAT_TOTALS, positions, *(flat(c).alias(c) for c in ("source_counts", "algorithm_counts")))
+
+
+_STAT_TOTALS = ["total_items", "uncertain_items", "confirmed_items"]
+
+
+def _stats_sql() -> str:
+    counts = lambda c: f"SELECT playlist_id, string_agg({c} || '=' || n, ',' ORDER BY {c}) AS t FROM (SELECT playlist_id, {c}, count(*) AS n FROM items WHERE {c} IS NOT NULL GROUP BY ALL) GROUP BY playlist_id"
+    return f"""
+WITH items AS MATERIALIZED {_ITEMS_SQL}
+SELECT playlist_id, count(*) AS total_items, count(*) FILTER (WHERE is_uncertain) AS uncertain_items, count(*) FILTER (WHERE NOT is_uncertain) AS confirmed_items,
+       coalesce(string_agg(CASE WHEN is_uncertain THEN CAST(position AS VARCHAR) END, ',' ORDER BY position), '') AS uncertain_positions,
+       any_value(s.t) AS source_counts, any_value(a.t) AS algorithm_counts
+FROM items LEFT JOIN ({counts("source")}) s USING (playlist_id) LEFT JOIN ({counts("match_algorithm")}) a USING (playlist_id) GROUP BY playlist_id"""
+
+
+def item_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item asked for under its own list and, in vain, under the next one."""
+    items = order_items(spark, sf_dir).select("item_id", "playlist_id", "match_track_id")
+    wanted = items.select("item_id", "playlist_id").union(items.select("item_id", F.col("playlist_id") + 1))
+    return lists.lookup_items(items, wanted)
+
+
+_LOOKUP = f"""
+SELECT w.item_id, w.playlist_id, i.match_track_id, i.item_id IS NOT NULL AS found
+FROM (SELECT item_id, playlist_id FROM {_ITEMS_SQL} UNION SELECT item_id, playlist_id + 1 FROM {_ITEMS_SQL}) w
+LEFT JOIN {_ITEMS_SQL} i ON i.item_id = w.item_id AND i.playlist_id = w.playlist_id"""
+
+
+def list_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lists.summaries(order_lists(spark, sf_dir), order_items(spark, sf_dir))
+    return rows.select("playlist_id", "session_id", "name", "total_items", "uncertain_count")
+
+
+_SUMMARIES = f"""
+SELECT o_orderkey AS playlist_id, CAST(o_custkey AS VARCHAR) AS session_id, o_orderpriority AS name, coalesce(n, 0) AS total_items, coalesce(u, 0) AS uncertain_count
+FROM orders LEFT JOIN (SELECT playlist_id, count(*) AS n, count(*) FILTER (WHERE is_uncertain) AS u FROM {_ITEMS_SQL} GROUP BY playlist_id) ON playlist_id = o_orderkey"""
+
+
+def build_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts' lines, linked and built into seven lists, with some of the metadata."""
+    rows = part_lines(spark, sf_dir).select("line_id", "raw_input")
+    items, _ = link.parse_and_match(rows, catalogs(spark, sf_dir), 3)
+    built = lists.build_items(items.withColumn("playlist_id", F.concat(F.lit("list-"), (F.col("line_id") % 7).cast("string"))))
+    meta = lambda path: F.get_json_object("metadata_json", f"$.{path}")
+    columns = ["item_id", "playlist_id", "position", "raw_input", "parsed_artist", "parsed_title", "parser_confidence", "match_track_id", "match_score", "source", "is_uncertain"]
+    return built.select(*columns, meta("parsed_track.pattern").alias("meta_pattern"), meta("parsed_track.normalized_input").alias("meta_normalized"), meta("query_variants[0].source").alias("meta_variant"))
+
+
+def _build_sql() -> str:
+    return _linked_sql(f"""
+SELECT 'list-' || line_id % 7 || '-' || line_id AS item_id, 'list-' || line_id % 7 AS playlist_id,
+       CAST(row_number() OVER (PARTITION BY line_id % 7 ORDER BY line_id) - 1 AS INTEGER) AS position, n.raw_input, n.artist AS parsed_artist, n.title AS parsed_title,
+       n.confidence AS parser_confidence, m.track_id AS match_track_id, m.score AS match_score, m.source, i.is_uncertain, n.pattern AS meta_pattern, n.n7 AS meta_normalized, v0.source AS meta_variant
+FROM ({Q.parsed(Q.normalized(_PART_SQL))}) n JOIN i USING (line_id) LEFT JOIN (SELECT * FROM m WHERE rank = 1) m USING (line_id)
+LEFT JOIN (SELECT line_id, min_by(source, ord) AS source FROM v GROUP BY line_id) v0 USING (line_id)""")
+
+
+def download_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second item has a video address; its file is named by its place among these."""
+    address = F.when(F.col("position") % 2 == 0, F.concat(F.lit("https://youtu.be/"), F.col("item_id")))
+    return export.download_names(order_items(spark, sf_dir).withColumn("match_external_url", address))
+
+
+_DOWNLOAD_NAMES = f"""
+SELECT playlist_id, CAST(position // 2 + 1 AS INTEGER) AS ordinal, item_id, printf('%02d', position // 2 + 1) || ' - ' || coalesce(parsed_artist || ' - ', '') || parsed_title AS filename
+FROM {_ITEMS_SQL} WHERE position % 2 = 0"""
 
 
 def lists_by_session(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -509,6 +615,13 @@ def queries() -> dict[str, Query]:
         "list_algorithm_counts": _counts("match_algorithm"),
         "uncertain_positions": uncertain_positions,
         "list_stats": list_stats,
+        "list_summaries": list_summaries,
+        "item_lookup": item_lookup,
+        "build_list": build_list,
+        "download_names": download_names,
+        "matcher_cases": matcher_cases,
+        "eval_summary": eval_summary,
+        "detect_lines": lambda s, d: parsing.detect(part_lines(s, d)).select("line_id", "normalized_input", "artist", "title", "pattern", "confidence"),
         "lists_by_session": lists_by_session,
         "export_csv": _export("csv"),
         "export_m3u": _export("m3u"),
@@ -557,6 +670,14 @@ def oracle_sql() -> dict[str, str]:
         "list_algorithm_counts": f"SELECT playlist_id, match_algorithm, count(*) AS n FROM {_ITEMS_SQL} GROUP BY ALL",
         "uncertain_positions": _POSITIONS,
         "lists_by_session": _BY_SESSION,
+        "list_stats": _stats_sql(),
+        "list_summaries": _SUMMARIES,
+        "item_lookup": _LOOKUP,
+        "build_list": _build_sql(),
+        "download_names": _DOWNLOAD_NAMES,
+        "matcher_cases": _cases_sql(),
+        "eval_summary": _eval_summary_sql(),
+        "detect_lines": _detect_sql(),
         "export_csv": _export_sql("csv"),
         "export_m3u": _export_sql("m3u"),
         "session_touch": "SELECT CAST(user_id AS VARCHAR) AS session_id, min(ts) AS created_at, max(ts) AS last_seen_at, count(*) AS n_touches FROM events WHERE user_id IS NOT NULL GROUP BY user_id",

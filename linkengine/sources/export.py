@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.unicode import truthy
@@ -76,6 +76,21 @@ def export_lists(lists: DataFrame, items: DataFrame, fmt: str) -> DataFrame:
     return out.select("playlist_id", name.alias("filename"), F.lit(fmt).alias("format"), F.lit(MEDIA_TYPES[fmt]).alias("media_type"), content.alias("content"), "total_items")
 
 
+def download_names(items: DataFrame) -> DataFrame:
+    """(playlist_id, ordinal, item_id, filename) of the items that can be downloaded.
+
+    The ordinal counts them per list in order of position, with two digits at least.
+    """
+    rows = items.filter(downloadable(F.col("match_external_url")))
+    order = Window.partitionBy("playlist_id").orderBy("position", "item_id")
+    artist, title, raw = (F.col(c) for c in ("parsed_artist", "parsed_title", "raw_input"))
+    # A field counts as missing by its own text, before anything is stripped from it.
+    only = F.when(truthy(title), safe_filename(title)).otherwise(safe_filename(raw))
+    name = F.when(truthy(artist) & truthy(title), F.concat(safe_filename(artist), F.lit(" - "), safe_filename(title))).otherwise(only)
+    rows = rows.withColumns({"ordinal": F.row_number().over(order), "_name": name})
+    return rows.select("playlist_id", "ordinal", "item_id", F.format_string("%02d - %s", "ordinal", "_name").alias("filename"))
+
+
 def downloadable(url: Column) -> Column:
     """Whether a url belongs to the video site downloads are made from."""
     return F.coalesce(url.contains("youtube.com") | url.contains("youtu.be"), F.lit(False))

@@ -26,8 +26,24 @@ def split_text(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of a JSON-lines file; blank lines are skipped, a malformed one fails the read."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """Rows of JSON-lines files; blank lines are skipped. A line that is no JSON, or no JSON
+    object, fails the read with the number of the first such line.
+
+    An object that repeats a key counts as malformed.
+    """
+    read = spark.read.text(path).select("value", *(F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_block_start")))
+    lines = read.withColumn("id", F.monotonically_increasing_id())
+    object_ = strip(F.col("value")).startswith("{")
+    kind = F.when(F.try_parse_json("value").isNull(), "Invalid JSON").when(~object_, "Expected a JSON object")
+    wrong = lines.filter(strip(F.col("value")) != "").withColumn("why", kind).filter("why IS NOT NULL")
+    first = wrong.orderBy("file_path", "file_block_start", "id").select("file_path", "file_block_start", "id", "why").first()
+    if first:
+        # Ids rise within a file's split, so whole earlier splits are counted.
+        before = (F.col("file_block_start") < first["file_block_start"]) | ((F.col("file_block_start") == first["file_block_start"]) & (F.col("id") <= first["id"]))
+        number = lines.filter((F.col("file_path") == first["file_path"]) & before).count()
+        raise ValueError(f"{first['why']} on line {number} in {first['file_path']}")
+    rows = read.filter(strip(F.col("value")) != "").select(F.from_json("value", schema).alias("row"))
+    return rows.select("row.*")
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:

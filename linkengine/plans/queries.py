@@ -410,18 +410,16 @@ def list_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maps as ``key=n`` and positions as numbers, in order, so that SQL can return the same."""
     rows = stats.list_stats(order_items(spark, sf_dir))
     flat = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    averages = [F.round(c, 9).alias(c) for c in ("avg_match_score", "avg_parser_confidence")]
     positions = F.array_join(F.col("uncertain_positions").cast("array<string>"), ",").alias("uncertain_positions")
-    return rows.select("playlist_id", *_STAT_TOTALS, positions, *(flat(c).alias(c) for c in ("source_counts", "algorithm_counts")))
-
-
-_STAT_TOTALS = ["total_items", "uncertain_items", "confirmed_items"]
+    return rows.select("playlist_id", "total_items", "uncertain_items", "confirmed_items", *averages, positions, *(flat(c).alias(c) for c in ("source_counts", "algorithm_counts")))
 
 
 def _stats_sql() -> str:
     counts = lambda c: f"SELECT playlist_id, string_agg({c} || '=' || n, ',' ORDER BY {c}) AS t FROM (SELECT playlist_id, {c}, count(*) AS n FROM items WHERE {c} IS NOT NULL GROUP BY ALL) GROUP BY playlist_id"
     return f"""
 WITH items AS MATERIALIZED {_ITEMS_SQL}
-SELECT playlist_id, count(*) AS total_items, count(*) FILTER (WHERE is_uncertain) AS uncertain_items, count(*) FILTER (WHERE NOT is_uncertain) AS confirmed_items,
+SELECT playlist_id, count(*) AS total_items, count(*) FILTER (WHERE is_uncertain) AS uncertain_items, count(*) FILTER (WHERE NOT is_uncertain) AS confirmed_items, round(avg(match_score), 9) AS avg_match_score, round(avg(parser_confidence), 9) AS avg_parser_confidence,
        coalesce(string_agg(CASE WHEN is_uncertain THEN CAST(position AS VARCHAR) END, ',' ORDER BY position), '') AS uncertain_positions,
        any_value(s.t) AS source_counts, any_value(a.t) AS algorithm_counts
 FROM items LEFT JOIN ({counts("source")}) s USING (playlist_id) LEFT JOIN ({counts("match_algorithm")}) a USING (playlist_id) GROUP BY playlist_id"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, line_dedup, mixing, simhash, token_counts, topk, toxicity, url_reputation, warc_zip, winnowing
+from . import exponion, licenses, line_dedup, merkle, mixing, packing, simhash, token_counts, topk, toxicity, url_reputation, warc_zip, winnowing
 from .common import read_table
 
 
@@ -144,6 +144,26 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.select("doc_id", "domain", "lang", "source", "n_tokens", "copies")
 
 
+def op11_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, centroids = exponion.cluster(read_table(spark, sf_dir, "embeddings"))
+    return exponion.with_inertia(members, centroids).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(read_table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second document, by a checksum of its id, is claimed to have no line ends."""
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 0
+    claimed = [*fields[:-1], F.when(tampered, F.translate("text", "\n", "")).otherwise(F.col("text"))]
+    proven = merkle.manifest(read_table(spark, sf_dir, "documents"), fields, F.col("source"), F.col("doc_id"), claimed)
+    proof = F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256")
+    return proven.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", proof, "folded_root", "verified")
+
+
 OP5_SQL = """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages
@@ -283,6 +303,67 @@ FROM c WHERE epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END > 0
 """
 
 
+def _exponion_sql(k: int = 8, rounds: int = 10) -> str:
+    """Plain rounds: every vector against every centroid. A vector's least distance and, among equals, number are one integer."""
+    ctes = [f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), vec_id, x) - 1 AS j, x FROM v QUALIFY j < {k}
+)"""]
+    nearest = lambda c: f"SELECT rid, min(CAST(list_dot_product(v.x, v.x) - 2 * list_dot_product(v.x, c.x) + list_dot_product(c.x, c.x) AS BIGINT) * {k} + c.j) AS m FROM v, {c} c GROUP BY rid"
+    for r in range(rounds):
+        ctes.append(f"""
+a{r} AS MATERIALIZED ({nearest(f"c{r}")}), s{r} AS (
+  SELECT m % {k} AS j, p, CAST(sum(x[p]) AS BIGINT) AS s, count(*) AS n FROM a{r} JOIN v USING (rid), range(1, 65) t(p) GROUP BY ALL
+), c{r + 1} AS MATERIALIZED (
+  SELECT j, coalesce(u.x, c.x) AS x FROM c{r} c LEFT JOIN (SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY p) AS x FROM s{r} GROUP BY j) u USING (j)
+)""")
+    return ",".join(ctes) + f""",
+f AS ({nearest(f"c{rounds}")}), d AS (SELECT rid, m % {k} AS j, m // {k} AS distance FROM f)
+SELECT vec_id, CAST(j AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(list_transform(c.x, lambda y: CAST(y AS BIGINT)), ',')) AS centroid_sha256
+FROM d JOIN v USING (rid) JOIN c{rounds} c USING (j)"""
+
+
+def _tree_sql(name: str, leaves: str, paths: str, levels: int) -> str:
+    """CTEs of trees of three: ``<name>_l<k>`` the nodes (g, i, h, n) of each level, ``<name>_p<k>`` the paths (id, g, i, proof, folded) up to it."""
+    ctes = [f"""{name}_l0 AS MATERIALIZED ({leaves}), {name}_p0 AS MATERIALIZED ({paths})"""]
+    for k in range(levels):
+        ctes.append(f"""
+{name}_l{k + 1} AS MATERIALIZED (
+  SELECT *, count(*) OVER (PARTITION BY g) AS n FROM (
+    SELECT g, CASE WHEN n > 1 THEN i // 3 ELSE i END AS i, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY l.i)) ELSE any_value(h) END AS h
+    FROM {name}_l{k} l GROUP BY g, CASE WHEN n > 1 THEN l.i // 3 ELSE l.i END)
+), {name}_p{k + 1} AS MATERIALIZED (
+  SELECT p.id, g, any_value(p.i) // 3 AS i, any_value(p.proof) || coalesce(string_agg(l.h, '' ORDER BY l.i) FILTER (l.i <> p.i), '') AS proof,
+         sha256(string_agg(CASE WHEN l.i = p.i THEN p.folded ELSE l.h END, '' ORDER BY l.i)) AS folded
+  FROM {name}_p{k} p JOIN {name}_l{k} l USING (g) WHERE l.n > 1 AND l.i // 3 = p.i // 3 GROUP BY p.id, g
+  UNION ALL SELECT p.* FROM {name}_p{k} p JOIN {name}_l{k} l USING (g) WHERE l.n = 1
+)""")
+    return ",".join(ctes)
+
+
+def _merkle_sql(levels: int = 12) -> str:
+    """Trees of up to 3^levels leaves and groups."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+    head = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    crc = f"list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ord(d) AS BIGINT))), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: {step}))"
+    return f"""
+WITH t AS (SELECT *, CASE WHEN xor({crc}, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS claimed FROM documents),
+d AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS g, sha256({head} || {field("text")}) AS h, sha256({head} || {field("claimed")}) AS claimed FROM t
+), o AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d
+), {_tree_sql("a", "SELECT g, i, h, n FROM o", "SELECT id, g, i, '' AS proof, claimed AS folded FROM o", levels)},
+{_tree_sql("b", f"SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, h, count(*) OVER () AS n FROM a_l{levels}",
+           f"SELECT id, '' AS g, r.i, proof, folded FROM a_p{levels} JOIN (SELECT g, row_number() OVER (ORDER BY g) - 1 AS i FROM a_l{levels}) r USING (g)", levels)}
+SELECT doc_id, o.h AS leaf, s.h AS subroot, r.h AS root, sha256(p.proof) AS proof_sha256, p.folded AS folded_root, p.folded = r.h AS verified
+FROM o JOIN a_l{levels} s USING (g) JOIN b_p{levels} p USING (id), b_l{levels} r"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -295,8 +376,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_line_dedup": op9_line_dedup,
         "op10_mixing": op10_mixing,
+        "op11_exponion": op11_exponion,
+        "op12_packing": op12_packing,
+        "op13_merkle": op13_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_reputation": _op2_sql(), "op5_warc_zip": OP5_SQL, "op6_winnowing": OP6_SQL, "op7_topk": OP7_SQL, "op10_mixing": _mixing_sql()}
+    return {
+        "op2_url_reputation": _op2_sql(),
+        "op5_warc_zip": OP5_SQL,
+        "op6_winnowing": OP6_SQL,
+        "op7_topk": OP7_SQL,
+        "op10_mixing": _mixing_sql(),
+        "op11_exponion": _exponion_sql(),
+        "op13_merkle": _merkle_sql(),
+    }

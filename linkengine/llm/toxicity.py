@@ -230,7 +230,8 @@ def score_documents(documents: DataFrame, model: ToxicityModel, text: str = "tex
     from pyspark.sql import types as T
 
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    # As plain values: a broadcast is unpickled by reference, and executors need not have the package.
+    shared = spark.sparkContext.broadcast(dict(vars(model)))
     names = [c for c in documents.columns if c not in ("toxicity", "toxic_passages")]
     passages = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType()), T.StructField("e_value", T.DoubleType())]))
     schema = T.StructType([*(documents.schema[c] for c in names), T.StructField("toxicity", T.DoubleType()), T.StructField("toxic_passages", passages)])
@@ -238,7 +239,7 @@ def score_documents(documents: DataFrame, model: ToxicityModel, text: str = "tex
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = ToxicityModel(**shared.value)
         for batch in batches:
             facts, spans = [], []
             for value in batch.column(at).to_pylist():

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rounding import round_half_even, with_round4
+from .rounding import round4, round_half_even, with_round4
 from .settle import settle
 
 #: The prefix bonus of Jaro-Winkler and the weights of the hybrid score.
@@ -85,6 +85,40 @@ def _jaro_udf():
     return of
 
 
+#: Stand-ins in the fold of ``jaro``: a consumed character, and U+0000 of a text, which is compared as this non-character.
+_CONSUMED, _NUL = "\u0000", "\U0010ffff"
+
+
+def jaro(a: Column, b: Column) -> Column:
+    """Jaro similarity as an expression; null if either text is.
+
+    The fold runs over the characters of ``a``. Its state is where it is, what has matched so far and ``b``, with every character
+    that was taken overwritten, so the first free equal character of the window is a plain search from the window's start.
+    """
+    left, right = (F.translate(s, _CONSUMED, _NUL) for s in (a, b))
+    la, lb = F.length(a), F.length(b)
+    reach = F.greatest(F.floor(F.greatest(la, lb) / 2).cast("int") - 1, F.lit(0))
+    start = F.struct(F.lit(0).alias("i"), F.lit("").alias("matched"), right.alias("free"))
+
+    def folded(x: Column, y: Column, window: Column) -> Column:
+        def step(acc: Column, c: Column) -> Column:
+            at = F.call_function("locate", c, acc["free"], F.greatest(acc["i"] + 1 - window, F.lit(1)))
+            hit = F.struct((acc["i"] + 1).alias("i"), F.concat(acc["matched"], c).alias("matched"), F.overlay(acc["free"], F.lit(_CONSUMED), at, F.lit(1)).alias("free"))
+            return F.when(at.between(F.lit(1), acc["i"] + 1 + window), hit).otherwise(F.struct((acc["i"] + 1).alias("i"), acc["matched"].alias("matched"), acc["free"].alias("free")))
+
+        def share(found: Column) -> Column:
+            # The characters of b that were taken, in their order.
+            taken = F.array_join(F.zip_with(F.split(found["free"], ""), F.split(y, ""), lambda f, c: F.when(f == _CONSUMED, c).otherwise("")), "")
+            m = F.length(found["matched"])
+            moved = F.size(F.filter(F.zip_with(F.split(found["matched"], ""), F.split(taken, ""), lambda u, v: u != v), lambda d: d)) / F.lit(2.0)
+            return F.when(m == 0, 0.0).otherwise((m / F.length(x) + m / F.length(y) + (m - moved) / m) / 3)
+
+        return F.get(F.transform(F.array(F.aggregate(F.split(x, ""), start, step)), share), F.lit(0))
+
+    empty = (la == 0) | (lb == 0)
+    return F.when(a.isNull() | b.isNull(), F.lit(None)).when(a == b, 1.0).when(empty, 0.0).otherwise(folded(left, right, reach))
+
+
 def common_prefix(a: Column, b: Column, most: int = MAX_PREFIX) -> Column:
     out = F.lit(0)
     for n in range(1, most + 1):
@@ -99,9 +133,16 @@ def levenshtein(df: DataFrame) -> DataFrame:
     return with_round4(df, "score", F.when(longest == 0, 1.0).otherwise(F.lit(1.0) - F.col("distance") / longest))
 
 
-def jaro_winkler(df: DataFrame, prefix_scale: float = PREFIX_SCALE, max_prefix: int = MAX_PREFIX) -> DataFrame:
-    """The bonus applies at any similarity; the distance is of the unrounded score."""
-    df = settle(df, {"_jaro": _jaro_udf()(F.col("a"), F.col("b"))})
+def jaro_winkler_score(a: Column, b: Column) -> Column:
+    """The rounded Jaro-Winkler score as an expression, for filters and join conditions; no Python worker."""
+    boosted = lambda j: j + common_prefix(a, b) * F.lit(PREFIX_SCALE) * (F.lit(1.0) - j)
+    return round4(F.get(F.transform(F.array(jaro(a, b)), boosted), F.lit(0)))
+
+
+def jaro_winkler(df: DataFrame, prefix_scale: float = PREFIX_SCALE, max_prefix: int = MAX_PREFIX, native: bool = False) -> DataFrame:
+    """The bonus applies at any similarity; the distance is of the unrounded score. ``native`` stays in the JVM, which is
+    for few pairs or sessions without Python workers: whole Arrow batches are several times faster."""
+    df = settle(df, {"_jaro": jaro(F.col("a"), F.col("b")) if native else _jaro_udf()(F.col("a"), F.col("b"))})
     prefix = common_prefix(F.col("a"), F.col("b"), max_prefix)
     df = df.withColumn("_jw", F.col("_jaro") + prefix * F.lit(prefix_scale) * (F.lit(1.0) - F.col("_jaro")))
     df = df.withColumn("distance", round_half_even((F.lit(1.0) - F.col("_jw")) * 10000))
@@ -120,5 +161,18 @@ def hybrid(df: DataFrame, levenshtein_weight: float = LEVENSHTEIN_WEIGHT, jaro_w
     return df.withColumn("distance", round_half_even((F.lit(1.0) - F.col("score")) * 10000))
 
 
+def upper_bound(shared: Column, la: Column, lb: Column, prefix: Column, levenshtein_weight: float, jaro_winkler_weight: float) -> Column:
+    """No pair scores more whose texts have these lengths, ``shared`` characters in common (with repeats) and a common
+    prefix of at most ``prefix``: an edit script keeps at most the shared characters, and Jaro matches no others."""
+    lev = shared / F.greatest(la, lb)
+    jaro_most = (shared / la + shared / lb + 1.0) / 3.0
+    jw = jaro_most + prefix * F.lit(PREFIX_SCALE) * (F.lit(1.0) - jaro_most)
+    mixed = F.lit(levenshtein_weight) * lev + F.lit(jaro_winkler_weight) * jw
+    return F.when((la == 0) & (lb == 0), 1.0).when(shared == 0, 0.0).otherwise(mixed)
+
+
 #: Scorers by name; add an entry to plug in another.
 SCORERS: dict[str, Callable[[DataFrame], DataFrame]] = {"hybrid": hybrid, "jaro_winkler": jaro_winkler, "levenshtein": levenshtein}
+#: The weights of Levenshtein and Jaro-Winkler in a scorer, from which ``upper_bound`` follows. A scorer without an entry
+#: is bounded by 1 only, so every pair is scored.
+WEIGHTS: dict[str, tuple[float, float]] = {"hybrid": (LEVENSHTEIN_WEIGHT, JARO_WINKLER_WEIGHT), "jaro_winkler": (0.0, 1.0), "levenshtein": (1.0, 0.0)}

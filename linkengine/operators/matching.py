@@ -1,11 +1,10 @@
 """Candidate search, scoring, ranking and matching.
 
 Catalogs are (source, DataFrame) pairs in provider order; a catalog has track_id,
-artist, title, external_url and cand_ord (its own order). Every query meets every
-candidate, since a rank-k answer may have any score; what keeps this affordable is that
-scores and ranks depend on normalised texts only, so distinct texts are scored and cut to
-their k best once and only then meet the lines, and that the catalog is broadcast where its
-counted rows and bytes allow.
+artist, title, external_url and cand_ord (its own order). Scores and ranks depend on normalised texts only, so
+distinct texts are scored and cut to their k best once and only then meet the lines. A catalog whose counted rows and bytes
+allow it is broadcast and every query scores every text of it; beyond that, ``topk_join`` finds the k best by equality
+joins and upper bounds.
 """
 
 from __future__ import annotations
@@ -18,6 +17,7 @@ from ..functions.staging import fits_broadcast, materialize
 from ..functions.similarity import SCORERS
 from ..functions.text import display_text, match_normalize
 from ..functions.unicode import strip, truthy
+from .topk_join import top_texts
 
 BROADCAST_ROWS = 200_000
 CANDIDATE_COLUMNS = ["source", "track_id", "artist", "title", "external_url", "provider_ord", "cand_ord"]
@@ -43,13 +43,13 @@ def union_catalogs(catalogs: list[tuple[str, DataFrame]]) -> DataFrame:
     return settle(rows, {"normalized_candidate": match_normalize(F.col("display_text"))})
 
 
-def score_texts(queries: DataFrame, candidates: DataFrame, scorer: str, small: bool) -> DataFrame:
-    """(normalized_query, normalized_candidate, score, distance) of all distinct pairs."""
+def score_texts(queries: DataFrame, candidates: DataFrame, scorer: str) -> DataFrame:
+    """(normalized_query, normalized_candidate, score, distance) of all distinct pairs; the candidates are broadcast."""
     if scorer not in SCORERS:
         raise ValueError(f"unknown scorer {scorer}; known: {', '.join(SCORERS)}")
     a = queries.select(F.col("normalized_query").alias("a")).distinct()
     b = candidates.select(F.col("normalized_candidate").alias("b")).distinct()
-    pairs = a.repartition(F.col("a")).crossJoin(F.broadcast(b) if small else b)
+    pairs = a.repartition(F.col("a")).crossJoin(F.broadcast(b))
     return SCORERS[scorer](pairs).withColumnsRenamed({"a": "normalized_query", "b": "normalized_candidate"})
 
 
@@ -65,10 +65,15 @@ def rank(queries: DataFrame, candidates: DataFrame, scorer: str = "hybrid", k: i
     """Scored candidates of (line_id, query) with ``rank`` from 1: score, then distance,
     then display text from the last, then the candidates' order."""
     queries = materialize(with_normalized_query(queries), "queries")
-    candidates = materialize(candidates, "candidates")
-    small = is_small(candidates)
-    scored = score_texts(queries, candidates, scorer, small)
-    found = scored.join(F.broadcast(candidates) if small else candidates, "normalized_candidate")
+    candidates = materialize(candidates.withColumn("grp", F.concat_ws("\n", *(by or []))), "candidates")
+    if is_small(candidates):
+        found = score_texts(queries, candidates, scorer).join(F.broadcast(candidates), "normalized_candidate")
+    else:
+        offered = candidates.select("grp", F.col("normalized_candidate").alias("b"))
+        scored = top_texts(queries.select(F.col("normalized_query").alias("a")), offered, scorer, k)
+        scored = scored.withColumnsRenamed({"a": "normalized_query", "b": "normalized_candidate"})
+        found = scored.join(candidates, ["grp", "normalized_candidate"])
+    found = found.drop("grp")
     # No column of a line takes part in the order, so equal queries share one ranking.
     order = Window.partitionBy("normalized_query", *(by or [])).orderBy(*_rank_order(), "provider_ord", "cand_ord")
     found = found.withColumns({"rank": F.row_number().over(order), "algorithm": F.lit(scorer)})

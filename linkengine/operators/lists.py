@@ -108,9 +108,17 @@ def with_items(lists: DataFrame, items: DataFrame) -> DataFrame:
     return lists.join(rows, "playlist_id", "left")
 
 
+def last_changes(changes: DataFrame, keys: list[str], fields: list[str], at: str = "changed_at") -> DataFrame:
+    """One row per key: the one with the greatest ``at``, if there is such a column; among equals the greatest by ``fields``.
+    Rows without a whole key are no changes."""
+    order = [F.col(at)] if at in changes.columns else []
+    rows = changes.dropna(subset=keys).groupBy(*keys).agg(F.max(F.struct(*(o.alias(f"_o{i}") for i, o in enumerate(order)), *fields)).alias("_last"))
+    return rows.select(*keys, *(F.col("_last")[c].alias(c) for c in fields))
+
+
 def rename_lists(lists: DataFrame, names: DataFrame) -> DataFrame:
-    """Apply (playlist_id, name); a null name is a name."""
-    changes = names.select("playlist_id", F.col("name").alias("_name"), F.lit(True).alias("_hit"))
+    """Apply (playlist_id, name); a null name is a name. Of several names of a list the last counts (``last_changes``)."""
+    changes = last_changes(names, ["playlist_id"], ["name"]).select("playlist_id", F.col("name").alias("_name"), F.lit(True).alias("_hit"))
     name = F.when(F.col("_hit"), F.col("_name")).otherwise(F.col("name"))
     return lists.join(changes, "playlist_id", "left").withColumn("name", name).select(*lists.columns)
 
@@ -131,10 +139,12 @@ def apply_reviews(items: DataFrame, reviews: DataFrame) -> DataFrame:
     match_score, match_algorithm, source, is_uncertain).
 
     What a review leaves null takes the default; an empty track id falls back to the
-    current one, then to ``manual:<item_id>``. The metadata gains ``manual_review``.
+    current one, then to ``manual:<item_id>``. The metadata gains ``manual_review`` with all its members, null ones too;
+    metadata that are no JSON object are kept as its member ``replaced_metadata``. Of several reviews of an item the last counts (``last_changes``).
     """
     fields = ["match_track_id", "match_external_url", "match_score", "match_algorithm", "source", "is_uncertain"]
-    changes = reviews.select("item_id", "playlist_id", *(F.col(c).alias(f"_{c}") for c in fields), F.lit(True).alias("_hit"))
+    changes = last_changes(reviews, ["item_id", "playlist_id"], fields)
+    changes = changes.select("item_id", "playlist_id", *(F.col(c).alias(f"_{c}") for c in fields), F.lit(True).alias("_hit"))
     track = F.coalesce(F.nullif(F.trim("_match_track_id"), F.lit("")), F.col("match_track_id"), F.concat(F.lit("manual:"), F.col("item_id")))
     new = {
         "match_track_id": track,
@@ -149,8 +159,11 @@ def apply_reviews(items: DataFrame, reviews: DataFrame) -> DataFrame:
     if "metadata_json" in items.columns:
         # Members keep their types as variants; only the top level is taken apart.
         members = "map<string,variant>"
-        old = F.coalesce(F.from_json("metadata_json", members), F.from_json(F.lit("{}"), members))
-        review = F.create_map(F.lit("manual_review"), F.parse_json(F.to_json(F.struct(*(F.col(c) for c in fields)))))
+        valid = F.col("metadata_json").isNull() | F.try_parse_json("metadata_json").isNotNull() & F.col("metadata_json").rlike(r"^\s*\{")
+        old = F.coalesce(F.when(valid, F.from_json("metadata_json", members)), F.from_json(F.lit("{}"), members))
+        told = F.struct(*(F.col(c) for c in fields), F.when(~valid, F.col("metadata_json")).alias("replaced_metadata"))
+        shown = F.when(valid, F.to_json(told.dropFields("replaced_metadata"), {"ignoreNullFields": "false"})).otherwise(F.to_json(told, {"ignoreNullFields": "false"}))
+        review = F.create_map(F.lit("manual_review"), F.parse_json(shown))
         merged = F.to_json(F.map_concat(F.map_filter(old, lambda k, _: k != "manual_review"), review))
         rows = rows.withColumn("metadata_json", F.when(F.col("_hit"), merged).otherwise(F.col("metadata_json")))
     return rows.select(*items.columns)

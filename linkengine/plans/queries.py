@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import language, patterns, text, translit
+from ..functions import language, patterns, similarity, text, translit
 from ..functions.similarity import SCORERS
-from ..operators import evaluation, lists, matching, parsing, stats, variants
+from ..operators import evaluation, lists, matching, parsing, stats, topk_join, variants
 from ..sources import export, lines, rest
 from . import link
 from . import oracle as Q
@@ -181,6 +181,34 @@ r AS (
 )"""
 
 
+def jaro_winkler_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts whose line is similar to their own name, by an expression in a filter."""
+    score = similarity.jaro_winkler_score(text.match_normalize(F.col("raw_input")), text.match_normalize(F.col("p_name")))
+    return part_lines(spark, sf_dir).withColumn("score", score).filter(F.col("score") >= 0.7).select("line_id", "score")
+
+
+def _jaro_filter_sql() -> str:
+    pairs = f"SELECT p_partkey AS line_id, {Q.match_normalize(f'({_LINE})')} AS a, {Q.match_normalize('p_name')} AS b FROM part"
+    scored = Q.scored(f"SELECT DISTINCT a, b FROM ({pairs})", "jaro_winkler")
+    return f"SELECT line_id, score FROM ({pairs}) JOIN ({scored}) USING (a, b) WHERE score >= 0.7"
+
+
+def nearest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best match of every brand and name without its last letter, by the indexed join, and how many share its score."""
+    full = F.lower(F.concat_ws(" ", "p_brand", "p_name"))
+    names = _t(spark, sf_dir, "part").select(full.alias("b"), F.expr("substring(lower(concat_ws(' ', p_brand, p_name)), 1, length(concat_ws(' ', p_brand, p_name)) - 1)").alias("a"))
+    found = topk_join.top_texts(names, names.select(F.lit("").alias("grp"), "b"), "levenshtein", 1)
+    best = found.groupBy("a").agg(F.max("score").alias("score"))
+    return found.join(best, ["a", "score"]).groupBy("a", "score").agg(F.min("b").alias("b"), F.count("*").alias("n_best"))
+
+
+_NEAREST = f"""
+WITH t AS (SELECT DISTINCT lower(p_brand || ' ' || p_name) AS b FROM part),
+q AS (SELECT DISTINCT substring(b, 1, length(b) - 1) AS a FROM t),
+s AS ({Q.scored("SELECT a, b FROM q, t", "levenshtein")})
+SELECT a, score, min(b) AS b, count(*) AS n_best FROM (SELECT *, max(score) OVER (PARTITION BY a) AS top FROM s) WHERE score = top GROUP BY a, score"""
+
+
 def search_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = matching.search(_part_queries(spark, sf_dir), catalogs(spark, sf_dir), 2)
     return found.select("line_id", "source", "rank", "track_id", "score", "distance")
@@ -522,10 +550,11 @@ def session_touch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rename_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lists of finished orders take the order's status as their name."""
+    """Lists of finished orders take the order's status as their name; earlier and repeated changes do not count."""
     done = _t(spark, sf_dir, "orders").filter("o_orderstatus <> 'O'")
-    names = done.select(F.col("o_orderkey").alias("playlist_id"), F.when(F.col("o_orderstatus") == "F", F.lit("finished")).alias("name"))
-    return lists.rename_lists(order_lists(spark, sf_dir), names).select("playlist_id", "session_id", "name")
+    names = done.select(F.col("o_orderkey").alias("playlist_id"), F.when(F.col("o_orderstatus") == "F", F.lit("finished")).alias("name"), F.lit(2).alias("changed_at"))
+    earlier = done.select(F.col("o_orderkey").alias("playlist_id"), F.lit("zz earlier").alias("name"), F.lit(1).alias("changed_at"))
+    return lists.rename_lists(order_lists(spark, sf_dir), earlier.union(names).union(names)).select("playlist_id", "session_id", "name")
 
 
 def delete_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -543,22 +572,23 @@ def delete_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Uncertain items are reviewed by hand, some without a track id or score."""
+    """Uncertain items are reviewed by hand, some without a track id or score; earlier and repeated reviews do not count."""
     items = order_items(spark, sf_dir)
     reviews = items.filter("is_uncertain").select(
         "item_id", "playlist_id", F.when(F.col("position") % 2 == 0, F.concat(F.lit("m"), F.col("item_id"))).otherwise("").alias("match_track_id"),
         F.lit(None).cast("string").alias("match_external_url"), F.when(F.col("position") % 3 == 0, 0.5).alias("match_score"),
-        F.lit(None).cast("string").alias("match_algorithm"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("boolean").alias("is_uncertain"),
+        F.lit(None).cast("string").alias("match_algorithm"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("boolean").alias("is_uncertain"), F.lit(2).alias("changed_at"),
     )
-    done = lists.apply_reviews(items, reviews)
+    earlier = reviews.withColumns({"changed_at": F.lit(1), "match_track_id": F.lit("zz earlier"), "match_score": F.lit(0.99)})
+    done = lists.apply_reviews(items, earlier.unionByName(reviews).unionByName(reviews))
     score = F.get_json_object("metadata_json", "$.manual_review.match_score").cast("double")
-    return done.select("item_id", "match_track_id", "match_external_url", "match_score", "match_algorithm", "source", "is_uncertain", F.get_json_object("metadata_json", "$.parsed_track.title").alias("meta_title"), score.alias("meta_score"))
+    return done.select("item_id", "match_track_id", "match_external_url", "match_score", "match_algorithm", "source", "is_uncertain", F.get_json_object("metadata_json", "$.parsed_track.title").alias("meta_title"), score.alias("meta_score"), F.get_json_object("metadata_json", "$").rlike('"match_external_url":null').alias("meta_keeps_nulls"))
 
 
 _REVIEWED = f"""
 SELECT item_id, CASE WHEN u AND position % 2 = 0 THEN 'm' || item_id ELSE match_track_id END AS match_track_id, CASE WHEN NOT u THEN match_external_url END AS match_external_url,
        CASE WHEN NOT u THEN match_score WHEN position % 3 = 0 THEN 0.5 ELSE 0.99 END AS match_score, CASE WHEN u THEN 'manual' ELSE match_algorithm END AS match_algorithm,
-       CASE WHEN u THEN 'manual' ELSE source END AS source, false AS is_uncertain, 'x' AS meta_title, CAST(CASE WHEN u THEN CASE WHEN position % 3 = 0 THEN 0.5 ELSE 0.99 END END AS DOUBLE) AS meta_score
+       CASE WHEN u THEN 'manual' ELSE source END AS source, false AS is_uncertain, 'x' AS meta_title, CAST(CASE WHEN u THEN CASE WHEN position % 3 = 0 THEN 0.5 ELSE 0.99 END END AS DOUBLE) AS meta_score, u AS meta_keeps_nulls
 FROM (SELECT *, is_uncertain AS u FROM {_ITEMS_SQL})"""
 
 
@@ -601,6 +631,8 @@ def queries() -> dict[str, Query]:
         "levenshtein_topk": _topk("levenshtein"),
         "jaro_winkler_topk": _topk("jaro_winkler"),
         "hybrid_topk": _topk("hybrid"),
+        "jaro_winkler_filter": jaro_winkler_filter,
+        "nearest_names": nearest_names,
         "search_sources": search_sources,
         "search_reports": search_reports,
         "query_variants": query_variants,
@@ -654,6 +686,8 @@ def oracle_sql() -> dict[str, str]:
         "levenshtein_topk": ranked("levenshtein"),
         "jaro_winkler_topk": ranked("jaro_winkler"),
         "hybrid_topk": ranked("hybrid"),
+        "jaro_winkler_filter": _jaro_filter_sql(),
+        "nearest_names": _NEAREST,
         "search_sources": _ranked_sql("hybrid", "line_id, source", 2) + " SELECT line_id, source, rank, track_id, score, distance FROM r",
         "search_reports": _REPORTS,
         "query_variants": _variants_sql(both),

@@ -113,7 +113,7 @@ def test_review_keeps_the_types_of_metadata(spark):
     items = spark.createDataFrame([(f"i{k}", "p", None, None, None, None, None, True, m) for k, m in enumerate(meta)], f"item_id string, playlist_id string, {fields}, metadata_json string")
     reviews = spark.createDataFrame([(f"i{k}", "p", "m", None, 0.5, None, None, None) for k in range(4)], f"item_id string, playlist_id string, {fields}")
     got = {r["item_id"]: json.loads(r["metadata_json"]) for r in lists.apply_reviews(items, reviews).collect()}
-    review = {"match_track_id": "m", "match_score": 0.5, "match_algorithm": "manual", "source": "manual", "is_uncertain": False}
+    review = {"match_track_id": "m", "match_external_url": None, "match_score": 0.5, "match_algorithm": "manual", "source": "manual", "is_uncertain": False}
     kept = {k: v for k, v in json.loads(meta[0]).items() if k != "manual_review"}
     assert got["i0"] == kept | {"manual_review": review}
     assert got["i1"] == got["i2"] == got["i3"] == {"manual_review": review}
@@ -166,3 +166,31 @@ def test_streams(spark, catalogs, tmp_path):
     query = link_stream(stream, catalogs, lambda items, i: seen.extend(items.select("line_id", "best_score").collect())).trigger(availableNow=True).start()
     query.awaitTermination(180)
     assert [tuple(r) for r in seen] == [(0, 1.0)]
+
+
+def test_repeated_changes_count_once(spark, tables):
+    lists_, items = tables
+    names = spark.createDataFrame([("p1", "old", 1), ("p1", None, 2), ("p1", None, 2), (None, "x", 9)], "playlist_id string, name string, changed_at int")
+    renamed = lists.rename_lists(lists_, names)
+    assert renamed.count() == lists_.count() and renamed.filter("playlist_id = 'p1'").first()["name"] is None
+    # Without an order the greatest row counts.
+    assert lists.rename_lists(lists_, names.drop("changed_at")).filter("playlist_id = 'p1'").collect()[0]["name"] == "old"
+    fields = "item_id string, playlist_id string, match_track_id string, match_external_url string, match_score double, match_algorithm string, source string, is_uncertain boolean, changed_at int"
+    reviews = spark.createDataFrame([("i1", "p1", "late", None, None, None, None, None, 5), ("i1", "p1", "zz", "u", 0.9, None, None, True, 4), ("i1", "p1", "late", None, None, None, None, None, 5)], fields)
+    done = lists.apply_reviews(items, reviews)
+    row = done.filter("item_id = 'i1'").collect()
+    assert done.count() == items.count() and len(row) == 1
+    assert (row[0]["match_track_id"], row[0]["match_external_url"], row[0]["match_score"], row[0]["is_uncertain"]) == ("late", None, 0.99, False)
+
+
+def test_review_keeps_null_members_and_odd_metadata(spark, tables):
+    import json
+
+    _, items = tables
+    fields = "item_id string, playlist_id string, match_track_id string, match_external_url string, match_score double, match_algorithm string, source string, is_uncertain boolean"
+    review = spark.createDataFrame([("i1", "p1", "m", None, None, None, None, None)], fields)
+    for before, kept, replaced in [('{"a": 1}', {"a": 1}, None), ("no json", {}, "no json"), ("[1, 2]", {}, "[1, 2]"), (None, {}, None)]:
+        rows = items.withColumn("metadata_json", F.lit(before).cast("string"))
+        meta = json.loads(lists.apply_reviews(rows, review).filter("item_id = 'i1'").first()["metadata_json"])
+        told = meta.pop("manual_review")
+        assert meta == kept and told["match_external_url"] is None and "match_external_url" in told and told.get("replaced_metadata") == replaced

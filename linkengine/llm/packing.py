@@ -9,7 +9,7 @@ gaps, so a reader takes batches of one length from consecutive numbers.
 Tokens are those of a byte-level BPE file of the ``tokenizers`` library, then ``end_id``. Its
 pre-tokenizer never lets a token span the places where ``units`` cuts: before a space that precedes
 other characters, and around other white space as its last two alternatives take it. So a text is
-the sum of its units, each encoded by the library once per worker and kept in a memo of
+the sum of its units, each encoded by the library (or, if its characters are plain, its pre-tokens by the library's model) once per worker and kept in a memo of
 bounded bytes. A text is cut at special strings first, as the library does, and taken a bounded chunk at a time.
 Encoding whole texts gives the same tokens at several times the work. Files for which this is not so are refused.
 
@@ -26,8 +26,10 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import lookup_join, materialize
-from .token_counts import tokenizer_path
+from .token_counts import _byte_characters, tokenizer_path
 
 CHUNK_CHARS = 1 << 18
 #: Characters of the units kept per worker, with 64 for each; the memo starts anew beyond it.
@@ -45,6 +47,10 @@ MEMO_CHARS = 64 << 20
 #: Bytes of tokens handed over at once.
 OUT_BYTES = 4 << 20
 _UNIT = re.compile(r" ?\S+|\s+(?!\S)|\s")
+#: A unit of printable ASCII characters without apostrophes and of Latin letters, and its pre-tokens.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+_PLAIN = re.compile(f" ?[!-&(-~{_LETTERS}]+\\Z")
+_PRE_TOKEN = re.compile(f" ?[{_LETTERS}]+| ?[0-9]+| ?[^ 0-9{_LETTERS}]+")
 #: White space to Python only.
 _ODD = re.compile(r"[\x1c-\x1f]")
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -54,7 +60,7 @@ def check_definition(definition: dict) -> None:
     """Refuse files whose tokens could span the cuts of ``units``."""
     pre = definition["pre_tokenizer"] or {}
     plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-    added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in definition["added_tokens"])
+    added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or re.search(r"\s", t["content"])) for t in definition["added_tokens"])
     model = definition["model"]
     if not (plain and added and model["type"] == "BPE" and not model.get("dropout") and not definition.get("normalizer") and not definition.get("post_processor")):
         raise ValueError("only byte-level BPE files without normaliser, prefix space and post-processor are taken")
@@ -107,17 +113,53 @@ class Encoder:
         self._library = Tokenizer.from_file(path)
         special = sorted((t["content"] for t in definition["added_tokens"]), key=len, reverse=True)
         self._special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+        (self._feed,) = self._library.encode("\n", add_special_tokens=False).ids
+        self._line = re.compile(r" ?\S(?:[^\n]*\S)?\Z")
+        self._stand_ins = {b: c for c, b in _byte_characters().items()}
+        self._bytes_of = [i.to_bytes(4, "little") for i in range(self._library.get_vocab_size())]
+        self._special_ids = {x: np.array(self._library.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in special}
         self._memo: dict[str, bytes] = {}
         self._chars = 0
 
+    def _piece(self, piece: str) -> bytes:
+        """What the library's model makes of one pre-token."""
+        found = self._memo.get(piece)
+        if found is None:
+            stand_ins = piece.replace(" ", "\u0120") if piece.isascii() else piece.encode().decode("latin-1").translate(self._stand_ins)
+            found = self._memo[piece] = b"".join([self._bytes_of[t.id] for t in self._library.model.tokenize(stand_ins)])
+            self._chars += len(piece) + 64
+        return found
+
+    def _new(self, parts: list[str]) -> dict[str, bytes]:
+        """Units not met before. Plain ones are split into their pre-tokens. Of the others, those without white
+        space at their ends or line feeds inside are encoded as the lines of one text: a line feed between other characters is a
+        token of its own."""
+        out, lines, rest, split, piece = {}, [], [], _PRE_TOKEN.findall, self._piece
+        for p in parts:
+            if _PLAIN.match(p):
+                out[p] = b"".join([piece(x) for x in split(p)])
+            else:
+                (lines if self._line.match(p) else rest).append(p)
+        if rest:
+            out |= zip(rest, (np.array(e.ids, dtype="<u4").tobytes() for e in self._library.encode_batch(rest, add_special_tokens=False)))
+        if lines:
+            (found,) = self._library.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)
+            ids = np.array(found.ids, dtype="<u4")
+            ends = [*np.nonzero(ids == self._feed)[0].tolist(), len(ids)]
+            data, at = ids.tobytes(), 0
+            for p, end in zip(lines, ends, strict=True):
+                out[p] = data[4 * at : 4 * end]
+                at = end + 1
+        return out
+
     def _encode(self, parts: list[str]) -> bytes:
         memo = self._memo
         out = list(map(memo.get, parts))
         if None in out:
-            new = list({p for p, x in zip(parts, out) if x is None})
-            made = dict(zip(new, (np.array(e.ids, dtype="<u4").tobytes() for e in self._library.encode_batch(new, add_special_tokens=False))))
+            new = list(dict.fromkeys(p for p, x in zip(parts, out) if x is None))
+            made = self._new(new)
             out = [made[p] if x is None else x for p, x in zip(parts, out)]
-            self._chars += sum(len(p) + 64 for p in new)
+            self._chars += sum(map(len, new)) + 64 * len(new)
             if self._chars > MEMO_CHARS:
                 memo.clear()
                 self._chars = 0
@@ -128,14 +170,23 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         out = []
         for i, part in enumerate(self._special.split(text) if self._special else [text]):
-            if i % 2:  # a special string, an id of its own
-                out.append(self._encode([part]))
+            if i % 2:
+                out.append(self._special_ids[part])
                 continue
             for chunk in chunks(part):
                 out.append(self._encode(units(chunk)))
         return b"".join(out)
 
 
+def _worker_encoder(path: str) -> Encoder:
+    """One encoder per worker process; functions shipped by value have globals of their own in every task, so it
+    is kept in a module of the worker."""
+    cache = sys.modules.setdefault("linkengine_packing_cache", ModuleType("linkengine_packing_cache"))
+    if path not in cache.__dict__:
+        setattr(cache, path, Encoder(path))
+    return getattr(cache, path)
+
+
 def decomposition(n: int, longest: int) -> Iterator[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` tokens; ``longest`` is a power of two."""
     at, size = 0, longest
@@ -153,7 +204,7 @@ def _pieces(documents: DataFrame, tokenizer: str, longest: int, end_id: int, doc
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task, taken = Encoder(path), TaskContext.get().partitionId(), {}
+        encoder, task, taken = _worker_encoder(path), TaskContext.get().partitionId(), {}
         for batch in batches:
             out: list[tuple] = []
             held, ids = 0, batch.column("doc_id")

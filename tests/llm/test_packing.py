@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 SCHEMA = "doc_id long, text string, length string, ids string, place string, task string"
 LIBRARY = Tokenizer.from_file(packing.tokenizer_path("byte_bpe_50k.json"))
-ALPHABET = ["a", "word", "The", "'s", "'", "'ll", "12", "9", "é", "中文", "。", "한국", "🙂", " ", "  ", "   ", "\n", "\n\n", " \n ", "\t", "\x1c", "\x85", " ", " ", "́", "<|endoftext|>", "<|", "|>", "...", "--", "\x00", "ab12", "½"]
+ALPHABET = ["a", "word", "The", "'s", "'", "'ll", "12", "9", "é", "ÿſ", "×", "÷", "ß.", "µ", "ª", "中文", "。", "한국", "🙂", " ", "  ", "   ", "\n", "\n\n", " \n ", "\t", "\x1c", "\x85", " ", " ", "́", "<|endoftext|>", "<|", "|>", "...", "--", "\x00", "ab12", "½"]
 
 
 def whole(text):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import language, patterns, similarity, text, translit
 from ..functions.similarity import SCORERS
+from ..functions.staging import shared_dir
 from ..operators import evaluation, lists, matching, parsing, stats, topk_join, variants
-from ..sources import export, lines, rest
+from ..sources import export, lines, rest, search_source
+from ..sources import list_files as list_files_sink
 from . import link
 from . import oracle as Q
 
@@ -610,6 +613,40 @@ def source_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rest.videos_from_json(payloads).select("p_partkey", "track_id", "artist", "title", "external_url")
 
 
+def saved_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as saved answers of the track service, read back by the search source, every other brand by pushed filters."""
+    item = F.struct(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.array(F.struct(F.col("p_brand").alias("name"))).alias("artists"))
+    brand = _t(spark, sf_dir, "part").groupBy(F.lower("p_brand").alias("query")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    saved = brand.select("query", F.to_json(F.struct(F.struct("items").alias("tracks"))).alias("payload"))
+    path = f"{shared_dir(spark)}/answers-{uuid.uuid4().hex}"
+    saved.write.parquet(path)
+    search_source.register(spark)
+    wanted = [f"brand#{a}{b}" for a in range(1, 6) for b in (1, 3, 5)]
+    answers = spark.read.format(search_source.NAME).option("answers", path).load().filter(F.col("query").isin(wanted) & F.col("error_code").isNull())
+    return rest.tracks_from_json(answers.drop("error_code")).select("query", "track_id", "artist", "title")
+
+
+def list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty lists of parts as files, written by the sink and read back."""
+    part = _t(spark, sf_dir, "part")
+    key = (F.col("p_partkey") % 50).alias("playlist_id")
+    names = {"match_track_id": F.concat(F.lit("p"), F.col("p_partkey").cast("string")), "parsed_artist": F.col("p_brand"), "parsed_title": F.col("p_name"), "raw_input": F.col("p_type")}
+    none = {c: F.lit(None).cast("string") for c in ("match_external_url", "match_algorithm", "source")}
+    items = part.select(key, F.col("p_partkey").alias("position"), *(v.alias(k) for k, v in (names | none).items()), F.lit(1.0).alias("parser_confidence"), F.lit(None).cast("double").alias("match_score"), F.lit(True).alias("is_uncertain"))
+    made = part.select(key).distinct().select("playlist_id", F.lit("s").alias("session_id"), F.lit("n").alias("name"), F.lit(None).cast("timestamp").alias("created_at"))
+    path = f"{shared_dir(spark)}/lists-{uuid.uuid4().hex}"
+    list_files_sink.register(spark)
+    export.export_lists(made, items, "m3u").write.format(list_files_sink.NAME).mode("append").save(path)
+    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("filename"), F.col("value").alias("content"))
+    return files
+
+
+_LIST_FILES = """
+SELECT 'playlist-' || p_partkey % 50 || '.m3u' AS filename,
+       '#EXTM3U' || chr(10) || string_agg('#EXTINF:-1,' || p_brand || ' - ' || p_name || chr(10) || 'p' || p_partkey, chr(10) ORDER BY p_partkey) || chr(10) AS content
+FROM part GROUP BY p_partkey % 50"""
+
+
 def download_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = _t(spark, sf_dir, "pages").select("page_id", export.downloadable(F.col("url")).alias("downloadable"), export.safe_filename(F.col("url")).alias("filename"))
     return names
@@ -663,6 +700,8 @@ def queries() -> dict[str, Query]:
         "review_items": review_items,
         "source_tracks": source_tracks,
         "source_videos": source_videos,
+        "saved_searches": saved_searches,
+        "list_files": list_files,
         "download_filter": download_filter,
     }
 
@@ -719,5 +758,7 @@ def oracle_sql() -> dict[str, str]:
         "review_items": _REVIEWED,
         "source_tracks": "SELECT p_partkey, 'spotify:' || p_partkey AS track_id, p_brand || ', ' || p_type AS artist, p_name AS title FROM part",
         "source_videos": "SELECT p_partkey, 'youtube:' || p_partkey AS track_id, CAST(NULL AS VARCHAR) AS artist, p_brand || ' & ' || p_name AS title, 'https://www.youtube.com/watch?v=' || p_partkey AS external_url FROM part WHERE p_partkey % 2 = 0",
+        "saved_searches": "SELECT lower(p_brand) AS query, 'spotify:' || p_partkey AS track_id, p_brand AS artist, p_name AS title FROM part WHERE regexp_matches(p_brand, '^Brand#[1-5][135]$')",
+        "list_files": _LIST_FILES,
         "download_filter": r"SELECT page_id, coalesce(contains(url, 'youtube.com') OR contains(url, 'youtu.be'), false) AS downloadable, trim(regexp_replace(url, '[^\p{L}\p{N} \-_()]', '', 'g')) AS filename FROM pages",
     }

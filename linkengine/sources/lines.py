@@ -75,7 +75,20 @@ def demo_catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "track_id string, artist string, title string, external_url string, cand_ord int")
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    """A relational table; pass partitionColumn, lowerBound, upperBound and numPartitions
-    to read it in parallel."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, partitions: int = 8, **options: str) -> DataFrame:
+    """A relational table, read in parallel over ranges of ``column`` (a number, date or timestamp).
+
+    The ranges are cut between the column's least and greatest value, which the database is asked for; rows where it is
+    null come with the first. Filters and columns of the result are pushed to the database, and so is the range of each partition. An
+    empty table, or one whose column holds one value, is read at once. ``table`` may be a parenthesised query with an alias.
+    """
+    if partitions < 1:
+        raise ValueError("partitions must be at least 1")
+    read = lambda **more: spark.read.format("jdbc").options(url=url, **options, **more).load()
+    if column is None or partitions == 1:
+        return read(dbtable=table)
+    quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(column)  # as the database spells names
+    low, high = read(query=f"SELECT MIN({quoted}) AS low, MAX({quoted}) AS high FROM {table}").first()
+    if low is None or low == high:
+        return read(dbtable=table)
+    return read(dbtable=table, partitionColumn=column, lowerBound=str(low), upperBound=str(high), numPartitions=str(partitions))

@@ -20,7 +20,7 @@ from ..functions.unicode import strip
 
 TRACK_PAYLOAD = "tracks struct<items: array<struct<id: string, name: string, artists: array<struct<name: string>>, external_urls: struct<spotify: string>>>>"
 VIDEO_PAYLOAD = "items array<struct<id: struct<kind: string, videoId: string, channelId: string>, snippet: struct<title: string, channelTitle: string>>>"
-#: Error codes by HTTP status.
+#: Error codes by HTTP status, and of which requests a 400 has a code of its own (not of track searches).
 ERROR_CODES = {400: "bad_request", 401: "unauthorized", 403: "forbidden", 429: "rate_limited"}
 VIDEO_URL = "https://www.youtube.com/watch?v="
 
@@ -62,10 +62,12 @@ def videos_from_json(payloads: DataFrame, payload: str = "payload") -> DataFrame
     )
 
 
-def error_code(status: int) -> str | None:
-    """The code of a failed response; null for success."""
+def error_code(status: int, bad_request: bool = True) -> str | None:
+    """The code of a failed response; null for success. Without ``bad_request`` a 400 is a failed request like others."""
     if status < 400:
         return None
+    if status == 400 and not bad_request:
+        return "request_failed"
     return ERROR_CODES.get(status, "request_failed")
 
 
@@ -110,6 +112,8 @@ class TrackSearch:
     """Requests of the track service; the token is fetched once per worker and kept."""
 
     mapping = staticmethod(tracks_from_json)
+    #: Its searches do not tell a bad request from other failures; its token requests do.
+    bad_request = False
 
     def __init__(
         self, access_token: str | None = None, client_id: str | None = None, client_secret: str | None = None, market: str | None = None,
@@ -141,6 +145,7 @@ class VideoSearch:
     """Requests of the video service."""
 
     mapping = staticmethod(videos_from_json)
+    bad_request = True
 
     def __init__(self, api_key: str, region_code: str | None = None, relevance_language: str | None = None, url: str = "https://www.googleapis.com/youtube/v3"):
         self.api_key, self.region_code, self.relevance_language, self.url = api_key, region_code, relevance_language, url
@@ -167,38 +172,42 @@ class SourceFailed(RuntimeError):
         self.source, self.code = source, code
 
 
-def fetch(queries: DataFrame, request: Callable[[str, int], tuple[int, str]], limit: int = 10, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+def answer(request: Callable[[str, int], tuple[int, str]], query: str, limit: int, sleep: Callable[[float], None] = time.sleep) -> tuple[str | None, str | None]:
+    """(payload, error code) of one query; one of them is null."""
+    try:
+        status, body = with_retries(lambda: request(query, limit), sleep=sleep)
+    except OSError:
+        return None, "request_failed"
+    except TokenRefused as error:
+        return None, error_code(error.status)
+    code = error_code(status, getattr(request, "bad_request", True))
+    if code is None:
+        try:
+            if not isinstance(json.loads(body), dict):
+                code = "invalid_response"
+        except ValueError:
+            code = "invalid_response"
+    return (None if code else body), code
+
+
+def fetch(queries: DataFrame, request: Callable[[str, int], tuple[int, str]], limit: int = 10, sleep: Callable[[float], None] = time.sleep, parallel: int = 8) -> DataFrame:
     """(line_id, payload, error_code) of every distinct query's answer; blank queries are not sent.
 
-    ``request`` goes to the workers. Equal queries are asked once; what fails is a row with a
+    ``request`` goes to the workers, and at most ``parallel`` of them ask at once. Equal queries are asked once; what fails is a row with a
     code, so one query cannot fail the others. A lost executor asks its queries again.
     """
     if not 1 <= limit <= 50:
         raise ValueError("limit must be between 1 and 50")
-
-    def answer(query: str) -> tuple[str | None, str | None]:
-        try:
-            status, body = with_retries(lambda: request(query, limit), sleep=sleep)
-        except OSError:
-            return None, "request_failed"
-        except TokenRefused as error:
-            return None, error_code(error.status)
-        code = error_code(status)
-        if code is None:
-            try:
-                if not isinstance(json.loads(body), dict):
-                    code = "invalid_response"
-            except ValueError:
-                code = "invalid_response"
-        return (None if code else body), code
+    if parallel < 1:
+        raise ValueError("parallel must be at least 1")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = [answer(q) for q in batch["query"]]
+            got = [answer(request, q, limit, sleep) for q in batch["query"]]
             yield pd.DataFrame({"query": batch["query"], "payload": [p for p, _ in got], "error_code": [c for _, c in got]})
 
     asked = queries.filter(strip(F.coalesce(F.col("query"), F.lit(""))) != "").select("line_id", "query")
-    answers = asked.select("query").distinct().mapInPandas(run, "query string, payload string, error_code string")
+    answers = asked.select("query").distinct().repartition(parallel, "query").mapInPandas(run, "query string, payload string, error_code string")
     return asked.join(materialize(answers, "answers"), "query").select("line_id", "payload", "error_code")
 
 

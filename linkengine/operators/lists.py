@@ -38,6 +38,13 @@ def list_name(name):
     return F.coalesce(F.nullif(strip(name), F.lit("")), F.lit(DEFAULT_NAME))
 
 
+def new_lists(requests: DataFrame) -> DataFrame:
+    """List rows of (playlist_id, session_id, name): names are trimmed, and one that is blank or null is the default.
+    ``created_at`` is kept if there is one, else it is now."""
+    at = F.col("created_at") if "created_at" in requests.columns else F.current_timestamp()
+    return requests.select(F.col("playlist_id").cast("string"), F.col("session_id").cast("string"), list_name(F.col("name")).alias("name"), at.cast("timestamp").alias("created_at"))
+
+
 def build_items(items: DataFrame, playlist_id: str = "playlist_id") -> DataFrame:
     """Item rows of matched lines (with ``playlist_id`` and ``line_id``), position from 0.
 

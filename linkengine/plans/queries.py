@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import language, patterns, similarity, text, translit
 from ..functions.similarity import SCORERS
 from ..functions.staging import shared_dir
-from ..operators import evaluation, lists, matching, parsing, stats, topk_join, variants
+from ..operators import evaluation, lists, matching, parsing, stats, tables, topk_join, validation, variants
 from ..sources import export, lines, rest, search_source
 from ..sources import list_files as list_files_sink
 from . import link
@@ -456,6 +456,37 @@ SELECT playlist_id, count(*) AS total_items, count(*) FILTER (WHERE is_uncertain
 FROM items LEFT JOIN ({counts("source")}) s USING (playlist_id) LEFT JOIN ({counts("match_algorithm")}) a USING (playlist_id) GROUP BY playlist_id"""
 
 
+def _bucketed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders and their items as tables bucketed by list."""
+    own = uuid.uuid4().hex
+    made = tables.save_by_list(order_lists(spark, sf_dir), f"lists_{own}", 8, path=f"{shared_dir(spark)}/lists-{own}")
+    return made, tables.save_by_list(order_items(spark, sf_dir), f"items_{own}", 8, ("playlist_id", "position"), f"{shared_dir(spark)}/items-{own}")
+
+
+def bucketed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of the lists that are left when those of open orders are deleted, over bucketed tables."""
+    made, items = _bucketed(spark, sf_dir)
+    gone = made.join(_t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("playlist_id"), "o_orderstatus"), "playlist_id").filter("o_orderstatus = 'O'")
+    kept, items = lists.delete_lists(made, items, gone)
+    return lists.summaries(kept, items).select("playlist_id", "session_id", "name", "total_items", "uncertain_count")
+
+
+def new_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list for every customer, named by the segment, by blanks or not at all; what breaks a limit is left out."""
+    n = F.col("c_custkey") % 5
+    name = F.when(n == 0, F.concat(F.lit("\t "), F.col("c_mktsegment"), F.lit("  "))).when(n == 1, " \n").when(n == 2, F.repeat("c_mktsegment", 60)).when(n == 3, "")
+    asked = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("playlist_id"), F.when(F.col("c_custkey") % 7 != 0, F.col("c_name")).otherwise("").alias("session_id"), name.alias("name"))
+    return validation.checked(lists.new_lists(asked)).select("playlist_id", "session_id", "name")
+
+
+_NEW_LISTS = """
+SELECT * FROM (
+  SELECT CAST(c_custkey AS VARCHAR) AS playlist_id, c_name AS session_id,
+         CASE c_custkey % 5 WHEN 0 THEN c_mktsegment WHEN 2 THEN repeat(c_mktsegment, 60) ELSE 'Untitled Playlist' END AS name
+  FROM customer WHERE c_custkey % 7 <> 0
+) WHERE length(name) <= 255"""
+
+
 def item_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every item asked for under its own list and, in vain, under the next one."""
     items = order_items(spark, sf_dir).select("item_id", "playlist_id", "match_track_id")
@@ -683,6 +714,8 @@ def queries() -> dict[str, Query]:
         "uncertain_positions": uncertain_positions,
         "list_stats": list_stats,
         "list_summaries": list_summaries,
+        "bucketed_totals": bucketed_totals,
+        "new_lists": new_lists,
         "item_lookup": item_lookup,
         "build_list": build_list,
         "download_names": download_names,
@@ -743,6 +776,8 @@ def oracle_sql() -> dict[str, str]:
         "lists_by_session": _BY_SESSION,
         "list_stats": _stats_sql(),
         "list_summaries": _SUMMARIES,
+        "bucketed_totals": _SUMMARIES + " WHERE o_orderstatus <> 'O'",
+        "new_lists": _NEW_LISTS,
         "item_lookup": _LOOKUP,
         "build_list": _build_sql(),
         "download_names": _DOWNLOAD_NAMES,

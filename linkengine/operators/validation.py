@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..functions.settle import settle
+
 #: Greatest lengths of texts, and which must not be empty.
 LENGTHS = {"name": 255, "display_name": 255, "session_id": 128, "parsed_artist": 255, "parsed_title": 255, "match_external_url": 1024, "match_algorithm": 128, "source": 128}
 NOT_EMPTY = ["session_id", "raw_input", "match_algorithm", "source"]
@@ -39,12 +41,13 @@ def checked(rows: DataFrame, seen: Observation | None = None) -> DataFrame:
     wrong = rules(rows.columns)
     if not wrong:
         return rows
-    any_ = F.lit(False)
-    for rule in wrong.values():
-        any_ = any_ | rule
+    kept = rows.columns
+    # Settled, so that the optimizer sees one short predicate and not every rule.
+    rows = settle(rows, {"_broken": F.array_compact(F.array(*(F.when(rule, name) for name, rule in wrong.items())))})
     if seen is not None:
-        rows = rows.observe(seen, F.count("*").alias("total"), F.count_if(any_).alias("rejected"), *(F.count_if(rule).alias(name) for name, rule in wrong.items()))
-    return rows.filter(~any_)
+        each = [F.count_if(F.array_contains("_broken", name)).alias(name) for name in wrong]
+        rows = rows.observe(seen, F.count("*").alias("total"), F.count_if(F.size("_broken") > 0).alias("rejected"), *each)
+    return rows.filter(F.size("_broken") == 0).select(*(F.col(f"`{c}`") for c in kept))
 
 
 def counted(items: DataFrame, seen: Observation) -> DataFrame:

@@ -116,7 +116,9 @@ def test_review_keeps_the_types_of_metadata(spark):
     review = {"match_track_id": "m", "match_external_url": None, "match_score": 0.5, "match_algorithm": "manual", "source": "manual", "is_uncertain": False}
     kept = {k: v for k, v in json.loads(meta[0]).items() if k != "manual_review"}
     assert got["i0"] == kept | {"manual_review": review}
-    assert got["i1"] == got["i2"] == got["i3"] == {"manual_review": review}
+    assert got["i1"] == got["i2"] == {"manual_review": review}
+    # What is no JSON object is kept as it was.
+    assert got["i3"] == {"manual_review": review | {"replaced_metadata": "broken"}}
 
 
 def test_build_items(spark, catalogs):

@@ -20,8 +20,10 @@ loses one, so no fragment of a copy stays.
 Only digests of 128 bits of lines and runs are exchanged, except for the lines of leaves
 that hold several different lines; two texts of one digest are not to be expected at any
 corpus size. Leaves and templates are aggregated before they meet. A leaf's distinct
-lines pass through one task in order; only its leaders are held. Texts are rewritten by
-line position, in time linear in their lines.
+lines pass through one task in order, which holds its leaders; a leaf of more than
+``LEAF_LINES`` is read in parts first, whose leaders are grouped the same way, so that a line there shares
+the template of its part's leader. A line is compared with the leaders listed under its rarest
+tokens only. Texts are rewritten by line position, in time linear in their lines.
 
 Cases: null texts stay null; blank lines stay. Repeated rows (id and text equal) are one
 document and are treated alike. Rows without an id never count as the least document and
@@ -50,6 +52,8 @@ DEPTH = 4
 #: Share of the positions beyond the leading tokens in which a line must equal its leader.
 AGREE = 0.6
 MIN_DOCS = 3
+#: Lines of a leaf, or of a part of one, that one task reads.
+LEAF_LINES = 1 << 16
 LONG_TOKENS = 50
 _BASES = (0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15)
 _FIELD = r"(?<!\S)[^\s\d]*+\d\S*"
@@ -81,45 +85,93 @@ def _parsed(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"leaf": leaf, "tpl": _template(F.col("mask"))})
 
 
+class _Leaders:
+    """The leaders of one leaf in order, listed under their tokens at each position."""
+
+    def __init__(self) -> None:
+        self.lines: list[tuple[bytes, list[str]]] = []
+        self.led: set[int] = set()
+        self.lists: dict[tuple, list[dict[str, list[int]]]] = {}
+
+    def join(self, tpl: bytes, lead: tuple[str, ...], tokens: list[str]) -> int | None:
+        """The first leader the line agrees with; without one the line leads."""
+        k = len(tokens)
+        wanted = math.ceil(AGREE * k)
+        # Two leaves of one hash never mix, since the lead is part of what is compared.
+        lists = self.lists.setdefault((k, lead), [{} for _ in tokens])
+        found = sorted((at.get(token, ()) for at, token in zip(lists, tokens)), key=len)
+        # Lines that agree differ in k - wanted positions at most, so of any k - wanted + 1
+        # positions they share one: those with the fewest leaders tell all candidates.
+        for at in sorted(set().union(*found[: k - wanted + 1])):
+            if sum(map(eq, tokens, self.lines[at][1])) >= wanted:
+                return at
+        for at, token in zip(lists, tokens):
+            at.setdefault(token, []).append(len(self.lines))
+        self.lines.append((tpl, tokens))
+        return None
+
+
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(tpl, template) of the lines that share a leader, themselves leaders included.
 
-    Rows arrive by leaf, the lines of most documents first. A line joins the first leader
-    it agrees with and leads otherwise, which is the leader step repeated on what is left
-    of a leaf. Lines that agree differ in few positions, so they are equal in one of one
-    block of positions more; only leaders with an equal block are compared. Memory holds
-    the leaders of one leaf.
+    Rows (leaf, part, docs, tpl, mask) arrive by leaf and part, the lines of most documents
+    first. A line joins the first leader it agrees with and leads otherwise, which is the
+    leader step repeated on what is left of a leaf. Memory holds the leaders of one part.
     """
-    leaf: int | None = None
+    of: tuple[int, int] | None = None
+    leaders = _Leaders()
     for batch in batches:
         out: list[tuple[bytes, bytes]] = []
-        for of, tpl, mask in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+        for leaf, part, tpl, mask in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4))):
+            if of != (leaf, part):
+                of, leaders = (leaf, part), _Leaders()
             tokens = mask.split(" ")
-            # Two leaves of one hash never mix, since the lead is part of what is compared.
-            lead, tokens = tuple(tokens[:DEPTH]), tokens[DEPTH:]
-            k = len(tokens)
-            wanted = math.ceil(AGREE * k)
-            if of != leaf:
-                leaf = of
-                leaders: list[tuple[bytes, list[str]]] = []
-                led: set[int] = set()
-                index: dict[tuple, list[int]] = {}
-            blocks = k - wanted + 1
-            keys = [(k, lead, i, hash(tuple(tokens[k * i // blocks : k * (i + 1) // blocks]))) for i in range(blocks)]
-            for at in sorted({x for key in keys for x in index.get(key, ())}):
-                if sum(map(eq, tokens, leaders[at][1])) >= wanted:
-                    if at not in led:
-                        led.add(at)
-                        out.append((leaders[at][0], leaders[at][0]))
-                    out.append((tpl, leaders[at][0]))
-                    break
-            else:
-                for key in keys:
-                    index.setdefault(key, []).append(len(leaders))
-                leaders.append((tpl, tokens))
+            at = leaders.join(tpl, tuple(tokens[:DEPTH]), tokens[DEPTH:])
+            if at is not None:
+                leader = leaders.lines[at][0]
+                if at not in leaders.led:
+                    leaders.led.add(at)
+                    out.append((leader, leader))
+                out.append((tpl, leader))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.binary()) for i in (0, 1)], ["tpl", "template"])
 
 
+def _with_leaders(texts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(tpl, template) of the lines (leaf, docs, tpl, mask) that share a leader.
+
+    ``sizes`` counts the lines of each leaf. Leaves of more than ``LEAF_LINES`` are first
+    read in parts by digest, over many tasks, as often as that leaves a quarter fewer
+    leaders; the leaders that remain of a leaf then meet in order, and lines follow the
+    leader of their part.
+    """
+
+    def led(rows: DataFrame, name: str) -> DataFrame:
+        rows = rows.select("leaf", "part", "docs", "tpl", "mask").repartition("leaf", "part")
+        rows = rows.sortWithinPartitions("leaf", "part", F.desc("docs"), F.desc("tpl"))
+        return materialize(rows.mapInArrow(_grouped, "tpl binary, template binary"), name)
+
+    steps: list[DataFrame] = []
+    before = math.inf
+    while True:
+        large = sizes.filter(F.col("members") > LEAF_LINES)
+        n = large.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+        if not n or n > 0.75 * before:
+            break
+        if not steps:
+            texts = materialize(texts, "in-leaves")
+        parts = F.pmod(F.xxhash64(F.lit(len(steps)), "tpl"), F.ceil(F.col("members") / LEAF_LINES))
+        step = led(lookup_join(texts, materialize(large, "large"), ["leaf"], "inner").withColumn("part", parts), "in-parts")
+        texts = materialize(lookup_join(texts, step.filter("tpl <> template").select("tpl"), ["tpl"], "left_anti"), "leading")
+        sizes = materialize(texts.groupBy("leaf").agg(F.count("*").alias("members")), "sizes")
+        steps, before = [*steps, step], n
+    merged = led(texts.withColumn("part", F.lit(0).cast("long")), "merged")
+    for step in reversed(steps):
+        above = merged.select(F.col("tpl").alias("via"), F.col("template").alias("over"))
+        follow = lookup_join(step.withColumnRenamed("template", "via"), above, ["via"]).select("tpl", F.coalesce("over", "via").alias("template"))
+        merged = materialize(follow.union(lookup_join(merged, step, ["tpl"], "left_anti")), "merged")
+    return merged
+
+
 def recurring(documents: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
     """(occurrences, templates): (tpl, _id, _th) per line and document, and
     (tpl, template, first_id) of the lines whose template recurs."""
@@ -130,12 +182,11 @@ def recurring(documents: DataFrame, text: str = "text", min_docs: int = MIN_DOCS
     # Leaves with several lines have leaders. With one position beyond the leading tokens
     # agreement is equality, so shorter lines are templates of their own already.
     leaves = own.filter(F.col("n") >= DEPTH + 2).groupBy("leaf").agg(F.count("*").alias("members"), F.sum("docs").alias("docs"))
-    leaves = materialize(leaves.filter("members > 1 and docs > 1").select("leaf"), "leaves")
-    texts = lookup_join(lines.select("leaf", "tpl", "mask").filter(F.col("n") >= DEPTH + 2), leaves, ["leaf"], "inner")
+    leaves = materialize(leaves.filter("members > 1 and docs > 1").select("leaf", "members"), "leaves")
+    texts = lookup_join(lines.select("leaf", "tpl", "mask").filter(F.col("n") >= DEPTH + 2), leaves.select("leaf"), ["leaf"], "inner")
     texts = materialize(texts.groupBy("leaf", "tpl").agg(F.first("mask").alias("mask")), "texts")
-    texts = lookup_join(texts, own.select("tpl", "docs"), ["tpl"], "inner", 0).select("leaf", "docs", "tpl", "mask").repartition("leaf")
-    texts = texts.sortWithinPartitions("leaf", F.desc("docs"), F.desc("tpl"))
-    merged = materialize(texts.mapInArrow(_grouped, "tpl binary, template binary"), "merged")
+    texts = lookup_join(texts, own.select("tpl", "docs"), ["tpl"], "inner", 0).select("leaf", "docs", "tpl", "mask")
+    merged = _with_leaders(texts, leaves)
 
     enough = F.col("docs") >= min_docs
     alone = lookup_join(own.filter(enough), merged, ["tpl"], "left_anti").select("tpl", F.col("tpl").alias("template"), "first_id")

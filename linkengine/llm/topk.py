@@ -1,15 +1,14 @@
 """Exact top-k inner products by no-random-access aggregation over sorted lists.
 
 Candidates lie in blocks. A block is stored, once for all queries, as one list per
-dimension: its rows ordered by their component of that dimension. A query reads the lists
-from the top where its component is positive and from the bottom where it is negative, all
-to the same depth, in small steps that double. After a step a candidate's upper bound
-takes a list's frontier for every entry not read yet and its lower bound the list's far
-end. Candidates whose upper bound is below the k-th best lower bound (or below the k-th
-best score known from elsewhere) can no longer qualify. A query stops reading a block
-when none can; while some can, it reads on, and the scores of those that remain at the end
-of the lists are exact because both bounds have met. Nothing is fetched by row: every
-component comes out of a list in its order.
+dimension: its rows ordered by their component of that dimension. All lists are read in their order
+from both ends to one depth, in the steps of ``STEPS``. An entry not read yet lies between
+the last ones read from the two ends, which gives each candidate a lower and an upper score. Candidates whose
+upper bound is below the k-th best lower bound (or below the k-th best score known from
+elsewhere) can no longer qualify and are dropped. A query stops reading a block when no more than k
+are left; their scores are resolved by taking only their unread entries out of the rest of the
+lists. Ties at the k-th place leave more than k; lists read to the end settle these, since
+both bounds have met there. Nothing is fetched by row: every component comes out of a list in its order.
 
 The k-th best scores are carried from block to block within a task and, since a wave first
 reads one block in ``FIRST_SHARE``, from these to all others.
@@ -29,6 +28,7 @@ integers.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +42,12 @@ from .common import materialize
 #: Bounds on what a wave broadcasts.
 WAVE_QUERIES, WAVE_BYTES = 4096, 32 << 20
 BLOCK_ROWS = 2048
-#: Depth of the first step, as a share of a list; every further step doubles it.
-FIRST_STEP = 1 / 64
+#: Shares of a list that are read when bounds are compared.
+STEPS = (1 / 64, 1 / 8, 1 / 2, 3 / 4, 13 / 16, 7 / 8, 29 / 32, 15 / 16, 31 / 32, 1)
+#: Candidates are bounded one by one once less than this share of them is left.
+FEW = 1 / 8
+#: Candidates bounded at once then.
+_CHUNK = 1 << 14
 #: One block in so many is read first, to carry its scores to the others.
 FIRST_SHARE = 16
 _BLOCK_SCHEMA = "block long, n int, ids binary, ordered binary, sorted binary"
@@ -75,33 +79,62 @@ class Reader:
 
     def __init__(self, block: BlockLists):
         self.block, self.depth = block, 0
-        dims, n = block.order.shape
-        self.n, self._row = n, np.arange(dims)[:, None]
-        self.x = np.zeros((dims, n), dtype=np.float64)
-        self.from_top, self.from_bottom = np.zeros((dims, n), dtype=bool), np.zeros((dims, n), dtype=bool)
+        dims, self.n = block.order.shape
+        self._row = np.arange(dims)[:, None]
+        self.x, self.unread = np.zeros((dims, self.n)), np.ones((dims, self.n))
+
+    @property
+    def ended(self) -> bool:
+        return 2 * self.depth >= self.n
 
     def read(self, depth: int) -> None:
-        depth = min(depth, self.n)
-        for part, seen in ((slice(self.depth, depth), self.from_top), (slice(self.n - depth, self.n - self.depth), self.from_bottom)):
+        """Read on to ``depth`` entries from either end of every list."""
+        for part in (slice(self.depth, depth), slice(max(self.n - depth, 0), self.n - self.depth)):
             at = self.block.order[:, part].astype(np.int64)
             self.x[self._row, at] = self.block.values[:, part]
-            seen[self._row, at] = True
+            self.unread[self._row, at] = 0
         self.depth = depth
 
-    def bounds(self, positive: np.ndarray, negative: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper scores of the candidates ``which`` (queries x candidates)."""
-        values, x = self.block.values, self.x[:, which]
-        if self.depth >= self.n:
-            exact = (positive + negative) @ x
-            return exact, exact
+    def _ends(self) -> tuple[np.ndarray, np.ndarray]:
+        """The largest and the least value that an unread entry of each list can have."""
         last = max(self.depth - 1, 0)
-        best, worst = values[:, :1].astype(np.float64), values[:, -1:].astype(np.float64)
-        falling, rising = (values[:, [last]].astype(np.float64), values[:, [self.n - 1 - last]].astype(np.float64)) if self.depth else (best, worst)
-        top, bottom = self.from_top[:, which], self.from_bottom[:, which]
-        upper = positive @ np.where(top, x, falling) + negative @ np.where(bottom, x, rising)
-        lower = positive @ np.where(top, x, worst) + negative @ np.where(bottom, x, best)
+        return self.block.values[:, last].astype(np.float64), self.block.values[:, self.n - 1 - last].astype(np.float64)
+
+    def bounds(self, positive: np.ndarray, negative: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper scores (queries x candidates) of the halves of queries by sign."""
+        known = (positive + negative) @ self.x
+        if self.ended:
+            return known, known
+        most, least = self._ends()
+        return known + (positive * least + negative * most) @ self.unread, known + (positive * most + negative * least) @ self.unread
+
+    def pair_bounds(self, positive: np.ndarray, negative: np.ndarray, query: np.ndarray, candidate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper scores of the pairs (query, candidate)."""
+        most, least = self._ends()
+        lower, upper = np.empty(len(query)), np.empty(len(query))
+        low, high = positive * least + negative * most, positive * most + negative * least
+        for a in range(0, len(query), _CHUNK):
+            q, c = query[a : a + _CHUNK], candidate[a : a + _CHUNK]
+            x, unread = self.x.T[c], self.unread.T[c]
+            known = np.einsum("ij,ij->i", (positive + negative)[q], x)
+            lower[a : a + _CHUNK] = known + np.einsum("ij,ij->i", low[q], unread)
+            upper[a : a + _CHUNK] = known + np.einsum("ij,ij->i", high[q], unread)
         return lower, upper
 
+    def resolve(self, which: np.ndarray) -> None:
+        """Take the unread entries of the candidates ``which`` out of the rest of the lists."""
+        wanted = np.zeros(self.n, dtype=bool)
+        wanted[which] = True
+        rest = slice(self.depth, max(self.n - self.depth, self.depth))
+        order, values = self.block.order[:, rest], self.block.values[:, rest]
+        i, at = np.nonzero(wanted[order])
+        self.x[i, order[i, at]], self.unread[i, order[i, at]] = values[i, at], 0
+
+
+def _kth(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of each row."""
+    return np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+
 
 class TopK:
     """Running k best (score, id) of each query, and its score to beat."""
@@ -112,6 +145,7 @@ class TopK:
         self.positive, self.negative = np.maximum(x, 0), np.minimum(x, 0)
         self.best: list[list[tuple[int, int]]] = [[] for _ in ids]
         self.floor = np.full(len(ids), -np.inf) if floor is None else floor.astype(np.float64)
+        #: Blocks read for a query, and those of them not read to the end of the lists.
         self.reads = self.stopped = 0
 
     def read(self, block: BlockLists) -> None:
@@ -121,29 +155,57 @@ class TopK:
         largest = float(np.abs(block.values).astype(np.float64).max(initial=0)) * max(self.q.shape[1], 1)
         # Sums of whole numbers below 2^53 are exact in float64; beyond, this bounds their error.
         error = np.where(weight * largest < 2**53, 0.0, weight * largest * max(self.q.shape[1], 1) * 2.0**-50)
-        reader, which, depth = Reader(block), np.arange(n), max(1, int(n * FIRST_STEP))
-        rows = np.arange(len(self.ids))
-        while len(rows):
-            reader.read(depth)
-            ended = reader.depth >= n
-            lower, upper = reader.bounds(self.positive[rows], self.negative[rows], which)
-            own = block.ids[which][None, :] == self.ids[rows][:, None]
-            floor = self.floor[rows]
-            if len(which) > k:
-                known = np.where(own, -np.inf, lower)
-                floor = np.maximum(floor, np.partition(known, len(which) - k, axis=1)[:, len(which) - k] - error[rows])
-            alive = (upper + error[rows][:, None] >= floor[:, None]) & ~own
-            if ended:
-                for i, row in enumerate(rows.tolist()):
-                    at = which[alive[i]]
-                    if len(at):
-                        self._offer(row, lower[i][alive[i]] if not error[row] else self._whole(row, reader.block, at), block.ids[at])
-                self.reads += len(rows)
+        reader, rows = Reader(block), np.arange(len(self.ids))
+        self.reads += len(rows)
+        # The candidates left, as pairs (row, candidate) sorted by row; at first all of all rows.
+        pairs: tuple[np.ndarray, np.ndarray] | None = None
+        for depth in sorted({max(1, math.ceil(n * share / 2)) for share in STEPS}):
+            if not len(rows):
                 return
-            wanted = alive.any(axis=1)
-            self.reads += int((~wanted).sum())
-            self.stopped += int((~wanted).sum())
-            rows, which, depth = rows[wanted], which[alive[wanted].any(axis=0)], depth * 2
+            reader.read(depth)
+            if pairs is None:
+                lower, upper = reader.bounds(self.positive[rows], self.negative[rows])
+                own = block.ids[None, :] == self.ids[rows][:, None]
+                floor = self.floor[rows]
+                if n > k:
+                    floor = np.maximum(floor, _kth(np.where(own, -np.inf, lower), k) - error[rows])
+                alive = (upper + error[rows][:, None] >= floor[:, None]) & ~own
+                left = alive.sum(axis=1)
+                stays = (left > k) & (not reader.ended)
+                if left[stays].sum() > FEW * n * len(rows):
+                    # Too many to list; only what is settled is.
+                    alive[stays] = False
+                query, candidate = np.nonzero(alive)
+                query = rows[query]
+            else:
+                query, candidate = pairs
+                lower, upper = reader.pair_bounds(self.positive, self.negative, query, candidate)
+                by_score = np.lexsort((-lower, query))
+                start = np.searchsorted(query, rows)
+                # Every row has more than k pairs here, or it would have stopped.
+                floor = self.floor.copy()
+                floor[rows] = np.maximum(floor[rows], lower[by_score[start + k - 1]] - error[rows])
+                alive = upper + error[query] >= floor[query]
+                query, candidate = query[alive], candidate[alive]
+                left = np.bincount(query, minlength=len(self.ids))[rows]
+                stays = (left > k) & (not reader.ended)
+            done, rows = rows[~stays], rows[stays]
+            self._finish(reader, done, query, candidate, error)
+            if not reader.ended:
+                self.stopped += len(done)
+            on = np.isin(query, rows)
+            if on.any():
+                pairs = query[on], candidate[on]
+
+    def _finish(self, reader: Reader, rows: np.ndarray, query: np.ndarray, candidate: np.ndarray, error: np.ndarray) -> None:
+        """Offer the resolved scores of all that is left of ``rows``; ``query`` is sorted."""
+        ends = np.stack([np.searchsorted(query, rows), np.searchsorted(query, rows, side="right")], axis=1)
+        kept = [(row, candidate[a:b]) for row, (a, b) in zip(rows.tolist(), ends.tolist()) if b > a]
+        if kept and not reader.ended:
+            reader.resolve(np.concatenate([at for _, at in kept]))
+        for row, at in kept:
+            scores = self._whole(row, reader.block, at) if error[row] else self.q[row].astype(np.float64) @ reader.x[:, at]
+            self._offer(row, scores, reader.block.ids[at])
 
     def _whole(self, row: int, block: BlockLists, at: np.ndarray) -> list[int]:
         """Scores in integers, the lists read to their ends for the rows ``at``."""

@@ -1,6 +1,8 @@
 import math
 import random
+from pathlib import Path
 
+import pytest
 from linkengine.llm import topk
 from pyspark.sql import functions as F
 
@@ -64,11 +66,15 @@ def test_bounds_hold():
     x = rng.integers(-50, 50, (40, 6))
     q = rng.integers(-50, 50, (5, 6)).astype(float)
     reader = topk.Reader(topk.BlockLists.of(np.arange(40), x))
-    for depth in (0, 1, 12, 36, 40):
+    query, candidate = (at.ravel() for at in np.indices((5, 40)))
+    for depth in (0, 1, 6, 18, 20):
         reader.read(depth)
-        low, high = reader.bounds(np.maximum(q, 0), np.minimum(q, 0), np.arange(40))
+        halves = np.maximum(q, 0), np.minimum(q, 0)
+        low, high = reader.bounds(*halves)
         exact = q @ x.T
         assert (low <= exact).all() and (exact <= high).all()
+        for one, all_ in zip(reader.pair_bounds(*halves, query, candidate), (low, high)):
+            assert (one == all_.ravel()).all()
     assert (low == high).all()
 
 
@@ -103,5 +109,52 @@ def test_reader_takes_entries_from_the_lists_in_order():
     x = rng.integers(-9, 9, (50, 3))
     reader = topk.Reader(topk.BlockLists.of(np.arange(50), x))
     reader.read(5)
-    assert (reader.from_top.sum(axis=1) == 5).all() and (reader.from_bottom.sum(axis=1) == 5).all()
-    assert (np.sort(x, axis=0)[-5:].sum(axis=0) == np.where(reader.from_top, reader.x, 0).sum(axis=1)).all()
+    assert (reader.unread.sum(axis=1) == 40).all()
+    ends = np.sort(x, axis=0)
+    assert (ends[:5].sum(axis=0) + ends[-5:].sum(axis=0) == reader.x.sum(axis=1)).all()
+    reader.resolve(np.array([4, 17]))
+    assert (reader.x[:, [4, 17]] == x[[4, 17]].T).all() and not reader.unread[:, [4, 17]].any()
+    q = rng.integers(-9, 9, (20, 3)).astype(float)
+    low, high = reader.bounds(np.maximum(q, 0), np.minimum(q, 0))
+    assert (low <= q @ x.T).all() and (q @ x.T <= high).all() and (low[:, [4, 17]] == high[:, [4, 17]]).all()
+
+
+def check_reads(x, ids, queries, k=5):
+    """The share of reads that stop early; every query's top k is compared with all scores."""
+    import numpy as np
+
+    found = topk.TopK(ids[queries], x[queries], k)
+    for a in range(0, len(x), topk.BLOCK_ROWS):
+        found.read(topk.BlockLists.of(ids[a : a + topk.BLOCK_ROWS], x[a : a + topk.BLOCK_ROWS]))
+    for row, at in enumerate(queries.tolist()):
+        scores = x @ x[at]
+        assert found.best[row] == sorted((-int(s), int(i)) for s, i in zip(scores, ids) if i != ids[at])[:k]
+    assert found.reads == len(queries) * -(-len(x) // topk.BLOCK_ROWS) and found.stopped <= found.reads
+    return found.stopped / found.reads
+
+
+def test_reads_of_even_vectors_stop_with_k_left():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = np.floor(rng.normal(0, 32, (5000, 64))).astype(np.int64)
+    assert check_reads(x, np.arange(5000), np.arange(0, 5000, 50)) > 0.5
+
+
+def test_ties_at_the_last_place_are_read_to_the_end():
+    import numpy as np
+
+    x = np.repeat(np.arange(1, 9)[:, None], 40, axis=0).repeat(3, axis=1)
+    assert check_reads(x, np.arange(len(x))[::-1].copy(), np.arange(0, len(x), 7)) < 1
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="needs the given tables")
+def test_reads_of_the_given_vectors_stop_before_the_end():
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    of = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pydict()
+    rows = [(i, v) for i, v in zip(of["vec_id"], of["embedding"]) if v is not None and len(v) == 64]
+    x = np.floor(np.array([v for _, v in rows], dtype=np.float64) * 256).astype(np.int64)
+    ids = np.array([i for i, _ in rows])
+    assert check_reads(x, ids, np.nonzero(ids % 50 == 0)[0]) > 0.5

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.staging import BROADCAST_ROWS, fits_broadcast, mark, materialize, release, shared_dir
 
-__all__ = ["fits_broadcast", "keyed", "lookup_join", "lower_az", "mark", "materialize", "read_table", "release", "row_key", "shared_dir", "unpacked"]
+__all__ = ["fits_broadcast", "keyed", "lookup_join", "lower_az", "mark", "materialize", "numbered", "quoted", "read_table", "release", "remaining", "row_key", "shared_dir", "unpacked", "unused"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +45,31 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
 def keyed(rows: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(_id, _th, _row): the row's identity and all its columns packed into one, so that
     no column name of the input can meet one of an operator."""
-    return rows.select(*row_key(doc_id, text), F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("_row"))
+    return rows.select(*row_key(doc_id, text), F.struct(*quoted(rows.columns)).alias("_row"))
+
+
+def quoted(names: list[str]) -> list[Column]:
+    """The columns ``names``, which may hold dots and backquotes."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names]
+
+
+def numbered(names: list[str]) -> list[Column]:
+    """The columns ``names`` under plain ones, since ``mapInArrow`` resolves its input by name."""
+    return [c.alias(f"_{i}") for i, c in enumerate(quoted(names))]
+
+
+def remaining(rows: DataFrame, added: list[str]) -> list[str]:
+    """The columns that ``added`` ones do not replace; as in Spark, case makes no difference."""
+    gone = {c.lower() for c in added}
+    return [c for c in rows.columns if c.lower() not in gone]
+
+
+def unused(name: str, rows: DataFrame) -> str:
+    """``name``, lengthened until no column of ``rows`` has it."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def unpacked(names: list[str]) -> list[Column]:

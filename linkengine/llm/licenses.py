@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lookup_join, materialize, unpacked
+from .common import lookup_join, materialize, quoted, remaining, unpacked
 
 #: The usual short statements, standard headers and short license texts.
 _AS_IS = (
@@ -235,10 +235,10 @@ def scan_licenses(
     ``license``, ``license_via`` (header, file, inherited or null) and ``license_dir``."""
     frequency, n_files = document_frequencies(files, vocabulary(templates), text)
     matcher = Matcher(templates, frequency, n_files, threshold)
-    names = [c for c in files.columns if c != text and c not in _ADDED]
+    names = remaining(files, [text, *_ADDED])
     added = [("own_license", pa.string()), ("own_score", pa.float64()), ("_share", pa.float64())]
     # The row travels as one column, so its names meet none of those below.
-    rows = files.select(F.struct(*(F.col(f"`{c}`") for c in files.columns if c != text)).alias("_row"), F.col(path).alias("_path"), F.col(text).alias("_text"))
+    rows = files.select(F.struct(*quoted(remaining(files, [text]))).alias("_row"), F.col(path).alias("_path"), F.col(text).alias("_text"))
     schema = T.StructType([*(rows.schema[c] for c in ("_row", "_path")), T.StructField("own_license", T.StringType()), T.StructField("own_score", T.DoubleType()), T.StructField("_share", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ document and are treated alike. Rows without an id never count as the least docu
 keep lines only found in such rows. Of lines found in equally many documents the one of the larger
 digest leads. A text of recurring lines only becomes empty; its row stays. Very long texts are
 read whole. An empty table gives an empty result. Other columns pass through, whatever their names;
-``n_lines`` and ``n_dropped`` replace columns of the same name.
+``n_lines`` and ``n_dropped`` replace columns of the same name, or are named otherwise.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keyed, lookup_join, materialize, row_key, unpacked
+from .common import keyed, lookup_join, materialize, remaining, row_key, unpacked
 
 DEPTH = 4
 #: Share of the positions beyond the leading tokens in which a line must equal its leader.
@@ -286,8 +286,10 @@ def recurring_runs(documents: DataFrame, text: str = "text", long_tokens: int =
     return materialize(spans.select("_id", "_th", F.when(F.size("_spans") > 0, _marked("_spans")).alias("_runs"), "_whole"), "marked")
 
 
-def drop_recurring_lines(documents: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, long_tokens: int = LONG_TOKENS) -> DataFrame:
-    """``documents`` with recurring lines cut from ``text``, plus ``n_lines`` and ``n_dropped``."""
+def drop_recurring_lines(
+    documents: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, long_tokens: int = LONG_TOKENS, into: tuple[str, str] = ("n_lines", "n_dropped")
+) -> DataFrame:
+    """``documents`` with recurring lines cut from ``text``, plus the numbers of lines and dropped lines, as ``into``."""
     seen, known = recurring(documents, text, min_docs)
     again = F.col("first_id").isNotNull() & ~F.col("_id").eqNullSafe(F.col("first_id"))
     drops = lookup_join(seen, known.select("tpl", "first_id"), ["tpl"], "inner").filter(again)
@@ -310,6 +312,6 @@ def drop_recurring_lines(documents: DataFrame, text: str = "text", min_docs: int
     n_lines = F.coalesce(F.octet_length(whole_text) - F.octet_length(F.replace(whole_text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     n_dropped = F.when(F.col("_kept").isNotNull(), n_lines - F.size("_kept")).otherwise(0).cast("long")
     kept = F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(whole_text)
-    names = [c for c in documents.columns if c not in ("n_lines", "n_dropped")]
+    names = remaining(documents, into)
     out = [kept.alias(c) if c == text else unpacked([c])[0] for c in names]
-    return rows.select(*out, n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
+    return rows.select(*out, n_lines.alias(into[0]), n_dropped.alias(into[1]))

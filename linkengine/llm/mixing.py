@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lookup_join, materialize, unpacked
+from .common import lookup_join, materialize, quoted, remaining, unpacked
 
 _COARSE, _FINE = 2, 3  # hex digits of the order
 
@@ -105,7 +105,7 @@ def mix(
     names = list(levels)
     known = {name: F.coalesce(c.cast("string"), F.lit("unknown")) for name, c in levels.items()}
     # The row travels as one column, so its names meet none of those below.
-    row = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("_row")
+    row = F.struct(*quoted(documents.columns)).alias("_row")
     rows = documents.select(row, F.col(doc_id).alias("_id"), *(c.alias(name) for name, c in known.items()), count_words(F.col(text)).alias("n_tokens"))
     facts = materialize(rows.select("_id", *names, "n_tokens"), "facts")
     leaves = materialize(facts.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")), "leaves")
@@ -138,5 +138,5 @@ def mix(
     place = _order(seed, F.col("epochs"), "_id")
     partial = F.when(F.col("bound").isNotNull(), (place < F.col("bound")) | (F.col("incl") & (place == F.col("bound")))).otherwise(F.col("rest") > 0)
     copies = F.col("epochs") + partial.cast("int")
-    others = [c for c in documents.columns if c not in (*names, "n_tokens", "copies")]
+    others = remaining(documents, [*names, "n_tokens", "copies"])
     return taken.select(*unpacked(others), *names, "n_tokens", copies.alias("copies")).filter("copies > 0")

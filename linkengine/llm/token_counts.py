@@ -41,6 +41,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import numbered, remaining
+
 CHUNK_CHARS = 1 << 14
 OVERLAP_CHARS = 256
 #: Characters of the units kept per worker, with 64 for each; the memo starts anew beyond it.
@@ -268,7 +270,7 @@ def _worker_encoder(tokenizer: str) -> LibraryEncoder:
 def with_token_counts(documents: DataFrame, tokenizer: str, text: str = "text", chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
     """Add ``n_bytes`` and ``n_tokens`` to every row; ``tokenizer`` is a file name of the
     public tokenizer folder or a path every executor can open."""
-    names = [c for c in documents.columns if c not in ("n_bytes", "n_tokens")]
+    names = remaining(documents, ["n_bytes", "n_tokens"])
     schema = T.StructType([*(documents.schema[c] for c in names), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     at = names.index(text)
@@ -281,4 +283,4 @@ def with_token_counts(documents: DataFrame, tokenizer: str, text: str = "text",
             n_tokens = pa.array([count_tokens(t, encoder, chunk_chars, overlap) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, n_bytes, n_tokens], [*names, "n_bytes", "n_tokens"])
 
-    return documents.select(*names).mapInArrow(run, schema)
+    return documents.select(*numbered(names)).mapInArrow(run, schema)

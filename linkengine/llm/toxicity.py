@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup_join, materialize
+from .common import lookup_join, materialize, numbered, remaining
 
 #: Bound on labelled documents used to fit; a larger labelled set is hash-sampled.
 MAX_LABELLED = 20_000
@@ -225,16 +225,16 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     return model
 
 
-def score_documents(documents: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
-    """Add ``toxicity`` and ``toxic_passages`` (first token, last token, E-value) to every row."""
+def score_documents(documents: DataFrame, model: ToxicityModel, text: str = "text", into: tuple[str, str] = ("toxicity", "toxic_passages")) -> DataFrame:
+    """Add the score and the toxic passages (first token, last token, E-value) to every row, as ``into``."""
     from pyspark.sql import types as T
 
     spark = documents.sparkSession
     # As plain values: a broadcast is unpickled by reference, and executors need not have the package.
     shared = spark.sparkContext.broadcast(dict(vars(model)))
-    names = [c for c in documents.columns if c not in ("toxicity", "toxic_passages")]
+    names = remaining(documents, into)
     passages = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType()), T.StructField("e_value", T.DoubleType())]))
-    schema = T.StructType([*(documents.schema[c] for c in names), T.StructField("toxicity", T.DoubleType()), T.StructField("toxic_passages", passages)])
+    schema = T.StructType([*(documents.schema[c] for c in names), T.StructField(into[0], T.DoubleType()), T.StructField(into[1], passages)])
 
     at = names.index(text)
 
@@ -249,6 +249,6 @@ def score_documents(documents: DataFrame, model: ToxicityModel, text: str = "tex
                 spans.append([{"first": a, "last": b, "e_value": m.max_e * math.exp(min(700.0, base - m.lam * s))} for a, b, s in segments if m.lam * s > base])
             scores = pa.array(m.probability(np.array(facts, dtype=float)), pa.float64())
             kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("e_value", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores, pa.array(spans, kind)], [*names, "toxicity", "toxic_passages"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores, pa.array(spans, kind)], [*names, *into])
 
-    return documents.select(*names).mapInArrow(run, schema)
+    return documents.select(*numbered(names)).mapInArrow(run, schema)

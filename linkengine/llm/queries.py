@@ -39,7 +39,7 @@ TOKEN_LIMIT = 2048
 
 
 def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = url_reputation.judge(read_table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
+    judged = url_reputation.judge(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"), RULES)
     return judged.withColumn("bad_rate_lower", F.round("bad_rate_lower", 6))
 
 
@@ -178,9 +178,12 @@ FROM p LEFT JOIN f USING (digest)
 
 OP2_SQL = r"""
 WITH u AS (
-  SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS rest FROM pages
+  SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS rest,
+         regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<script.*?</script>', ' ', 'g'),
+           '(?s)<style.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[^ \t\r\n\f\x0B]+') AS words FROM pages
 ), p AS (
-  SELECT page_id, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, CASE WHEN len(words) < 50 OR len(list_filter(words, lambda x: regexp_matches(x, '[A-Za-z\x{80}-\x{10FFFF}]'))) < 0.8 * len(words) THEN 1 ELSE 0 END AS y,
+         translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM u
 ), r AS (
   SELECT *, host = 'net' OR ends_with(host, '.net') AS net, host = 'example.net' OR ends_with(host, '.example.net') AS example_net,
@@ -188,8 +191,7 @@ WITH u AS (
 ), d AS (
   SELECT page_id, host, path,
          CASE WHEN example_net AND starts_with(path, '/en/') THEN 'example.net/en/' WHEN example_com AND starts_with(path, '/de/') THEN 'example.com/de/'
-              WHEN org AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN net AND starts_with(path, '/') THEN 'net/' END AS rule,
-         CASE WHEN rule IN ('example.com/de/', 'net/') THEN 1.0::DOUBLE WHEN rule IS NOT NULL OR net OR example_com THEN 0.0::DOUBLE END AS y
+              WHEN org AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN net AND starts_with(path, '/') THEN 'net/' END AS rule, y
   FROM r
 ), h AS (
   SELECT host, count(y) AS n, coalesce(sum(y), 0) AS k, rtrim(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', ''), '.') AS name FROM d GROUP BY host
@@ -200,13 +202,25 @@ WITH u AS (
   SELECT host, n, k, CASE WHEN ip THEN name WHEN long THEN array_to_string(s[-2:], '.') ELSE s[-1] END AS suffix,
          CASE WHEN ip THEN name WHEN long THEN array_to_string(s[-3:], '.') ELSE array_to_string(s[greatest(len(s) - 1, 1):], '.') END AS domain FROM l
 ), top AS (
-  SELECT coalesce((sum(k) + 1) / (sum(n) + 2), 0.5) AS above FROM hosts
-), <SUFFIX>, <DOMAIN>, <HOST>
-SELECT page_id, d.host, path, rule,
+  SELECT coalesce((sum(k) + 1) / (sum(n) + 2), 0.5) AS above, sum(k) AS tk, sum(n) AS tn FROM hosts
+), <SUFFIX>, <DOMAIN>, <HOST>, apart AS (
+  SELECT d.*, top.tk - y AS k0, top.tn - 1 AS n0, u.pk - y AS k1, u.pn - 1 AS n1, u.ps AS s1, v.pk - y AS k2, v.pn - 1 AS n2, v.ps AS s2,
+         w.pk - y AS k3, w.pn - 1 AS n3, w.ps AS s3
+  FROM d JOIN p_host w USING (host) JOIN p_domain v USING (suffix, domain) JOIN p_suffix u USING (suffix), top
+), m0 AS (
+  SELECT *, (k0 + 1) / (n0 + 2) AS r0 FROM apart
+), m1 AS (
+  SELECT *, s1 * r0 + k1 AS a1, s1 * (1 - r0) + (n1 - k1) AS b1, a1 / (a1 + b1) AS r1 FROM m0
+), m2 AS (
+  SELECT *, s2 * r1 + k2 AS a2, s2 * (1 - r1) + (n2 - k2) AS b2, a2 / (a2 + b2) AS r2 FROM m1
+), m3 AS (
+  SELECT *, s3 * r2 + k3 AS a, s3 * (1 - r2) + (n3 - k3) AS b FROM m2
+)
+SELECT page_id, host, path, rule, CAST(y AS INTEGER) AS bad_page,
        CASE WHEN rule IN ('example.com/de/', 'net/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
             WHEN greatest(a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 0) > 0.5 THEN 'block' ELSE 'allow' END AS verdict,
        round(greatest(a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 0), 6) AS bad_rate_lower
-FROM d JOIN p_host USING (host)
+FROM m3
 """
 
 
@@ -221,7 +235,7 @@ g_{level} AS (
 ), t_{level} AS (
   SELECT CASE WHEN used > 0 THEN least(greatest(1 / least(greatest(excess, 1e-6::DOUBLE), 0.999999::DOUBLE) - 1, 1.0), 1000.0) ELSE 1.0 END AS s FROM s_{level}
 ), p_{level} AS (
-  SELECT {keys}, s * above + k AS a, s * (1 - above) + n - k AS b, a / (a + b) AS above FROM g_{level}, t_{level}
+  SELECT {keys}, n AS pn, k AS pk, s AS ps, s * above + k AS a, s * (1 - above) + n - k AS b, a / (a + b) AS above FROM g_{level}, t_{level}
 )"""
 
 

@@ -18,6 +18,7 @@ def rule(host, path):
     return max(fits)[1:] if fits else (None, None)
 
 
+GOOD, BAD = "<p>" + "good words here " * 40 + "</p>", "<script>" + "many words here " * 40 + "</script>| 1 - 2 |"
 URLS = [
     None, "", "no scheme", "http://", "http://A.Example.NET/en/1", "http://a.example.net/de/1", "x://y://z/fr/", "http://example.net", "http://example.net?q",
     "https://notexample.com/de/1", "https://b.example.com/de/x?y#z", "https://example.org/fr/a", "http://ÄÖ.org/fr/é\n/x", "http://ÉA.Net/", "http://h#/x", "http://org/fr/",
@@ -25,7 +26,7 @@ URLS = [
 
 
 def test_hosts_paths_and_rules(spark):
-    df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(URLS)] + [(None, URLS[4], None), (4, URLS[4], "h")], "page_id long, url string, host string")
+    df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(URLS)] + [(None, URLS[4], None), (4, URLS[4], "h")], "page_id long, url string, html string")
     rows = U.judge(df, RULES).collect()
     assert len(rows) == len(URLS) + 2
     for r in rows:
@@ -64,20 +65,41 @@ def test_hosts_of_ports_users_and_addresses(spark):
     ]
 
 
-def test_outcomes_of_both_kinds_tell_hosts_apart(spark):
-    """Two hosts of one domain under the same rule: the one that is mostly in the blocked section goes whole."""
-    urls = [f"http://bad.example.com/{'de' if i % 10 else 'en'}/{i}" for i in range(200)]
-    urls += [f"http://good.example.com/{'en' if i % 10 else 'de'}/{i}" for i in range(200)] + ["http://new.example.com/en/1", "http://a.b.org/x", "http://a.b.org/" + "x" * 200_000]
-    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    rows = U.judge(df, RULES).collect()
+def test_page_outcomes(spark):
+    pages = {GOOD: 0, BAD: 1, None: 1, "": 1, "<b>few words</b>": 1, "x | " * 60: 1, "<!-- " + "word " * 60 + "-->": 1, "ä, " * 50: 0, "w " * 49: 1, "w " * 50: 0, "<style>" + "w " * 60 + "</style>": 1}
+    pages["word " * 300_000] = 0
+    pages["w " * 80 + "7 " * 20], pages["w " * 79 + "7 " * 21] = 0, 1
+    rows = spark.createDataFrame([(h,) for h in pages], "html string").select(U.page_outcome(F.col("html")).alias("y")).collect()
+    assert [r["y"] for r in rows] == list(pages.values())
+
+
+def test_hosts_of_one_domain_get_different_verdicts(spark):
+    pages = [(f"http://bad.example.com/{i}", BAD if i % 10 else GOOD) for i in range(200)] + [(f"http://good.example.com/{i}", GOOD if i % 10 else BAD) for i in range(200)]
+    pages += [("http://new.example.com/1", BAD), ("http://a.b.org/x", GOOD), ("http://a.b.org/" + "x" * 200_000, GOOD)]
+    rows = U.judge(spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string"), RULES).collect()
     verdicts = {(r["host"], r["verdict"]) for r in rows if r["rule"] is None}
     assert verdicts == {("bad.example.com", "block"), ("good.example.com", "allow"), ("new.example.com", "allow"), ("a.b.org", "allow")}
     lower = {r["host"]: r["bad_rate_lower"] for r in rows}
     assert lower["bad.example.com"] > 0.7 > 0.2 > lower["good.example.com"]
 
 
+def test_no_page_is_judged_by_its_own_outcome(spark):
+    """The bound of a page is the same whether it is good or bad itself, strengths held equal."""
+    others = [("h.x.com", 1)] * 6 + [("h.x.com", 0)] * 3 + [("i.x.com", 0)] * 5 + [("j.y.com", 1)] * 4 + [("k.z.org", 0)] * 5
+    bounds = []
+    for y in (0, 1):
+        levels = [(19 + 5, 10 + y, 3.0), (15, 6 + y, 4.0), (10, 6 + y, 5.0)]
+        df = spark.createDataFrame([((24, 10 + y), levels)], "top struct<n:bigint,k:bigint>, levels array<struct<n:bigint,k:bigint,s:double>>")
+        bounds.append(tuple(df.select(U._posterior(F.col("top"), F.col("levels"), F.lit(y))).first()[0]))
+    assert bounds[0] == bounds[1]
+    rows = U.reputation(spark.createDataFrame([*others, ("alone.w.net", 1)], "host string, outcome int")).collect()
+    alone = next(r for r in rows if r["host"] == "alone.w.net")
+    # Without its only page the host is as bad as the corpus, not as itself.
+    assert alone["others"]["bad"] < 0.5 and alone["others"]["good"] is None and alone["rate"] > 0.5
+
+
 def test_internal_names_as_extra_columns(spark):
     names = ["host", "path", "rule", "decided", "lower", "outcome", "n", "k", "suffix", "domain", "above", "a", "b", "s", "rate"]
-    df = spark.createDataFrame([(1, "http://x.org/fr/", *names)], "page_id long, url string, " + ", ".join(f"{n} string" for n in names))
+    df = spark.createDataFrame([(1, "http://x.org/fr/", None, *names)], "page_id long, url string, html string, " + ", ".join(f"{n} string" for n in names))
     r = U.judge(df, RULES).first()
     assert (r["host"], r["path"], r["rule"], r["verdict"]) == ("x.org", "/fr/", "org/fr/", "allow")

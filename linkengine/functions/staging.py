@@ -86,3 +86,16 @@ def fits_broadcast(small: DataFrame, rows: int = BROADCAST_ROWS, size: int = BRO
     width = _width(F.struct(*(F.col(f"`{c}`") for c in small.columns)), small.schema)
     found = small.select(width.cast("long").alias("n")).agg(F.count("*"), F.sum("n")).first()
     return found[0] <= rows and (found[1] or 0) <= size
+
+
+def lookup_join(
+    big: DataFrame, small: DataFrame, on: Column | list[str], how: str = "left", bound: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Join a large side to a materialized lookup side.
+
+    The lookup is broadcast if its counted rows and bytes are within bounds; otherwise the
+    join stays a shuffle join of two plain exchanges, which AQE splits where skewed. Sizes of
+    files say little: a written table of few distinct values is many times larger in memory.
+    """
+    small = F.broadcast(small) if fits_broadcast(small, bound) else small.hint("merge")
+    return big.join(small, on, how)

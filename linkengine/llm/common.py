@@ -1,11 +1,11 @@
-"""Helpers shared by the operators: table access, shared storage, guarded lookups."""
+"""Helpers shared by the operators: table access, names, shared storage."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.staging import BROADCAST_ROWS, fits_broadcast, mark, materialize, release, shared_dir
+from ..functions.staging import fits_broadcast, lookup_join, mark, materialize, release, shared_dir
 
 __all__ = ["fits_broadcast", "keyed", "lookup_join", "lower_az", "mark", "materialize", "numbered", "quoted", "read_table", "release", "remaining", "row_key", "shared_dir", "unpacked", "unused"]
 
@@ -14,18 +14,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lookup_join(
-    big: DataFrame, small: DataFrame, on: Column | list[str], how: str = "left", bound: int = BROADCAST_ROWS
-) -> DataFrame:
-    """Join a large side to a materialized lookup side.
-
-    The lookup is broadcast if its counted rows and bytes are within bounds; otherwise the
-    join stays a shuffle join of two plain exchanges, which AQE splits where skewed.
-    """
-    small = F.broadcast(small) if fits_broadcast(small, bound) else small.hint("merge")
-    return big.join(small, on, how)
-
-
 def lower_az(text: Column) -> Column:
     """Lower-case A-Z only. ASCII texts take the fast built-in."""
     ascii_only = F.octet_length(text) == F.char_length(text)

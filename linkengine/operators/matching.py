@@ -4,7 +4,8 @@ Catalogs are (source, DataFrame) pairs in provider order; a catalog has track_id
 artist, title, external_url and cand_ord (its own order). Scores and ranks depend on normalised texts only, so
 distinct texts are scored and cut to their k best once and only then meet the lines. A catalog whose counted rows and bytes
 allow it is broadcast and every query scores every text of it; beyond that, ``topk_join`` finds the k best by equality
-joins and upper bounds.
+joins and upper bounds. Other joins are told to shuffle, since the size of their sides grows with the lines and Spark's
+estimates, from compressed bytes, would let the driver build tables of all of them.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ def rank(queries: DataFrame, candidates: DataFrame, scorer: str = "hybrid", k: i
     order = Window.partitionBy("normalized_query", *(by or [])).orderBy(*_rank_order(), "provider_ord", "cand_ord")
     found = found.withColumns({"rank": F.row_number().over(order), "algorithm": F.lit(scorer)})
     found = found.filter(F.col("rank") <= k) if k is not None else found
-    return queries.join(found, "normalized_query")
+    return queries.join(found.hint("merge"), "normalized_query")
 
 
 def search(queries: DataFrame, catalogs: list[tuple[str, DataFrame]], limit_per_source: int = 10, scorer: str = "hybrid") -> DataFrame:
@@ -127,10 +128,10 @@ def match_candidates(variants: DataFrame, found: DataFrame, k: int | None = None
     exploded = variants.select("line_id", F.posexplode("query_variants").alias("variant_ord", "v"))
     exploded = exploded.select("line_id", "variant_ord", F.col("v.text").alias("query"), F.col("v.source").alias("query_variant_source"), F.col("v.confidence").alias("query_variant_confidence"))
     candidates = found.select("line_id", *CANDIDATE_COLUMNS, "display_text", "normalized_candidate", F.col("rank").alias("found_rank"))
-    pairs = with_normalized_query(exploded).join(candidates, "line_id")
+    pairs = with_normalized_query(exploded).join(candidates.hint("merge"), "line_id")
     texts = pairs.select(F.col("normalized_query").alias("a"), F.col("normalized_candidate").alias("b")).distinct()
     scored = SCORERS[scorer](texts).withColumnsRenamed({"a": "normalized_query", "b": "normalized_candidate"})
-    pairs = pairs.join(scored, ["normalized_query", "normalized_candidate"]).withColumn("algorithm", F.lit(scorer))
+    pairs = pairs.join(scored.hint("merge"), ["normalized_query", "normalized_candidate"]).withColumn("algorithm", F.lit(scorer))
     better = [F.col("score").desc(), F.col("query_variant_confidence").desc(), F.col("distance")]
     best = Window.partitionBy("line_id", "source", "track_id").orderBy(*better, "variant_ord", "found_rank")
     pairs = pairs.withColumn("_best", F.row_number().over(best)).filter("_best = 1").drop("_best")

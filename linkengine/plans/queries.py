@@ -263,7 +263,7 @@ def parse_and_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, matches = link.parse_and_match(rows, catalogs(spark, sf_dir), 3)
     flags = items.select("line_id", "best_score", "is_uncertain")
     ranked = matches.select("line_id", "rank", "source", "track_id", "score", "distance", "query_variant_source", "query_variant_confidence")
-    return flags.join(ranked, "line_id", "left")
+    return flags.join(ranked.hint("merge"), "line_id", "left")
 
 
 def uncertain_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ def test_repeated_lines_are_linked_once_and_all_come_back(spark, written):
     assert all(sorted(by_line.get(i * 3, [])) == each[i % 4] for i in range(400))
 
 
-@pytest.mark.parametrize("query", [plans.parse_and_match])
+@pytest.mark.parametrize("query", [plans.parse_and_match, plans.uncertain_summary])
 def test_no_side_is_broadcast_by_the_size_of_its_files(spark, monkeypatch, query):
     # Files of few distinct values are small at any number of lines; only counts may prove a side small.
     monkeypatch.setattr(staging, "fits_broadcast", lambda *_: False)

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import language, patterns, similarity, text, translit
+from ..functions.settle import settle
 from ..functions.similarity import SCORERS
-from ..functions.staging import shared_dir
+from ..functions.staging import lookup_join, materialize, shared_dir
 from ..operators import evaluation, lists, matching, parsing, stats, tables, topk_join, validation, variants
 from ..sources import export, lines, rest, search_source
 from ..sources import list_files as list_files_sink
@@ -184,10 +185,24 @@ r AS (
 )"""
 
 
+def similar_fields(rows: DataFrame, left: str, right: str, least: float) -> DataFrame:
+    """``rows`` whose two texts, as the scorers compare them, have a Jaro-Winkler ``score`` of at least ``least``.
+
+    Distinct pairs of texts are normalised and scored once, each expression behind a barrier, since the optimizer otherwise
+    writes it out at each of its uses.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = rows.select(left, right).distinct().repartition(parts, left, right)
+    pairs = settle(pairs, {"_a": text.match_normalize(F.col(left)), "_b": text.match_normalize(F.col(right))})
+    pairs = settle(pairs, {"score": similarity.jaro_winkler_score(F.col("_a"), F.col("_b"))})
+    near = materialize(pairs.filter(F.col("score") >= least).select(left, right, "score"), "near")
+    return lookup_join(rows, near, [left, right], "inner")
+
+
 def jaro_winkler_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts whose line is similar to their own name, by an expression in a filter."""
-    score = similarity.jaro_winkler_score(text.match_normalize(F.col("raw_input")), text.match_normalize(F.col("p_name")))
-    return part_lines(spark, sf_dir).withColumn("score", score).filter(F.col("score") >= 0.7).select("line_id", "score")
+    rows = part_lines(spark, sf_dir).select("line_id", "raw_input", "p_name")
+    return similar_fields(rows, "raw_input", "p_name", 0.7).select("line_id", "score")
 
 
 def _jaro_filter_sql() -> str:

@@ -1,7 +1,7 @@
 """Lines that repeat: each distinct text is worked on once, and nothing of the lines' size is broadcast."""
 
 import pytest
-from linkengine.functions import staging
+from linkengine.functions import similarity, staging, text
 from linkengine.operators import matching
 from linkengine.plans import link
 from linkengine.plans import queries as plans
@@ -56,3 +56,15 @@ def test_no_side_is_broadcast_by_the_size_of_its_files(spark, monkeypatch, query
     monkeypatch.setattr(matching, "is_small", lambda _: True)
     plan = plan_of(query(spark, SF))
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_the_filter_scores_each_distinct_pair_once(spark, monkeypatch):
+    rows = plans.part_lines(spark, SF).select("line_id", "raw_input", "p_name")
+    many = rows.crossJoin(spark.range(5).select("id")).withColumn("line_id", F.col("line_id") * 5 + F.col("id")).drop("id")
+    seen, first = [], staging.materialize
+    monkeypatch.setattr(plans, "materialize", lambda df, label: seen.append(first(df, label)) or seen[-1])
+    got = plans.similar_fields(many, "raw_input", "p_name", 0.7)
+    score = similarity.jaro_winkler_score(text.match_normalize(F.col("raw_input")), text.match_normalize(F.col("p_name")))
+    want = {r["line_id"]: r["score"] for r in rows.select("line_id", score.alias("score")).collect() if r["score"] >= 0.7}
+    assert {r["line_id"]: r["score"] for r in got.collect()} == {i * 5 + k: s for i, s in want.items() for k in range(5)}
+    assert seen[0].count() == got.select("raw_input", "p_name").distinct().count() < got.count()

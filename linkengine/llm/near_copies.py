@@ -1,15 +1,23 @@
 """Near copies by the overlap of their shingles.
 
 Two texts are linked if the Jaccard similarity of their sets of five-word shingles is at
-least 0.8. A text's fingerprint is 128 min-hash values in 32 positions of four: a pair of
-similarity 0.8 agrees in a position with probability 0.8^4, so it agrees in none with
-probability (1 - 0.8^4)^32, 5e-8. Pairs that agree somewhere are verified on their whole
-shingle sets, so nothing below the similarity is linked.
+least 0.8. The steps are those of ``simhash`` on a wider fingerprint: a text is posted under
+the (position, byte) entries of its fingerprint, four of which form the key of a seed list;
+the shared entries of the pairs of a list are tallied; pairs below a least tally are dropped by
+that count; and the rest are verified, here on their whole shingle sets, so nothing below the
+similarity is linked.
+
+The fingerprint has 128 bytes. A bit of a majority over all shingles differs with probability
+0.15 at a similarity of 0.8, and so three of four bytes would; a byte is therefore taken from one shingle
+alone, the least under its position's own order, which makes it agree with a probability of at least the similarity.
+The 32 seeds use each position once: a pair of similarity 0.8 shares all four entries of a
+seed with probability 0.8^4, so it meets in no list with probability (1 - 0.8^4)^32, 5e-8. It shares
+102 of 128 entries on average, and fewer than ``LEAST_SHARED`` with probability below 1e-12.
 
 Texts with equal shingle sets are one node. Every posting list first pairs its members
 with its head only. Where the members of a list are not yet of one component, the list is then
-compared within tasks: its members meet with their shingle sets, every pair across
-components is counted exactly, and only one edge for each two components that join leaves
+compared within tasks: its members meet with their entries and shingle sets, every pair across
+components that the tally leaves is counted exactly, and only one edge for each two components that join leaves
 the task. A list beyond ``LIST_MEMBERS`` is dealt out in blocks, each two of which meet in a
 task of their own, so no task holds more than two blocks. A large group of copies
 thus costs one row per member, no pair that could join two components is left out, and no pairs are
@@ -34,14 +42,18 @@ from .common import lookup_join, materialize, row_key
 
 SHINGLE = 5
 SIMILARITY = 0.8
-POSITIONS, PER_POSITION = 32, 4
+#: Seeds, and the entries of each; no two seeds share a position.
+SEEDS, PER_SEED = 32, 4
+POSITIONS = SEEDS * PER_SEED
+#: Entries that two linked fingerprints share at least.
+LEAST_SHARED = 64
 _BLOCK = 1 << 12
 _SETS = 200
 #: A block of a posting list; a task holds two blocks at most.
 LIST_MEMBERS = 512
 _rng = np.random.default_rng(simhash.SEED)
-_FLIP = _rng.integers(0, 1 << 32, (POSITIONS * PER_POSITION, 1), dtype=np.uint32)
-_TIMES = _rng.integers(0, 1 << 32, (POSITIONS * PER_POSITION, 1), dtype=np.uint32) | np.uint32(1)
+_FLIP = _rng.integers(0, 1 << 32, (POSITIONS, 1), dtype=np.uint32)
+_TIMES = _rng.integers(0, 1 << 32, (POSITIONS, 1), dtype=np.uint32) | np.uint32(1)
 _ODD = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -65,16 +77,26 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(total)
 
 
-def postings(grams: np.ndarray) -> list[int]:
-    """The entries of a shingle set in the index, one per position."""
-    least = np.full(POSITIONS * PER_POSITION, 0xFFFFFFFF, dtype=np.uint32)
+def fingerprint(grams: np.ndarray) -> np.ndarray:
+    """The 128 bytes of a shingle set that is not empty, a byte of one shingle at each position."""
+    least = np.full(POSITIONS, 0xFFFFFFFF, dtype=np.uint32)
     high = (grams >> np.uint64(32)).astype(np.uint32)
     for at in range(0, len(high), _BLOCK):
         np.minimum(least, ((high[None, at : at + _BLOCK] ^ _FLIP) * _TIMES).min(axis=1), out=least)
-    total = np.arange(POSITIONS, dtype=np.uint64)
-    for values in least.reshape(POSITIONS, PER_POSITION).T:
-        total = _mixed(total * _ODD[0] + values.astype(np.uint64))
-    return total.view(np.int64).tolist()
+    return (_mixed(least.astype(np.uint64) * _ODD[0]) >> np.uint64(56)).astype(np.uint8)
+
+
+def postings(grams: np.ndarray) -> list[int]:
+    """The keys of the seed lists of a shingle set: the seed's number above the bytes of its four
+    entries, so that all keys together are the whole fingerprint."""
+    seeds = np.ascontiguousarray(fingerprint(grams)).view("<u4").astype(np.int64)
+    return (seeds + (np.arange(SEEDS, dtype=np.int64) << 32)).tolist()
+
+
+def _bytes(keys: pa.Array) -> np.ndarray:
+    """The fingerprints, a row each, of lists of keys, none of which is empty."""
+    flat = keys.flatten().to_numpy(zero_copy_only=False)
+    return (flat & 0xFFFFFFFF).astype("<u4").view(np.uint8).reshape(-1, POSITIONS)
 
 
 def with_postings(documents: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -109,6 +131,20 @@ def _shingle_sets(wanted: DataFrame, rows: DataFrame, documents: DataFrame, text
     return materialize(texts.select("fp", "text").mapInArrow(run, "fp long, grams array<long>"), "sets")
 
 
+def tallied(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """The pairs (u, v) that share at least ``LEAST_SHARED`` (position, byte) entries; ``prints`` has (fp, keys)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                tally = (_bytes(batch.column(2)) == _bytes(batch.column(3))).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(tally >= LEAST_SHARED))
+
+    both = lookup_join(pairs, prints.select(F.col("fp").alias("u"), F.col("keys").alias("a")), ["u"], "inner", 0)
+    both = lookup_join(both, prints.select(F.col("fp").alias("v"), F.col("keys").alias("b")), ["v"], "inner", 0)
+    return materialize(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "tallied")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) of digests whose whole shingle sets are similar enough."""
     both = lookup_join(pairs, sets.select(F.col("fp").alias("u"), F.col("grams").alias("a")), ["u"], "inner", 0)
@@ -117,8 +153,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return materialize(both.filter(shared / (F.size("a") + F.size("b") - shared) >= similarity).select("u", "v"), "verified")
 
 
-def joined_components(fps: list[int], roots: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Linked pairs (u, v) across ``roots``, one for each two components that they join."""
+def joined_components(fps: list[int], roots: list[int], marks: list[np.ndarray], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Linked pairs (u, v) across ``roots``, one for each two components that they join.
+
+    Members of a list have a fingerprint each, ``marks``; a pair is counted exactly if its tally allows.
+    """
     parent = {r: r for r in roots}
 
     def find(x: int) -> int:
@@ -127,22 +166,25 @@ def joined_components(fps: list[int], roots: list[int], sets: list[np.ndarray],
             x = parent[x]
         return x
 
+    if len(parent) < 2:
+        return []
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    if len(parent) < 2 or not sizes.all():
-        # The empty set is one node and links to nothing.
-        keep = [i for i in range(len(fps)) if sizes[i]]
-        return joined_components([fps[i] for i in keep], [roots[i] for i in keep], [sets[i] for i in keep], similarity) if len(keep) < len(fps) else []
     _, grams = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    of = [grams[at : at + n] for at, n in zip(starts.tolist(), sizes.tolist())]
+    entries = np.stack(marks)
     mark = np.zeros(int(grams.max()) + 1, dtype=np.int64)
     left, out = len(parent), []
     for i in range(len(fps) - 1):
-        mine = grams[starts[i] : starts[i] + sizes[i]]
-        mark[mine] = 1
-        shared = np.add.reduceat(mark[grams[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1])
-        mark[mine] = 0
-        near = shared / (sizes[i] + sizes[i + 1 :] - shared) >= similarity
-        for j in (np.nonzero(near)[0] + i + 1).tolist():
+        likely = np.nonzero((entries[i + 1 :] == entries[i]).sum(axis=1) >= LEAST_SHARED)[0] + i + 1
+        if not len(likely):
+            continue
+        mark[of[i]] = 1
+        ends = np.cumsum(sizes[likely])
+        shared = np.add.reduceat(mark[np.concatenate([of[j] for j in likely.tolist()])], ends - sizes[likely])
+        mark[of[i]] = 0
+        near = shared / (sizes[i] + sizes[likely] - shared) >= similarity
+        for j in likely[near].tolist():
             a, b = find(roots[i]), find(roots[j])
             if a != b:
                 parent[max(a, b)] = min(a, b)
@@ -154,10 +196,10 @@ def joined_components(fps: list[int], roots: list[int], sets: list[np.ndarray],
 
 
 def _joins(similarity: float):
-    """Rows (key, one, other, fp, root, grams), sorted by the first three, to edges (u, v)."""
+    """Rows (key, one, other, fp, root, keys, grams), sorted by the first three, to edges (u, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, ([], [], [])
+        group, held = None, ([], [], [], [])
 
         def table(edges: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], ["u", "v"])
@@ -165,14 +207,16 @@ def _joins(similarity: float):
         for batch in batches:
             edges: list[tuple[int, int]] = []
             key, one, other, fp, root = (batch.column(i).to_pylist() for i in range(5))
-            grams, ends = batch.column(5).flatten().to_numpy(), np.cumsum([len(x) for x in batch.column(5)])
+            marks = _bytes(batch.column(5))
+            grams, ends = batch.column(6).flatten().to_numpy(), np.cumsum([len(x) for x in batch.column(6)])
             for i, of in enumerate(zip(key, one, other)):
                 if of != group:
                     edges += joined_components(*held, similarity)
-                    group, held = of, ([], [], [])
+                    group, held = of, ([], [], [], [])
                 held[0].append(fp[i])
                 held[1].append(root[i])
-                held[2].append(grams[ends[i - 1] if i else 0 : ends[i]].copy())
+                held[2].append(marks[i])
+                held[3].append(grams[ends[i - 1] if i else 0 : ends[i]].copy())
             yield table(edges)
         yield table(joined_components(*held, similarity))
 
@@ -187,7 +231,12 @@ def links(rows: DataFrame, documents: DataFrame, text: str = "text", shingle: in
     lists = materialize(lookup_join(entries, heads, ["key"], "inner").distinct(), "lists")
     starred = lists.filter("head <> fp").select(F.col("head").alias("u"), F.col("fp").alias("v")).distinct()
     starred = materialize(starred, "pairs")
-    nodes = starred.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    members = lambda pairs: pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    # Every member of a list is in a pair. Rows of one digest have one fingerprint.
+    prints = lookup_join(rows.select("fp", "keys"), materialize(members(starred), "nodes"), ["fp"], "inner").dropDuplicates(["fp"])
+    prints = materialize(prints, "prints")
+    starred = tallied(starred, prints)
+    nodes = members(starred)
     edges = _verified(starred, _shingle_sets(nodes, rows, documents, text, shingle), similarity)
 
     roots = materialize(simhash.connected_components(edges), "starred")
@@ -203,7 +252,8 @@ def links(rows: DataFrame, documents: DataFrame, text: str = "text", shingle: in
     block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     dealt = open_lists.withColumn("mine", block).withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("mine", "met").alias("one"), F.greatest("mine", "met").alias("other"), "fp", "root")
-    dealt = lookup_join(dealt, sets, ["fp"], "inner", 0).select("key", "one", "other", "fp", "root", "grams")
+    dealt = lookup_join(lookup_join(dealt, prints, ["fp"], "inner"), sets, ["fp"], "inner", 0)
+    dealt = dealt.select("key", "one", "other", "fp", "root", "keys", "grams")
     dealt = dealt.repartition("key", "one", "other").sortWithinPartitions("key", "one", "other", "fp")
     return edges.union(materialize(dealt.mapInArrow(_joins(similarity), "u long, v long"), "joins"))
 

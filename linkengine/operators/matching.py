@@ -128,7 +128,7 @@ def match_candidates(variants: DataFrame, found: DataFrame, k: int | None = None
     exploded = variants.select("line_id", F.posexplode("query_variants").alias("variant_ord", "v"))
     exploded = exploded.select("line_id", "variant_ord", F.col("v.text").alias("query"), F.col("v.source").alias("query_variant_source"), F.col("v.confidence").alias("query_variant_confidence"))
     candidates = found.select("line_id", *CANDIDATE_COLUMNS, "display_text", "normalized_candidate", F.col("rank").alias("found_rank"))
-    pairs = with_normalized_query(exploded).join(candidates.hint("merge"), "line_id")
+    pairs = materialize(with_normalized_query(exploded).join(candidates.hint("merge"), "line_id"), "pairs")
     texts = pairs.select(F.col("normalized_query").alias("a"), F.col("normalized_candidate").alias("b")).distinct()
     scored = SCORERS[scorer](texts).withColumnsRenamed({"a": "normalized_query", "b": "normalized_candidate"})
     pairs = pairs.join(scored.hint("merge"), ["normalized_query", "normalized_candidate"]).withColumn("algorithm", F.lit(scorer))

@@ -283,7 +283,7 @@ def parse_and_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def uncertain_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = part_lines(spark, sf_dir).select("line_id", "raw_input")
-    return link.summarize(link.parse_and_match(rows, catalogs(spark, sf_dir), 3)[0])
+    return link.count_uncertain(rows, catalogs(spark, sf_dir), 3)
 
 
 def _linked_sql(tail: str) -> str:

@@ -68,3 +68,22 @@ def test_the_filter_scores_each_distinct_pair_once(spark, monkeypatch):
     want = {r["line_id"]: r["score"] for r in rows.select("line_id", score.alias("score")).collect() if r["score"] >= 0.7}
     assert {r["line_id"]: r["score"] for r in got.collect()} == {i * 5 + k: s for i, s in want.items() for k in range(5)}
     assert seen[0].count() == got.select("raw_input", "p_name").distinct().count() < got.count()
+
+
+def test_the_summary_weighs_distinct_texts_and_never_meets_the_lines_again(spark, written):
+    texts = ["1. Blue Harbor - Night Train", "ледокол: белый шум", "zzz", "01. "]
+    some = spark.createDataFrame([(i, texts[min(i % 7, 3)]) for i in range(400)] + [(-1, " "), (-2, None)], "line_id long, raw_input string")
+    catalog = [("shop", lines.demo_catalog(spark))]
+    want = link.summarize(link.parse_and_match(some, catalog, 2)[0]).first()
+    written.clear()
+    got = link.count_uncertain(some, catalog, 2)
+    assert got.first() == want and want["total"] == 400 and 0 < want["uncertain_count"] < 400
+    # Only what distinct texts gave is written; no table has a row for each line.
+    assert set(written) == {"parsed", "found", "matches"} and written["parsed"] == 4 and written["matches"] <= 8
+    assert link.count_uncertain(some.filter("line_id < 0"), catalog, 2).first() == (0, 0)
+    assert got.schema.simpleString() == "struct<total:bigint,uncertain_count:bigint>"
+
+
+def test_the_summary_query_counts_by_text(spark, written):
+    assert plans.uncertain_summary(spark, SF).first()["total"] == plans.part_lines(spark, SF).count()
+    assert set(written) == {"parsed", "found", "matches"}

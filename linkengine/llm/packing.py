@@ -10,7 +10,8 @@ Tokens are those of a byte-level BPE file of the ``tokenizers`` library, then ``
 pre-tokenizer never lets a token span the places where ``units`` cuts: before a space that precedes
 other characters, and around other white space as its last two alternatives take it. So a text is
 the sum of its units, each encoded by the library (or, if its characters are plain, its pre-tokens by the library's model) once per worker and kept in a memo of
-bounded bytes. A text is cut at special strings first, as the library does, and taken a bounded chunk at a time.
+bounded bytes. A text of plain characters only, line feeds included, is split into its pre-tokens at once, which are fewer different
+ones than its units (``word.`` and ``word,`` share theirs). A text is cut at special strings first, as the library does, and taken a bounded chunk at a time.
 Encoding whole texts gives the same tokens at several times the work. Files for which this is not so are refused.
 
 A task numbers its own pieces as it writes them; counts per task and length then shift these numbers, so the tokens
@@ -51,6 +52,9 @@ _UNIT = re.compile(r" ?\S+|\s+(?!\S)|\s")
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
 _PLAIN = re.compile(f" ?[!-&(-~{_LETTERS}]+\\Z")
 _PRE_TOKEN = re.compile(f" ?[{_LETTERS}]+| ?[0-9]+| ?[^ 0-9{_LETTERS}]+")
+#: A text of which ``_SPLIT`` gives the pre-tokens, and they.
+_TEXT = re.compile(f"[\n -~{_LETTERS}]*\\Z")
+_SPLIT = re.compile(f" ?[{_LETTERS}]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^ \n0-9{_LETTERS}]+|[ \n]+(?![^ \n])|[ \n]")
 #: White space to Python only.
 _ODD = re.compile(r"[\x1c-\x1f]")
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -125,7 +129,7 @@ class Encoder:
         """What the library's model makes of one pre-token."""
         found = self._memo.get(piece)
         if found is None:
-            stand_ins = piece.replace(" ", "\u0120") if piece.isascii() else piece.encode().decode("latin-1").translate(self._stand_ins)
+            stand_ins = piece.replace(" ", "\u0120").replace("\n", "\u010a") if piece.isascii() else piece.encode().decode("latin-1").translate(self._stand_ins)
             found = self._memo[piece] = b"".join([self._bytes_of[t.id] for t in self._library.model.tokenize(stand_ins)])
             self._chars += len(piece) + 64
         return found
@@ -160,13 +164,24 @@ class Encoder:
             made = self._new(new)
             out = [made[p] if x is None else x for p, x in zip(parts, out)]
             self._chars += sum(map(len, new)) + 64 * len(new)
-            if self._chars > MEMO_CHARS:
-                memo.clear()
-                self._chars = 0
-            else:
-                memo.update(made)
+            memo.update(made)
+            self._bound()
         return b"".join(out)
 
+    def _encode_plain(self, text: str) -> bytes:
+        parts = _SPLIT.findall(text)
+        out = list(map(self._memo.get, parts))
+        if None in out:
+            piece = self._piece
+            out = [piece(p) if x is None else x for p, x in zip(parts, out)]
+            self._bound()
+        return b"".join(out)
+
+    def _bound(self) -> None:
+        if self._chars > MEMO_CHARS:
+            self._memo.clear()
+            self._chars = 0
+
     def ids(self, text: str) -> bytes:
         out = []
         for i, part in enumerate(self._special.split(text) if self._special else [text]):
@@ -174,7 +189,7 @@ class Encoder:
                 out.append(self._special_ids[part])
                 continue
             for chunk in chunks(part):
-                out.append(self._encode(units(chunk)))
+                out.append(self._encode_plain(chunk) if _TEXT.match(chunk) else self._encode(units(chunk)))
         return b"".join(out)
 
 

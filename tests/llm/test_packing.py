@@ -27,6 +27,20 @@ def test_units_equal_the_library_on_whole_texts():
         assert numbers(encoder.ids(text)) == whole(text), repr(text)
 
 
+def test_plain_texts_are_split_into_pre_tokens_at_once():
+    rng, encoder = random.Random(4), packing.Encoder(packing.tokenizer_path("byte_bpe_50k.json"))
+    plain = ["a", "word", "The", "'s", "'", "''", "'ll", "'re", "'T", "12", "9", "é", "ÿſ", "ŉ", ".", ", ", "...", "--", "<|", "_", "~", " ", "  ", "   ", "\n", "\n\n", " \n ", "<|endoftext|>"]
+    for _ in range(6000):
+        text = "".join(rng.choice(plain) for _ in range(rng.randrange(0, 14)))
+        assert numbers(encoder.ids(text)) == whole(text), repr(text)
+    encoder = packing.Encoder(packing.tokenizer_path("byte_bpe_50k.json"))
+    text = "word. word, word! don't\n\nword. é."
+    assert numbers(encoder.ids(text)) == whole(text)
+    assert set(encoder._memo) == {"word", " word", ".", ",", "!", " don", "'t", "\n", " é"}
+    # All that the memo holds is what the library makes of the same text.
+    assert all(numbers(x) == whole(p) for p, x in encoder._memo.items())
+
+
 @pytest.mark.parametrize("size", [3, 7, 40])
 def test_chunks_equal_the_library_on_whole_texts(size):
     rng, encoder = random.Random(2), packing.Encoder(packing.tokenizer_path("byte_bpe_50k.json"))
